@@ -140,7 +140,7 @@ def _sql_case(pick) -> str:
     ) + " END"
 
 
-_SITES = ", ".join(f"'{n}.{d}'" for n in BLOCKED_NAMES for d in BLOCKED_DOMAINS)
+_SITES = " OR ".join(f"host = '{n}.{d}' OR ends_with(host, '.{n}.{d}')" for n in BLOCKED_NAMES for d in BLOCKED_DOMAINS)
 OP6_SQL = f"""
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -149,6 +149,6 @@ parts AS (
          regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
 SELECT page_id, host, path, {_sql_case(lambda v, h, p: h + p)} AS rule,
   COALESCE({_sql_case(lambda v, h, p: v)},
-    CASE WHEN len(list_filter([{_SITES}], s -> host = s OR ends_with(host, '.' || s))) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+    CASE WHEN {_SITES} THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts
 """
