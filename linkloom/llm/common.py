@@ -81,13 +81,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_FOLD = np.full(256, 0x20, np.uint8)
+for _c in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)):
+    _FOLD[_c] = _c
+_FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 
 
 class Words:
     """Words of a column of texts: byte spans, 64-bit hashes, and the first word of each text."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, fold: bool = False):
+        """``fold``: ASCII letters in lower case, other ASCII but digits as spaces."""
         self.raw, self.off = utf8(column)
+        if fold:
+            self.raw = _FOLD[self.raw]
         word = ~_SPACE[self.raw]
         edge = np.zeros(len(self.raw) + 1, bool)
         edge[self.off] = True

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import html_text, jaccard, langid, mixing, secret_scan, substring, toxicity, urls, vectors
+from linkloom.llm import decontam, html_text, jaccard, langid, mixing, secret_scan, substring, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_substring_dedup": substring.op2_substring_dedup,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_embedding_dedup": vectors.op4_embedding_dedup,
+    "op5_decontaminate": decontam.op5_decontaminate,
     "op6_url_filter": urls.op6_url_filter,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_html_text": html_text.op8_html_text,
