@@ -103,7 +103,7 @@ def _runs(texts: DataFrame, width: int) -> DataFrame:
             "value": value.view(np.int64), "places": 1 + twice,
         }
 
-    return map_arrow(texts.select("tid", "text"), run, "tid binary, at int, n int, value long, places int")
+    return map_arrow(texts.select("tid", "text", "copies"), run, "tid binary, at int, n int, value long, places int")
 
 
 def _cut(texts: DataFrame, width: int, with_text: bool) -> DataFrame:
@@ -240,8 +240,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT, shard_wo
     columns are ignored. ``width`` is 8 to 60.
     """
     rows = docs.select("doc_id", text_id(F.col("text")).alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = rows.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    runs = _runs(rows, width)  # copies count here as well, combined before the shuffle
+    # every use keeps all three columns, so that the one shuffle of texts serves them all
+    texts = rows.groupBy("tid").agg(F.max("text").alias("text"), F.count("*").alias("copies"))
+    runs = _runs(rows.withColumn("copies", F.lit(1).cast("long")), width)  # copies count here as well, combined before the shuffle
     often = runs.groupBy("value").agg(F.sum("places").alias("c")).where("c > 1")
     chosen = (
         _runs(texts, width).join(often, "value")
