@@ -225,7 +225,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     members = members.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn(
         "own", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
     )
-    texts = base.join(members.select("tid").distinct(), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    # one text of each digest, combined before the shuffle: copies don't pile up on a key
+    texts = base.groupBy("tid").agg(F.max("text").alias("text")).join(members.select("tid").distinct(), "tid")
 
     def grams(batch: pa.RecordBatch) -> dict:
         values, first = shingle_sets(Words(batch.column(1)))
