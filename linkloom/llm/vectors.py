@@ -3,13 +3,16 @@
 Unit vectors of one label whose cosine is at least c have a squared distance of at most
 2 - 2c. After a fixed random rotation the dimensions are cut into blocks; in one block at
 least the squared distance is within the block's share of that budget (the pigeonhole).
-Each block is range-joined on its own: a grid over the block's first coordinates, with
-cells as wide as the block's radius, brings every pair within the budget to one cell or
-its neighbours. Pairs within the budget of a block are verified exactly in double
-precision, and count only in the first such block.
 
-Equal vectors are one class. Cells are compared in slices of ``SLICE`` rows, so a crowded
-cell becomes many groups and gives counts and spanning edges, never all pairs.
+1. Each block is range-joined on its own: a grid over the block's first coordinates, with
+   cells as wide as the block's radius, brings every pair within the budget to one cell.
+   Only the block's coordinates travel. Crowded cells are compared in slices. A task
+   ties its candidates by spanning edges, never by all pairs.
+2. Components of the ties are coarse clusters that hold every candidate pair of any block.
+3. Pairs inside a cluster are verified exactly in double precision, in slices of whole
+   vectors; counts of links and spanning edges come out.
+
+Equal vectors are one class from the start.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from linkloom.llm.jaccard import _forest
 COSINE = 0.93
 BLOCKS = 4
 GRID_DIMS = 2
-SLICE = 512
+SLICE = 512  # whole vectors
+CELL_SLICE = 4096  # coordinates of one block
 
 
 def rotation(dims: int, seed: int = 5) -> np.ndarray:
@@ -70,94 +74,118 @@ def _usable(rows: DataFrame) -> DataFrame:
 
 
 def _cells(classes: DataFrame, cosine: float, blocks: int, grid_dims: int, width: int) -> DataFrame:
-    """Rows per (label, dims, block, cell): a class at home and as a guest of the cells around."""
+    """Rows (unit, cls, v, role) per block and cell: a class at home, and as a guest of half of the
+    cells around, so that each pair of cells meets once.
+
+    Roles are bits: 1 for a home row, 2 for one that home rows are compared with.
+    """
+    half = [s for s in itertools.product((-1, 0, 1), repeat=grid_dims) if s >= (0,) * grid_dims]
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("cell", "cls", "v", "copies", "home", "own", "block")}
+        rows, cells, coords, home = [], [], [], []
         dims = batch.column(2).to_numpy(zero_copy_only=False)
         for d in np.unique(dims).tolist():
             at = np.flatnonzero(dims == d)
-            sub = batch.take(pa.array(at))
-            x = _as_matrix(sub.column(3))
+            x = _as_matrix(batch.column(3).take(pa.array(at)))
             x = x / np.abs(x).max(1, keepdims=True)  # keeps the norm of huge vectors finite
             x = x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(d)
             for k, (a, b) in enumerate(block_edges(d, blocks)):
-                radius = np.sqrt((2 - 2 * cosine) * (b - a) / d) * (1 + 1e-9) + 1e-9
                 g = min(grid_dims, b - a)
-                cell = np.floor(x[:, a : a + g] / radius).astype(np.int64)
-                for step in itertools.product((-1, 0, 1), repeat=g):
-                    key = cell + np.array(step)
-                    out["cell"].append(np.stack([np.full(len(at), d), np.full(len(at), k), *key.T, *[np.zeros(len(at), int)] * (grid_dims - g)], 1))
-                    out["cls"].append(at)
-                    out["home"].append(np.full(len(at), not any(step)))
-                    out["block"].append(np.full(len(at), k))
-        rows = np.concatenate(out["cls"]) if out["cls"] else np.zeros(0, int)
-        take = pa.array(rows)
-        cell = np.concatenate(out["cell"]) if out["cell"] else np.zeros((0, 2 + grid_dims), int)
-        parts = cell.ravel()
+                cell = np.zeros((len(at), grid_dims), np.int64)
+                cell[:, :g] = np.floor(x[:, a : a + g] / np.sqrt(_budget(cosine, a, b, d)))
+                data = np.ascontiguousarray(x[:, a:b], np.float32)
+                packed = [r.tobytes() for r in data]
+                for step in half:
+                    if any(step[g:]):
+                        continue
+                    rows.append(at)
+                    cells.append(np.c_[np.full((len(at), 2), (d, k)), cell + np.array(step)])
+                    coords += packed
+                    home.append(np.full(len(at), not any(step)))
+        take = pa.array(np.concatenate(rows) if rows else np.zeros(0, int))
+        flat = np.concatenate(cells).ravel() if cells else np.zeros(0, int)
         return {
-            "label": batch.column(1).take(take), "cell": pa.ListArray.from_arrays(
-                pa.array(np.arange(0, len(parts) + 1, 2 + grid_dims, dtype=np.int32)), pa.array(parts)
-            ),
-            "cls": batch.column(0).take(take), "v": batch.column(3).take(take), "copies": batch.column(4).take(take),
-            "home": np.concatenate(out["home"]) if out["home"] else [], "block": np.concatenate(out["block"]) if out["block"] else [],
+            "label": batch.column(1).take(take), "cls": batch.column(0).take(take), "v": coords, "home": np.concatenate(home) if home else [],
+            "cell": pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 + grid_dims, dtype=np.int32)), pa.array(flat)),
+            "share": np.repeat(0.0, len(take)) + [_budget(cosine, *block_edges(d, blocks)[k], d) for d, k in flat.reshape(-1, 2 + grid_dims)[:, :2].tolist()],
         }
 
-    schema = "label long, cell array<long>, cls long, v binary, copies long, home boolean, block int"
-    rows = map_arrow(classes.select("vec_id", "label", "dims", "v", "copies"), run, schema)
-    rows = rows.withColumn("cell", F.xxhash64("label", "cell"))
-    # slices: home rows of slice i meet all rows of slice j
-    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("lived")).where("lived")
+    schema = "label long, cls long, v binary, home boolean, cell array<long>, share double"
+    rows = map_arrow(classes.select("vec_id", "label", "dims", "v"), run, schema).withColumn("cell", F.xxhash64("label", "cell"))
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("lived")).where("lived and n > 1").select("cell", "n")
     rows = rows.join(sizes, "cell").withColumn("slices", F.ceil(F.col("n") / width).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("slices") - 1)
-    homes = rows.where("home").withColumn("other", F.explode(every))
-    return homes.select(
-        F.xxhash64("cell", "own", "other").alias("unit"), F.lit(0).alias("side"), "cls", "v", "copies", "block"
-    ).unionByName(rows.withColumn("other", F.explode(every)).select(
-        F.xxhash64("cell", "other", "own").alias("unit"), F.lit(1).alias("side"), "cls", "v", "copies", "block"
-    ))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    same, keep = F.col("own") == F.col("other"), ("cls", "v", "share")
+    first = rows.where("home").select(F.xxhash64("cell", "own", "other").alias("unit"), *keep, F.when(same, 3).otherwise(1).alias("role"))
+    second = rows.where(~F.col("home") | ~same).select(F.xxhash64("cell", "other", "own").alias("unit"), *keep, F.lit(2).alias("role"))
+    return first.unionByName(second)
+
 
+def _budget(cosine: float, a: int, b: int, dims: int) -> float:
+    """The block's share of the squared distance, with room for single precision."""
+    return (2 - 2 * cosine) * (b - a) / dims * (1 + 1e-5) + 1e-5
 
-def _verify(batches: Iterator[pa.RecordBatch], cosine: float, blocks: int) -> Iterator[pa.RecordBatch]:
+
+def _ties(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Spanning edges (u, v) of the pairs within the block's budget."""
+    for group in run_groups(batches, "unit"):
+        ids, role = group.column("cls").to_numpy(), group.column("role").to_numpy()
+        x = np.stack([np.frombuffer(b, np.float32) for b in group.column("v").to_pylist()])
+        share = group.column("share")[0].as_py()
+        home, all_ = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        square = (x * x).sum(1)
+        found = []
+        for at in range(0, len(home), rows):
+            h = home[at : at + rows]
+            i, j = np.nonzero(square[h][:, None] + square[all_][None, :] - 2 * x[h] @ x[all_].T <= share)
+            i, j = h[i], all_[j]
+            i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
+            found += _span(i, j)
+        if found:
+            u, v = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+
+
+def _span(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the edges: at most one edge per vertex."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(p, p)
+        return x
+
+    out = []
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((max(a, b), min(a, b)))
+    return out
+
+
+def _verify(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """(cls, other, links): links of the classes in one pair of slices, and spanning edges."""
     names = ["cls", "other", "links"]
     for group in run_groups(batches, "unit"):
-        side = group.column("side").to_numpy()
+        side, within = group.column("side").to_numpy(), group.column("within")[0].as_py()
         ids, copies = group.column("cls").to_numpy(), group.column("copies").to_numpy()
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 0 if within else side == 1)
         if not len(a) or not len(b):
             continue
         x = _as_matrix(group.column("v").combine_chunks())
+        x = x / np.abs(x).max(1, keepdims=True)
         norm = np.linalg.norm(x, axis=1)
-        r = x / norm[:, None] @ rotation(x.shape[1])
-        block = group.column("block")[0].as_py()
-        mine = np.zeros((len(a), len(b)), bool)
-        d = x.shape[1]
-        for k, (lo, hi) in enumerate(block_edges(d, blocks)[: block + 1]):
-            p, q = r[a, lo:hi], r[b, lo:hi]
-            dist = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T
-            near = dist <= (2 - 2 * cosine) * (hi - lo) / d + 1e-12
-            mine = near if k == block == 0 else mine | near if k < block else near & ~mine
-        i, j = np.nonzero(mine)
-        i, j = a[i], b[j]
-        keep = ids[i] != ids[j]
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        dots = np.einsum("ij,ij->i", x[i], x[j])  # exact check in double precision
-        keep = dots / (norm[i] * norm[j]) >= cosine
-        i, j = i[keep], j[keep]
-        links = np.bincount(i, copies[j], len(ids)).astype(np.int64)
-        # rows of one class at home and as a guest are one vertex
-        members, at = np.unique(ids, return_inverse=True)
-        full = np.zeros((len(members), len(members)), bool)
-        full[at[i], at[j]] = full[at[j], at[i]] = True
+        linked = x[a] @ x[b].T / (norm[a][:, None] * norm[b][None, :]) >= cosine
+        full = np.zeros((len(ids), len(ids)), bool)
+        full[np.ix_(a, b)] = linked
+        full |= full.T
+        np.fill_diagonal(full, False)
+        links = full @ copies
         parent = _forest(full)
-        tied = np.flatnonzero(parent != np.arange(len(members)))
-        linked = np.flatnonzero(links)
-        cls = np.r_[ids[linked], members[tied]]
-        other = pa.array([None] * len(linked) + members[parent[tied]].tolist(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(cls), other, pa.array(np.r_[links[linked], np.zeros(len(tied), np.int64)])], names=names)
+        keep = np.flatnonzero(links)
+        other = pa.array([int(ids[parent[i]]) if parent[i] != i else None for i in keep], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), other, pa.array(links[keep].astype(np.int64))], names=names)
 
 
 def near_vectors(
@@ -174,9 +202,19 @@ def near_vectors(
     classes = checkpoint(
         usable.groupBy("label", "dims", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     )
-    units = _cells(classes, cosine, blocks, grid_dims, width)
+    units = _cells(classes, cosine, blocks, grid_dims, CELL_SLICE)
     units = units.repartition("unit").sortWithinPartitions("unit")
-    found = checkpoint(units.mapInArrow(lambda batches: _verify(batches, cosine, blocks), "cls long, other long, links long"))
+    coarse = checkpoint(components(units.mapInArrow(_ties, "u long, v long")))
+    sizes = coarse.groupBy("component").agg(F.count("*").alias("m"))
+    members = coarse.join(sizes, "component").withColumnRenamed("u", "vec_id").withColumn("slices", F.ceil(F.col("m") / width).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    pairs = classes.join(members, "vec_id").select(
+        F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), F.col("vec_id").alias("cls"), "v", "copies",
+        (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") == F.col("other")).alias("within"),
+    )
+    pairs = pairs.repartition("unit").sortWithinPartitions("unit")
+    found = checkpoint(pairs.mapInArrow(lambda batches: _verify(batches, cosine), "cls long, other long, links long"))
     joined = components(found.where("other is not null").select(F.col("cls").alias("u"), F.col("other").alias("v")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     info = (
