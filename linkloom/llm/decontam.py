@@ -257,12 +257,18 @@ def _search(docs: DataFrame, rows: DataFrame, weight: np.ndarray, cosine: float,
         for (doc, j), found in seen.items():
             best = (0.0, 0.0, 0.0)
             item, lo, hi = items[j], words.first[doc], words.first[doc + 1]
-            reach = len(item) + WINDOW
+            reach = len(item)
+            span = reach + max(4, reach // 2)  # a region of half as many words again
+            tried = set()
             for at, c in found:
-                region = h[max(lo, at - reach) : min(hi, at + WINDOW + reach)].view(np.int64).tolist()
-                share, answer = _verdict(item, region)
-                if share >= LCS_SURE or (share >= LCS_WITH_ANSWER and answer >= ANSWER_FOUND):
-                    best = max(best, (share, answer, c))
+                first, last = max(lo, at - reach), min(hi, at + WINDOW + reach)
+                for begin in range(first, max(first + 1, last - span + max(2, reach // 4)), max(2, reach // 4)):
+                    if begin in tried:
+                        continue
+                    tried.add(begin)
+                    share, answer = _verdict(item, h[begin : min(begin + span, last)].view(np.int64).tolist())
+                    if share >= LCS_SURE or (share >= LCS_WITH_ANSWER and answer >= ANSWER_FOUND):
+                        best = max(best, (share, answer, c))
             if best[0]:
                 out["doc_id"].append(batch.column(0)[doc].as_py())
                 for name, value in zip(("item_id", "lcs", "answer", "cosine"), (ids[j], *best), strict=True):
