@@ -1,0 +1,31 @@
+import corpus_pipeline
+from linkloom.llm import secret_scan
+
+
+def test_stages(spark, tiny):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "mix"]
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    seen = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, seen[-1], tiny)
+        seen.append(spark.createDataFrame(out.collect(), out.schema))
+    tox, near, leak, clean, mix = seen[1:]
+    ids = [[r["doc_id"] for r in s.select("doc_id").collect()] for s in seen]
+    for before, after in zip(ids, ids[1:], strict=False):
+        assert set(after) <= set(before) and len(after) <= len(before)
+    assert all(s.columns == docs.columns for s in (tox, near, leak, clean))
+    assert len(ids[4]) == len(ids[3]) == len(ids[5])
+    assert len(ids[1]) > 0.8 * len(ids[0])
+    assert all(not secret_scan.find_spans(r["text"]) for r in clean.collect())
+    assert near.count() == near.select("text").distinct().count()
+    assert set(mix.columns) >= {"doc_id", "taken", "target"}
+    again = corpus_pipeline.run(spark, tiny)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mix.select(again.columns).collect()))
+
+
+def test_empty_documents(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, tiny)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.count() == 0
