@@ -90,11 +90,21 @@ def list_files(spark: SparkSession, groups: Mapping[str, Iterable[str]], choose:
             if not p.getFileSystem(conf).exists(p):
                 continue
             df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-            df = df.where(~F.col("path").endswith("/.gitkeep")).select(F.lit(group).alias("group"), "path", "length", "content")
+            df = _with_empty_files(df).where(~F.col("path").endswith("/.gitkeep"))
+            df = df.select(F.lit(group).alias("group"), "path", "length", "content")
             out = df if out is None else out.unionByName(df)
     return out if out is not None else spark.createDataFrame([], "group string, path string, length long, content binary")
 
 
+def _with_empty_files(df: DataFrame) -> DataFrame:
+    """The reader leaves out files of length 0; its listing has them."""
+    names = [(n,) for n in df.inputFiles()]
+    listed = df.sparkSession.createDataFrame(names, "path string").select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
+    rows = df.select("path", "length", "content")
+    empty = listed.join(rows.select("path"), "path", "left_anti")
+    return rows.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+
+
 def file_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("group").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
 
