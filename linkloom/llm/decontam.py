@@ -151,18 +151,40 @@ def _lcs(pattern: dict[int, int], size: int, words: list[int]) -> int:
     return size - row.bit_count()
 
 
-def _verdict(item: list[int], region: list[int]) -> tuple[float, float]:
-    """(share of the passage, share of its answer) that the region holds in order."""
-    pattern: dict[int, int] = {}
-    for i, w in enumerate(item):
-        pattern[w] = pattern.get(w, 0) | 1 << i
-    n = len(item)
-    share = _lcs(pattern, n, region) / n
-    tail = item[-max(1, round(n * ANSWER_SHARE)) :]
-    pattern = {}
-    for i, w in enumerate(tail):
-        pattern[w] = pattern.get(w, 0) | 1 << i
-    return share, _lcs(pattern, len(tail), region) / len(tail)
+def _pattern(words: list[int]) -> dict[int, int]:
+    """Bit mask of the places of each word."""
+    out: dict[int, int] = {}
+    for i, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+class _Passage:
+    """A benchmark passage and its answer, ready for comparison."""
+
+    def __init__(self, words: list[int]):
+        self.size = len(words)
+        self.pattern = _pattern(words)
+        tail = words[-max(1, round(self.size * ANSWER_SHARE)) :]
+        self.tail, self.tail_size = _pattern(tail), len(tail)
+
+    def found(self, region: list[int]) -> tuple[float, float] | None:
+        """Best (share of the passage, share of its answer) that a stretch of the region, half as long
+        again as the passage, holds in order; None if it is too little."""
+        hits = [(i, w) for i, w in enumerate(region) if w in self.pattern]  # other words change no subsequence
+        least = LCS_WITH_ANSWER * self.size
+        if len(hits) < least or _lcs(self.pattern, self.size, [w for _, w in hits]) < least:
+            return None
+        span, step = self.size + max(4, self.size // 2), max(2, self.size // 4)
+        best = None
+        for begin in range(0, max(1, len(region) - span + step), step):
+            part = [w for i, w in hits if begin <= i < begin + span]
+            if len(part) >= least:
+                share = _lcs(self.pattern, self.size, part) / self.size
+                answer = _lcs(self.tail, self.tail_size, part) / self.tail_size
+                if share >= LCS_SURE or (share >= LCS_WITH_ANSWER and answer >= ANSWER_FOUND):
+                    best = max(best or (0.0, 0.0), (share, answer))
+        return best
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
@@ -223,6 +245,8 @@ def _search(docs: DataFrame, rows: DataFrame, weight: np.ndarray, cosine: float,
         )
     )
 
+    passages: dict[int, _Passage] = {}  # those that this task has met
+
     def run(batch: pa.RecordBatch) -> dict | None:
         vocabulary, right, latent, ids, items, weight = model.value
         words = Words(batch.column(1), fold=True)
@@ -255,21 +279,13 @@ def _search(docs: DataFrame, rows: DataFrame, weight: np.ndarray, cosine: float,
             for i, j in zip(*np.nonzero(cos >= cosine), strict=True):
                 seen.setdefault((int(owner[part[i]]), int(j)), []).append((int(start[part[i]]), float(cos[i, j])))
         for (doc, j), found in seen.items():
-            best = (0.0, 0.0, 0.0)
-            item, lo, hi = items[j], words.first[doc], words.first[doc + 1]
-            reach = len(item)
-            span = reach + max(4, reach // 2)  # a region of half as many words again
-            tried = set()
+            item = passages[j] = passages.get(j) or _Passage(items[j])
+            best, lo, hi = None, words.first[doc], words.first[doc + 1]
             for at, c in found:
-                first, last = max(lo, at - reach), min(hi, at + WINDOW + reach)
-                for begin in range(first, max(first + 1, last - span + max(2, reach // 4)), max(2, reach // 4)):
-                    if begin in tried:
-                        continue
-                    tried.add(begin)
-                    share, answer = _verdict(item, h[begin : min(begin + span, last)].view(np.int64).tolist())
-                    if share >= LCS_SURE or (share >= LCS_WITH_ANSWER and answer >= ANSWER_FOUND):
-                        best = max(best, (share, answer, c))
-            if best[0]:
+                region = h[max(lo, at - item.size) : min(hi, at + WINDOW + item.size)].view(np.int64).tolist()
+                if got := item.found(region):
+                    best = max(best or (0.0, 0.0, 0.0), (*got, c))
+            if best:
                 out["doc_id"].append(batch.column(0)[doc].as_py())
                 for name, value in zip(("item_id", "lcs", "answer", "cosine"), (ids[j], *best), strict=True):
                     out[name].append(value)
