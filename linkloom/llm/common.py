@@ -34,8 +34,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def text_id(text: Column) -> Column:
-    """16-byte digest of a text; a null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    """16-byte digest of a text; a null counts as empty.
+
+    Never null, so that joins add no filter and one shuffle by it can serve several.
+    """
+    return F.coalesce(F.unhex(F.md5(F.coalesce(text, F.lit("")))), F.lit(b""))
 
 
 def in_training_fold(doc_id: Column) -> Column:
