@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Words, checkpoint, map_arrow, mix, pieces, table
+from linkloom.llm.common import Words, map_arrow, mix, pieces, table
+from linkloom.operators.components import checkpoint
 
 WINDOW, STRIDE = 32, 16
 DF_BITS = 16

@@ -2,9 +2,10 @@
 
 Words score their learned weight, tags theirs; a linear scan finds the best contiguous
 run. Weights are log odds of standing inside or outside the article of pages that mark it
-with ``<article>`` or ``<main>`` (the labelled pages, a bounded sample). Words inside
+with ``<article>`` or ``<main>`` (the labelled pages, a bounded sample). On a page that marks its
+article, words outside it score below zero and its own tags nothing. Words inside
 containers that are never content - menus, forms, notices, comments and the like - score
-below zero, and their blocks are left out of the run found.
+below zero too, and their blocks are left out of the run found.
 """
 
 from __future__ import annotations
@@ -48,15 +49,17 @@ _BODY = frozenset(("article", "main"))
 
 
 def tokens(page: str):
-    """(kind, name or text, outside): kinds are text, open and close, in page order.
+    """(kind, name or text, outside, body): kinds are text, open and close, in page order.
 
-    ``outside`` is true within a container that is not content. Such a container ends at its end
+    ``body`` is true inside ``<article>``, or ``<main>`` on a page without one. ``outside`` is true within a container that is not content. Such a container ends at its end
     tag, or where an article begins.
     """
+    own = "article" if "<article" in page.lower() else "main"
+    deep = 0
     at, stack = 0, []  # the open containers that are not content, with tags of their name inside
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            yield "text", page[at : m.start()], bool(stack)
+            yield "text", page[at : m.start()], bool(stack), deep > 0
         at = m.end()
         if m[1] or not m[3]:
             continue
@@ -68,7 +71,8 @@ def tokens(page: str):
                 stack[-1][1] -= 1
                 if not stack[-1][1]:
                     stack.pop()
-            yield "close", name, bool(stack)
+            yield "close", name, bool(stack), deep > 0
+            deep -= name == own and deep > 0
             continue
         if name in _BODY:
             stack.clear()
@@ -79,23 +83,22 @@ def tokens(page: str):
             stack[-1][1] += 1
         elif marked and name not in VOID:
             stack.append([name, 1])
-        yield "open", name, bool(stack)
+        deep += name == own
+        yield "open", name, bool(stack), deep > 0
     if at < len(page):
-        yield "text", page[at:], bool(stack)
+        yield "text", page[at:], bool(stack), deep > 0
 
 
 def count_page(page: str) -> dict[tuple[str, bool], int]:
     """Words and tags inside and outside the article of one page; empty if it marks none."""
     out: dict[tuple[str, bool], int] = {}
-    deep = 0
     marked = False
-    for kind, text, _ in tokens(page):
+    for kind, text, _, body in tokens(page):
+        marked |= body
         if kind != "text" and text in _BODY:
-            deep = max(0, deep + (1 if kind == "open" else -1))
-            marked = True
             continue
         key, n = ("#word", len(text.split())) if kind == "text" else ("<" + text, 1)
-        out[key, deep > 0] = out.get((key, deep > 0), 0) + n
+        out[key, body] = out.get((key, body), 0) + n
     return out if marked else {}
 
 
@@ -140,13 +143,18 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     """Main text of one page: blocks joined by a line break."""
     seen = list(tokens(page or ""))
     word = weights.get("#word", 1.0)
-    scores = [
-        (-2.0 if outside else word) * len(text.split()) if kind == "text" else 0.0 if text in _BODY else weights.get("<" + text, -1.0)
-        for kind, text, outside in seen
-    ]
+    marked = any(body for _, _, _, body in seen)
+
+    def score(kind: str, text: str, outside: bool, body: bool) -> float:
+        if kind != "text":
+            return 0.0 if body or text in _BODY else weights.get("<" + text, -1.0)
+        each = (0.0 if body else -2.0) if outside else -word if marked and not body else word
+        return each * len(text.split())
+
+    scores = [score(*t) for t in seen]
     a, b = best_run(scores)
     blocks, now = [], []
-    for kind, text, outside in seen[a:b]:
+    for kind, text, outside, _ in seen[a:b]:
         if kind == "text":
             if not outside:
                 now.append(text)

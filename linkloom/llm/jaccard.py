@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import Words, checkpoint, map_arrow, mix, ngram_hash, run_groups, table, text_id
-from linkloom.llm.components import components
+from linkloom.llm.common import Words, map_arrow, mix, ngram_hash, run_groups, table, text_id
+from linkloom.operators.components import checkpoint, components
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -41,9 +41,9 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
     """
     for limit in (most // 2, most):
         for rows in range(limit, 0, -1):
-            bands = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows))) if threshold < 1 else 1
-            if bands * rows <= limit:
-                return bands, rows
+            miss = np.log1p(-(threshold**rows)) if threshold < 1 else -np.inf  # log chance to miss one band
+            if np.log(1 - recall) >= limit // rows * miss:
+                return max(1, int(np.ceil(np.log(1 - recall) / miss))), rows
     return most, 1
 
 
@@ -137,7 +137,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         else:
             np.fill_diagonal(linked, False)
             links, full = linked @ weight, linked
-        parent = _forest(full)
+        parent = forest(full)
         other = [cls[p] if p != i else None for i, p in enumerate(parent)]
         keep = [i for i in range(len(cls)) if links[i]]
         yield pa.RecordBatch.from_arrays(
@@ -182,7 +182,7 @@ def _jaccard_at_least(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
     return both >= threshold * (len(x) + len(y) - both) - 1e-6
 
 
-def _forest(linked: np.ndarray) -> np.ndarray:
+def forest(linked: np.ndarray) -> np.ndarray:
     """For each row the first row of its component, by spreading over the matrix."""
     parent = np.arange(len(linked))
     seen = np.zeros(len(linked), bool)

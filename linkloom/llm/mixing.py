@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import WORD, checkpoint, table
+from linkloom.llm.common import WORD, table
+from linkloom.operators.components import checkpoint
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUCKETS = 4096

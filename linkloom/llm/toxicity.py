@@ -34,11 +34,7 @@ def fold(text: Column) -> Column:
     for digit, letter in zip(*DIGITS, strict=True):
         mixed = F.regexp_replace(mixed, rf"(?<=[a-z]){digit}(?=[a-z])|\b{digit}(?=[a-z]{{3}})", letter)
     t = F.when(t.rlike(r"[a-z][013457]|[013457][a-z]"), mixed).otherwise(t)
-    return F.concat(F.lit(" "), F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-
-
-def word_count(folded: Column) -> Column:
-    return F.length(folded) - F.length(F.translate(folded, " ", "")) - 1
+    return F.regexp_replace(F.concat(F.lit(" "), t, F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
 
 
 def _terms(folded: str) -> set[str]:

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import checkpoint, map_arrow, run_groups, table
-from linkloom.llm.components import components
-from linkloom.llm.jaccard import _forest
+from linkloom.llm.common import map_arrow, run_groups, table
+from linkloom.llm.jaccard import forest
+from linkloom.operators.components import checkpoint, components
 
 COSINE = 0.93
 BLOCKS = 4
@@ -182,7 +182,7 @@ def _verify(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Rec
         full |= full.T
         np.fill_diagonal(full, False)
         links = full @ copies
-        parent = _forest(full)
+        parent = forest(full)
         keep = np.flatnonzero(links)
         other = pa.array([int(ids[parent[i]]) if parent[i] != i else None for i in keep], pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), other, pa.array(links[keep].astype(np.int64))], names=names)
