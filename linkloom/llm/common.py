@@ -152,9 +152,10 @@ def run_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(key))
-        cut = np.flatnonzero(np.r_[True, np.array(col[1:].to_pylist(), object) != np.array(col[:-1].to_pylist(), object)])
+        keys = col.to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         for a, b in zip(cut, np.r_[cut[1:], batch.num_rows], strict=True):
-            now = col[int(a)].as_py()
+            now = keys[a]
             if kept and now != last:
                 yield pa.Table.from_batches(kept)
                 kept = []

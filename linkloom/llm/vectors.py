@@ -82,7 +82,7 @@ def _cells(classes: DataFrame, cosine: float, blocks: int, grid_dims: int, width
     half = [s for s in itertools.product((-1, 0, 1), repeat=grid_dims) if s >= (0,) * grid_dims]
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows, cells, coords, home = [], [], [], []
+        rows, cells, coords, home, share = [], [], [], [], []
         dims = batch.column(2).to_numpy(zero_copy_only=False)
         for d in np.unique(dims).tolist():
             at = np.flatnonzero(dims == d)
@@ -102,12 +102,13 @@ def _cells(classes: DataFrame, cosine: float, blocks: int, grid_dims: int, width
                     cells.append(np.c_[np.full((len(at), 2), (d, k)), cell + np.array(step)])
                     coords += packed
                     home.append(np.full(len(at), not any(step)))
+                    share.append(np.full(len(at), _budget(cosine, a, b, d)))
         take = pa.array(np.concatenate(rows) if rows else np.zeros(0, int))
         flat = np.concatenate(cells).ravel() if cells else np.zeros(0, int)
         return {
             "label": batch.column(1).take(take), "cls": batch.column(0).take(take), "v": coords, "home": np.concatenate(home) if home else [],
             "cell": pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 + grid_dims, dtype=np.int32)), pa.array(flat)),
-            "share": np.repeat(0.0, len(take)) + [_budget(cosine, *block_edges(d, blocks)[k], d) for d, k in flat.reshape(-1, 2 + grid_dims)[:, :2].tolist()],
+            "share": np.concatenate(share) if share else [],
         }
 
     schema = "label long, cls long, v binary, home boolean, cell array<long>, share double"
