@@ -6,7 +6,7 @@ sources by cap / w gives the level from prefix sums; that table has one row per
 
 Repetition: a source's epochs are target / size. Every document is taken floor(epochs)
 times; the fractional rest takes whole documents in a seeded order until their sizes
-reach it. The order is by 32-bit hash; per (source, hash bucket) sums decide whole
+reach it. The order is by a 32-bit hash (of md5, so that SQL can repeat it); per (source, hash bucket) sums decide whole
 buckets, and only the one bucket at the border is ordered row by row, so no window
 holds more than about 1/4096 of a source.
 """
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7) -> DataFrame:
         "doc_id",
         "source",
         n_words(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h"),
+        F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long").alias("h"),
     ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_bucket = checkpoint(per_bucket)  # a small table, used three times
@@ -117,3 +117,32 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7) -> DataFrame:
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+OP1_SQL = r"""
+WITH rows_ AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5(concat_ws('|', doc_id, '7')), 1, 8))::BIGINT AS h FROM documents),
+per AS (SELECT source, h % 4096 AS bucket, sum(size)::BIGINT AS bucket_size FROM rows_ GROUP BY ALL),
+weighed AS (
+  SELECT source, source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+    source_size::DOUBLE * 3 AS cap, (sum(source_size) OVER ())::DOUBLE AS budget
+  FROM (SELECT source, sum(bucket_size)::BIGINT AS source_size FROM per GROUP BY source)),
+levels AS (
+  SELECT *, (budget - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level
+  FROM weighed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+level AS (SELECT (SELECT level FROM levels WHERE cap > level * weight ORDER BY cap / weight, level LIMIT 1) AS level),
+goals AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS epochs, floor(epochs) AS whole, (epochs - whole) * source_size AS rest
+  FROM (SELECT source, source_size, greatest(CASE WHEN l.level IS NULL THEN cap ELSE least(cap, l.level * weight) END, 0) AS target FROM levels, level l)),
+ends AS (SELECT *, (sum(bucket_size) OVER (PARTITION BY source ORDER BY bucket))::BIGINT - bucket_size AS before FROM per),
+border AS (
+  SELECT e.source, min(e.bucket) AS border, arg_min(rest - before, e.bucket) AS room
+  FROM ends e JOIN goals g ON e.source IS NOT DISTINCT FROM g.source WHERE before + bucket_size > rest GROUP BY e.source),
+placed AS (
+  SELECT r.*, g.source_size, g.target, g.whole, coalesce(b.border, 4096) AS border, b.room, r.h % 4096 AS bucket,
+    sum(size) OVER (PARTITION BY r.source, r.h % 4096 ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
+  FROM rows_ r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source LEFT JOIN border b ON r.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM (
+  SELECT *, (whole + CASE WHEN bucket < border THEN 1 WHEN bucket > border THEN 0 WHEN middle <= room THEN 1 ELSE 0 END)::BIGINT AS copies FROM placed)
+"""
