@@ -32,20 +32,22 @@ def cell_size(segs: DataFrame) -> float:
 
 
 def _cells(segs: DataFrame, cell: float) -> DataFrame:
-    """One row per segment and cell covered by the boxes of its cuts."""
+    """One row per segment and cell covered by the boxes of its cuts, made row by row without a shuffle."""
     reach = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     cuts = F.greatest(F.ceil(reach / (cell * CELLS_PER_CUT)).cast("int"), F.lit(1))
-    out = segs.withColumn("cuts", cuts).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    pad = cell * 1e-9  # rounding of a cut's ends
 
-    def at(a: str, b: str, k: Column) -> Column:
-        return F.col(a) + (F.col(b) - F.col(a)) * k / F.col("cuts")
+    def span(c: str, k: Column) -> Column:
+        a, b = F.col(f"{c}1"), F.col(f"{c}2")
+        p, q = a + (b - a) * k / F.col("cuts"), a + (b - a) * (k + 1) / F.col("cuts")
+        return F.sequence(F.floor((F.least(p, q) - pad) / cell), F.floor((F.greatest(p, q) + pad) / cell))
 
-    pad = cell * 1e-9  # rounding of a cut's ends
-    for c in ("x", "y"):
-        p, q = at(f"{c}1", f"{c}2", F.col("cut")), at(f"{c}1", f"{c}2", F.col("cut") + 1)
-        lo, hi = (F.least(p, q) - pad) / cell, (F.greatest(p, q) + pad) / cell
-        out = out.withColumn(f"c{c}", F.explode(F.sequence(F.floor(lo), F.floor(hi))))
-    return out.drop("cuts", "cut").distinct()
+    def box(k: Column) -> Column:
+        return F.flatten(F.transform(span("x", k), lambda i: F.transform(span("y", k), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+
+    out = segs.withColumn("cuts", cuts)
+    cells = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), box)))
+    return out.withColumn("cell", F.explode(cells)).select(*segs.columns, "cell.cx", "cell.cy")
 
 
 def points_on_lines(
