@@ -173,9 +173,9 @@ def _o(a: str, b: str, c: str) -> str:
     return f"((({b[0]}) - ({a[0]})) * (({c[1]}) - ({a[1]})) - (({b[1]}) - ({a[1]})) * (({c[0]}) - ({a[0]})))"
 
 
-def _road_graph_sql() -> str:
+def _road_graph_select() -> str:
     a1, a2, b1, b2 = (("a.x1", "a.y1"), ("a.x2", "a.y2"), ("b.x1", "b.y1"), ("b.x2", "b.y2"))
-    return f"""WITH {X.ROADS} SELECT a.fid AS src, b.fid AS dst FROM roads a JOIN roads b ON a.fid <> b.fid
+    return f"""SELECT a.fid AS src, b.fid AS dst FROM roads a JOIN roads b ON a.fid <> b.fid
       AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2)
       AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)
       AND sign({_o(a1, a2, b1)}) * sign({_o(a1, a2, b2)}) <= 0 AND sign({_o(b1, b2, a1)}) * sign({_o(b1, b2, a2)}) <= 0"""
@@ -262,7 +262,7 @@ near_s AS (SELECT n.*, s.split FROM near_e n JOIN split s ON s.mh_id = n.index_m
 road_s AS (SELECT DISTINCT index_road AS road_id, split FROM near_s),
 mh_map AS (SELECT mh_id AS old, split, row_number() OVER (PARTITION BY split ORDER BY mh_id) - 1 AS new FROM split),
 road_map AS (SELECT road_id AS old, split, row_number() OVER (PARTITION BY split ORDER BY road_id) - 1 AS new FROM road_s)"""
-ROAD_GRAPH = f"rg AS ({_road_graph_sql().split('roads AS', 1)[1].split('part)', 1)[1]})"
+ROAD_GRAPH = f"rg AS ({_road_graph_select()})"
 BASE_SPLIT = f"{BASE}, {X.NEAR}, {X.ROADS}, {COMPONENTS}, {SPLIT}, {USED_ROADS}"
 
 
@@ -387,10 +387,10 @@ QUERIES = {
         b AS (SELECT quantile_cont(near_dist, [0.2, 0.4, 0.6, 0.8]) AS q FROM e)
         SELECT mh_id AS index_mh, road_id AS index_road, near_pos, side, {QBIN.format(c='near_dist')} AS dist_bin FROM e, b""",
     ),
-    "road_graph": (road_graph, _road_graph_sql()),
+    "road_graph": (road_graph, f"WITH {X.ROADS} {_road_graph_select()}"),
     "multipart_boundary": (
         multipart_boundary,
-        """SELECT o_orderkey AS line_id, CASE WHEN ex = x AND ey = y THEN 0 WHEN ex = x + 1 AND ey = y THEN 2 ELSE 2 END AS n_ends,
+        """SELECT o_orderkey AS line_id, CASE WHEN ex = x AND ey = y THEN 0 ELSE 2 END AS n_ends,
         CASE WHEN ex = x AND ey = y THEN NULL ELSE x END AS x1, CASE WHEN ex = x AND ey = y THEN NULL ELSE ey END AS y2
         FROM (SELECT *, (o_custkey % 50)::DOUBLE AS x, (o_custkey // 50)::DOUBLE AS y, x + o_orderkey % 2 AS ex, y + o_orderkey % 3 AS ey FROM orders)""",
     ),
