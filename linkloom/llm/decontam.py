@@ -9,8 +9,9 @@
 4. Candidates above the cosine bound are checked by the longest common subsequence of words
    around the window and by the words of the answer, the end of the passage.
 
-The benchmark is a stated query set: it is dealt in blocks whose projection fits
-``MODEL_BYTES``, and each block is broadcast and run against all documents.
+The benchmark is a stated query set. It is dealt in blocks of at most ``RANK`` distinct passages,
+so that the latent space of a block holds all of its passages and the cosines are exact. As many
+blocks as fit in ``MODEL_BYTES`` (one at least) are broadcast and run against all documents together.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import Words, map_arrow, mix, pieces, table
+from linkloom.operators import ids as I
 from linkloom.operators.components import checkpoint
 
 WINDOW, STRIDE = 32, 16
@@ -121,7 +123,7 @@ def randomized_svd(entries: DataFrame, rank: int = RANK, power: int = 1, seed: i
     Randomised range finding with ``power`` power steps (Halko et al., 2011).
     """
     n = entries.select("item").distinct().count()
-    width = max(1, min(n, rank + 16))
+    width = min(n, rank) + 16  # more than the rows, so that none of a full space is lost
 
     def start(batch: pa.RecordBatch) -> dict:
         words = batch.column(0).to_numpy()
@@ -136,7 +138,7 @@ def randomized_svd(entries: DataFrame, rank: int = RANK, power: int = 1, seed: i
         q = checkpoint(_apply(z, "word", basis))
     y = checkpoint(_times(entries, q, "word", "item"))
     value, vector = np.linalg.eigh(_gram(y, width))
-    top = np.argsort(-value)[: min(rank, width)]
+    top = np.argsort(-value)[: max(1, min(rank, n))]
     turn = vector[:, top]
     return _apply(q, "word", turn), _apply(y, "item", turn), np.sqrt(value[top].clip(0))
 
@@ -212,84 +214,93 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, ra
     rows = checkpoint(map_arrow(items, entries, "item long, item_id long, at long, word long, w double"))
     long_enough = rows.groupBy("item").agg(F.count("*").alias("n")).where("n >= 5").select("item")
     rows = checkpoint(rows.join(long_enough, "item"))
-    total = rows.count()
+    numbers = I.dense_id(rows.select("item").distinct(), ["item"], "n")
+    rows = checkpoint(rows.join(numbers, "item").withColumn("block", F.floor(F.col("n") / rank)))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double, answer double")
-    blocks = max(1, -(-total * 4 * rank // MODEL_BYTES)) if total else 0
-    for b in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64(F.lit(b"b"), "item"), F.lit(blocks)) == b)
-        out = out.unionByName(_search(docs, part, weight, cosine, rank))
+    models: list[tuple] = []
+    size = 0
+    for b in range(rows.agg(F.max("block")).first()[0] + 1 if not rows.isEmpty() else 0):
+        model = _model(rows.where(F.col("block") == b), rank)
+        if models and size + model[1].nbytes > MODEL_BYTES:
+            out, models, size = out.unionByName(_search(docs, models, weight, cosine)), [], 0
+        models.append(model)
+        size += model[1].nbytes
+    if models:
+        out = out.unionByName(_search(docs, models, weight, cosine))
     return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
 
 
-def _search(docs: DataFrame, rows: DataFrame, weight: np.ndarray, cosine: float, rank: int) -> DataFrame:
+def _model(rows: DataFrame, rank: int) -> tuple:
+    """One block of at most ``rank`` passages: its words, their projection, and the passages' latent rows, ids and words."""
     entries = checkpoint(rows.groupBy("item", "word").agg(F.sum("w").alias("w")))
     right, projected, _ = randomized_svd(entries, rank)
-    # one block of the benchmark: at most MODEL_BYTES
     words = right.toPandas()
     latent = {r["item"]: np.frombuffer(r["v"]) for r in projected.collect()}
     texts: dict[int, list] = {}
     for r in rows.orderBy("item", "at").collect():
         texts.setdefault(r["item"], [r["item_id"]]).append(r["word"])
-    if not texts:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double, answer double")
     order = np.argsort(words["word"].to_numpy())
     keys = list(texts)
     x = np.stack([latent[k] for k in keys])
-    model = docs.sparkSession.sparkContext.broadcast(
-        (
-            words["word"].to_numpy()[order],
-            np.stack([np.frombuffer(v) for v in words["v"]])[order].astype(np.float32),
-            (x / np.linalg.norm(x, axis=1, keepdims=True).clip(1e-12)).astype(np.float32),
-            [texts[k][0] for k in keys],
-            [texts[k][1:] for k in keys],
-            weight,
-        )
+    return (
+        words["word"].to_numpy()[order],
+        np.stack([np.frombuffer(v) for v in words["v"]])[order].astype(np.float32),
+        (x / np.linalg.norm(x, axis=1, keepdims=True).clip(1e-12)).astype(np.float32),
+        [texts[k][0] for k in keys],
+        [texts[k][1:] for k in keys],
     )
 
-    passages: dict[int, _Passage] = {}  # those that this task has met
+
+def _search(docs: DataFrame, models: list[tuple], weight: np.ndarray, cosine: float) -> DataFrame:
+    """Leaks of the passages of some blocks, in one pass over the documents."""
+    sent = docs.sparkSession.sparkContext.broadcast((models, weight))  # MODEL_BYTES, or one block
+
+    passages: dict[tuple[int, int], _Passage] = {}  # those that this task has met
 
     def run(batch: pa.RecordBatch) -> dict | None:
-        vocabulary, right, latent, ids, items, weight = model.value
+        models, weight = sent.value
         words = Words(batch.column(1), fold=True)
         size = np.diff(words.first)
         h = words.hash
         if not len(h):
             return None
         w = weight[(h >> _U(64 - DF_BITS)).astype(np.int64)]
-        place = np.searchsorted(vocabulary, h.view(np.int64)).clip(max=len(vocabulary) - 1)
-        known = vocabulary[place] == h.view(np.int64)
         # windows: the last one of a text may be shorter
         n = np.where(size > 0, np.maximum(1, -(-(size - WINDOW) // STRIDE) + 1), 0)
         owner = np.repeat(np.arange(batch.num_rows), n)
         start = words.first[owner] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
         end = np.minimum(start + WINDOW, words.first[owner + 1])
-        mass, inside = (np.r_[0.0, np.cumsum(m)] for m in (w * w, np.where(known, w * w, 0)))
+        mass = np.r_[0.0, np.cumsum(w * w)]
         length = mass[end] - mass[start]
-        hopeful = np.flatnonzero(inside[end] - inside[start] >= cosine**2 * length)
         out: dict[str, list] = {"doc_id": [], "item_id": [], "cosine": [], "lcs": [], "answer": []}
-        seen: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for part in np.array_split(hopeful, len(hopeful) // 2000 + 1):
-            take = start[part][:, None] + np.arange(WINDOW)
-            ok = take < end[part][:, None]
-            take = np.minimum(take, len(h) - 1)
-            scale = np.where(ok & known[take], w[take], 0).astype(np.float32)
-            vec = np.zeros((len(part), right.shape[1]), np.float32)
-            for i in range(WINDOW):
-                vec += right[place[take[:, i]]] * scale[:, i : i + 1]
-            cos = vec @ latent.T / np.sqrt(length[part])[:, None]
-            for i, j in zip(*np.nonzero(cos >= cosine), strict=True):
-                seen.setdefault((int(owner[part[i]]), int(j)), []).append((int(start[part[i]]), float(cos[i, j])))
-        for (doc, j), found in seen.items():
-            item = passages[j] = passages.get(j) or _Passage(items[j])
-            best, lo, hi = None, words.first[doc], words.first[doc + 1]
-            for at, c in found:
-                region = h[max(lo, at - item.size) : min(hi, at + WINDOW + item.size)].view(np.int64).tolist()
-                if got := item.found(region):
-                    best = max(best or (0.0, 0.0, 0.0), (*got, c))
-            if best:
-                out["doc_id"].append(batch.column(0)[doc].as_py())
-                for name, value in zip(("item_id", "lcs", "answer", "cosine"), (ids[j], *best), strict=True):
-                    out[name].append(value)
+        for block, (vocabulary, right, latent, ids, items) in enumerate(models):
+            place = np.searchsorted(vocabulary, h.view(np.int64)).clip(max=len(vocabulary) - 1)
+            known = vocabulary[place] == h.view(np.int64)
+            inside = np.r_[0.0, np.cumsum(np.where(known, w * w, 0))]
+            hopeful = np.flatnonzero(inside[end] - inside[start] >= cosine**2 * length)
+            seen: dict[tuple[int, int], list[tuple[int, float]]] = {}
+            for part in np.array_split(hopeful, len(hopeful) // 2000 + 1):
+                take = start[part][:, None] + np.arange(WINDOW)
+                ok = take < end[part][:, None]
+                take = np.minimum(take, len(h) - 1)
+                scale = np.where(ok & known[take], w[take], 0).astype(np.float32)
+                vec = np.zeros((len(part), right.shape[1]), np.float32)
+                for i in range(WINDOW):
+                    vec += right[place[take[:, i]]] * scale[:, i : i + 1]
+                cos = vec @ latent.T / np.sqrt(length[part])[:, None]
+                for i, j in zip(*np.nonzero(cos >= cosine), strict=True):
+                    seen.setdefault((int(owner[part[i]]), int(j)), []).append((int(start[part[i]]), float(cos[i, j])))
+            for (doc, j), found in seen.items():
+                item = passages[block, j] = passages.get((block, j)) or _Passage(items[j])
+                best, lo, hi = None, words.first[doc], words.first[doc + 1]
+                for at, c in found:
+                    region = h[max(lo, at - item.size) : min(hi, at + WINDOW + item.size)].view(np.int64).tolist()
+                    if got := item.found(region):
+                        best = max(best or (0.0, 0.0, 0.0), (*got, c))
+                if best:
+                    out["doc_id"].append(batch.column(0)[doc].as_py())
+                    for name, value in zip(("item_id", "lcs", "answer", "cosine"), (ids[j], *best), strict=True):
+                        out[name].append(value)
         return out if out["doc_id"] else None
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, item_id long, cosine double, lcs double, answer double")

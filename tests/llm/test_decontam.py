@@ -92,3 +92,14 @@ def test_recall_of_the_search_against_brute_force(spark, tiny):
     want = {(r["doc_id"], i) for r in docs.collect() for g in [grams(r["text"])] for i, s in items.items() if s and len(s & g) >= 0.6 * len(s)}
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
     assert want and len(want & got) >= 0.9 * len(want)
+
+
+def test_large_benchmark_misses_no_leak(spark):
+    """Over 1,000 passages, against a comparison of all pairs."""
+    rng = random.Random(11)
+    items = [(i, text(rng, rng.randrange(15, 60))) for i in range(1100)]
+    rows = [(i, " ".join((text(rng, rng.randrange(30, 90)), items[i * 3][1], text(rng, 30)))) for i in range(360)]
+    want = {(d, i) for d, t in rows for i, p in items if f" {p} " in f" {t} "}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
+    assert len(want) >= 360 and want == got
