@@ -5,12 +5,14 @@
    (passage, word, weight) entries: only matrices of rank x rank reach the driver.
 3. Windows of every document are projected to the latent space. Cosines are taken with the
    full length of the window, so words outside the benchmark's vocabulary count against it,
-   and a window with too little weight inside the vocabulary needs no projection.
+   and a window with too little weight inside the vocabulary needs no projection. A passage of
+   more than two windows is searched for by overlapping parts of that length, as a window is a
+   small share of a long passage.
 4. Candidates above the cosine bound are checked by the longest common subsequence of words
-   around the window and by the words of the answer, the end of the passage.
+   around the window and by the words of the answer, the end of the passage, on whole passages.
 
-The benchmark is a stated query set. It is dealt in blocks of at most ``RANK`` distinct passages,
-so that the latent space of a block holds all of its passages and the cosines are exact. As many
+The benchmark is a stated query set. It is dealt in blocks of at most ``RANK`` passages or parts,
+so that the latent space of a block holds all of its rows and the cosines are exact. As many
 blocks as fit in ``MODEL_BYTES`` (one at least) are broadcast and run against all documents together.
 """
 
@@ -28,6 +30,7 @@ from linkloom.operators import ids as I
 from linkloom.operators.components import checkpoint
 
 WINDOW, STRIDE = 32, 16
+PART = 2 * WINDOW  # parts begin every WINDOW words: each stretch of a window lies in one
 DF_BITS = 16
 RANK = 256
 COSINE = 0.25
@@ -190,6 +193,19 @@ class _Passage:
         return best
 
 
+def _regions(found: dict[int, float], size: int) -> list[list]:
+    """[start, end, cosine] around the windows found, a passage's length to each side; for passages of
+    several parts, those that overlap are one."""
+    out: list[list] = []
+    for at in sorted(found):
+        begin, stop = at - size, at + WINDOW + size
+        if size > PART and out and begin <= out[-1][1]:
+            out[-1][1:] = stop, max(out[-1][2], found[at])
+        else:
+            out.append([begin, stop, found[at]])
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, rank: int = RANK) -> DataFrame:
     """One row per leaked pair: doc_id, item_id, cosine, lcs, answer (the best of its windows).
 
@@ -212,15 +228,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, ra
 
     items = benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").where("text is not null").dropDuplicates()
     rows = checkpoint(map_arrow(items, entries, "item long, item_id long, at long, word long, w double"))
-    long_enough = rows.groupBy("item").agg(F.count("*").alias("n")).where("n >= 5").select("item")
+    long_enough = rows.groupBy("item").agg(F.count("*").alias("size")).where("size >= 5")
     rows = checkpoint(rows.join(long_enough, "item"))
-    numbers = I.dense_id(rows.select("item").distinct(), ["item"], "n")
-    rows = checkpoint(rows.join(numbers, "item").withColumn("block", F.floor(F.col("n") / rank)))
+    last = F.greatest(F.lit(0), F.ceil((F.col("size") - PART) / WINDOW))
+    first = F.greatest(F.lit(0), F.ceil((F.col("at") - PART + 1) / WINDOW))
+    parts = rows.withColumn("k", F.explode(F.sequence(first, F.least(F.floor(F.col("at") / WINDOW), last))))
+    numbers = I.dense_id(parts.select("item", "k").distinct(), ["item", "k"], "part")
+    parts = checkpoint(parts.join(numbers, ["item", "k"]).select("part", "item", "word", "w", F.floor(F.col("part") / rank).alias("block")))
     out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double, answer double")
     models: list[tuple] = []
     size = 0
-    for b in range(rows.agg(F.max("block")).first()[0] + 1 if not rows.isEmpty() else 0):
-        model = _model(rows.where(F.col("block") == b), rank)
+    for b in range(numbers.count() and parts.agg(F.max("block")).first()[0] + 1):
+        model = _model(rows, parts.where(F.col("block") == b), rank)
         if models and size + model[1].nbytes > MODEL_BYTES:
             out, models, size = out.unionByName(_search(docs, models, weight, cosine)), [], 0
         models.append(model)
@@ -230,24 +249,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, ra
     return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer"))
 
 
-def _model(rows: DataFrame, rank: int) -> tuple:
-    """One block of at most ``rank`` passages: its words, their projection, and the passages' latent rows, ids and words."""
-    entries = checkpoint(rows.groupBy("item", "word").agg(F.sum("w").alias("w")))
+def _model(rows: DataFrame, parts: DataFrame, rank: int) -> tuple:
+    """One block of at most ``rank`` parts: its words, their projection, the parts' latent rows and passages, and the passages' ids and words."""
+    entries = checkpoint(parts.groupBy(F.col("part").alias("item"), "word").agg(F.sum("w").alias("w")))
     right, projected, _ = randomized_svd(entries, rank)
     words = right.toPandas()
     latent = {r["item"]: np.frombuffer(r["v"]) for r in projected.collect()}
     texts: dict[int, list] = {}
-    for r in rows.orderBy("item", "at").collect():
+    for r in rows.join(parts.select("item").distinct(), "item", "left_semi").orderBy("item", "at").collect():
         texts.setdefault(r["item"], [r["item_id"]]).append(r["word"])
     order = np.argsort(words["word"].to_numpy())
-    keys = list(texts)
-    x = np.stack([latent[k] for k in keys])
+    whole = {k: i for i, k in enumerate(texts)}
+    owner = [(r["part"], whole[r["item"]]) for r in parts.select("part", "item").distinct().orderBy("part").collect()]
+    x = np.stack([latent[k] for k, _ in owner])
     return (
         words["word"].to_numpy()[order],
         np.stack([np.frombuffer(v) for v in words["v"]])[order].astype(np.float32),
         (x / np.linalg.norm(x, axis=1, keepdims=True).clip(1e-12)).astype(np.float32),
-        [texts[k][0] for k in keys],
-        [texts[k][1:] for k in keys],
+        [i for _, i in owner],
+        [t[0] for t in texts.values()],
+        [t[1:] for t in texts.values()],
     )
 
 
@@ -273,12 +294,12 @@ def _search(docs: DataFrame, models: list[tuple], weight: np.ndarray, cosine: fl
         mass = np.r_[0.0, np.cumsum(w * w)]
         length = mass[end] - mass[start]
         out: dict[str, list] = {"doc_id": [], "item_id": [], "cosine": [], "lcs": [], "answer": []}
-        for block, (vocabulary, right, latent, ids, items) in enumerate(models):
+        for block, (vocabulary, right, latent, whole, ids, items) in enumerate(models):
             place = np.searchsorted(vocabulary, h.view(np.int64)).clip(max=len(vocabulary) - 1)
             known = vocabulary[place] == h.view(np.int64)
             inside = np.r_[0.0, np.cumsum(np.where(known, w * w, 0))]
             hopeful = np.flatnonzero(inside[end] - inside[start] >= cosine**2 * length)
-            seen: dict[tuple[int, int], list[tuple[int, float]]] = {}
+            seen: dict[tuple[int, int], dict[int, float]] = {}
             for part in np.array_split(hopeful, len(hopeful) // 2000 + 1):
                 take = start[part][:, None] + np.arange(WINDOW)
                 ok = take < end[part][:, None]
@@ -289,13 +310,14 @@ def _search(docs: DataFrame, models: list[tuple], weight: np.ndarray, cosine: fl
                     vec += right[place[take[:, i]]] * scale[:, i : i + 1]
                 cos = vec @ latent.T / np.sqrt(length[part])[:, None]
                 for i, j in zip(*np.nonzero(cos >= cosine), strict=True):
-                    seen.setdefault((int(owner[part[i]]), int(j)), []).append((int(start[part[i]]), float(cos[i, j])))
+                    found = seen.setdefault((int(owner[part[i]]), whole[j]), {})
+                    at = int(start[part[i]])
+                    found[at] = max(found.get(at, 0.0), float(cos[i, j]))
             for (doc, j), found in seen.items():
                 item = passages[block, j] = passages.get((block, j)) or _Passage(items[j])
                 best, lo, hi = None, words.first[doc], words.first[doc + 1]
-                for at, c in found:
-                    region = h[max(lo, at - item.size) : min(hi, at + WINDOW + item.size)].view(np.int64).tolist()
-                    if got := item.found(region):
+                for begin, stop, c in _regions(found, item.size):
+                    if got := item.found(h[max(lo, begin) : min(hi, stop)].view(np.int64).tolist()):
                         best = max(best or (0.0, 0.0, 0.0), (*got, c))
                 if best:
                     out["doc_id"].append(batch.column(0)[doc].as_py())

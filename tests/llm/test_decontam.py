@@ -103,3 +103,20 @@ def test_large_benchmark_misses_no_leak(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
     assert len(want) >= 360 and want == got
+
+
+def test_long_passages(spark):
+    """Verbatim and with every second word before the answer replaced."""
+    rng = random.Random(12)
+    items = [(i, text(rng, n)) for i, n in enumerate((40, 64, 65, 96, 97, 130, 300, 600, 1000, 1000, 1500, 3000))]
+    rows = []
+    for i, p in items:
+        words = p.split()
+        for k in range(0, int(len(words) * 0.75), 2):
+            words[k] = f"other{k}"
+        rows += [(2 * i, " ".join((text(rng, 50), p, text(rng, 70)))), (2 * i + 1, " ".join((text(rng, 50), *words, text(rng, 70))))]
+    rows.append((99, text(rng, 3000)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontam.find_leaks(docs, bench).collect()}
+    assert set(got) == {(2 * i + k, i) for i, _ in items for k in (0, 1)}
+    assert all(got[2 * i, i] == 1 for i, _ in items)
