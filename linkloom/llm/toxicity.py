@@ -3,9 +3,9 @@
 Folding (lower case, homoglyphs, digit substitutions inside words, one space between
 words) runs as column expressions. The lexicon is learned from labelled rows: word starts
 and whole words whose share in toxic texts is far above that in clean ones. The automaton
-takes the longest term at each word, so exception phrases - word pairs and words seen in
-clean texts that contain a term - win over the term and weigh nothing. A logistic curve
-over the weight of the hits, in total and per word, gives the score.
+takes the longest term at each word, so exception phrases - whole words and word pairs that
+contain a term but stand mainly in clean training rows - win over the term and weigh nothing.
+A logistic curve over the weight of the hits, in total and per word, gives the score.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from linkloom.llm.common import in_training_fold, map_arrow, table
 TRAIN_ROWS = 6_000
 MAX_TERMS = 4_000
 LONGEST = 12
+#: An exception stands in at least as many clean rows, and its lift is no more than this.
+EXCEPTION_ROWS, EXCEPTION_LIFT = 4, 0.5
 #: Look-alike characters and what they are read as.
 HOMOGLYPHS = ("аеорсухіјѕԁһοαεικνρτυ@$€", "aeopcyxijsdhoaeikvptuase")
 #: Digits read as letters when they stand among letters.
@@ -46,12 +48,23 @@ def _terms(folded: str) -> set[str]:
     return out
 
 
+def _phrases(folded: str, kept: set[str]) -> set[tuple[str, str]]:
+    """(phrase, its words that hold a kept term): whole words that are no terms themselves, and word pairs."""
+    words = folded.split()
+    holds = [f" {w} " in kept or any(f" {w[:n]}" in kept for n in range(3, min(len(w), LONGEST) + 1)) for w in words]
+    out = {(f" {w} ", w) for w, h in zip(words, holds, strict=True) if h and f" {w} " not in kept}
+    for a, b, x, y in zip(words, words[1:], holds, holds[1:], strict=False):
+        if x or y:
+            out.add((f" {a} {b} ", " ".join(w for w, h in ((a, x), (b, y)) if h)))
+    return out
+
+
 def learn(rows: DataFrame, max_rows: int = TRAIN_ROWS, max_terms: int = MAX_TERMS, exceptions: tuple[str, ...] = ()) -> dict:
     """A model from rows (doc_id, text, toxic).
 
     Rows with a null text or label are left out; at most about ``max_rows`` rows, chosen by a
     hash of doc_id, are used. Without toxic or without clean rows every score is 0.
-    ``exceptions`` are further phrases that weigh nothing.
+    At most ``max_terms`` exceptions are learned; ``exceptions`` are further phrases that weigh nothing.
     """
     rows = rows.where("text is not null and toxic is not null")
     n = rows.count()
@@ -81,9 +94,30 @@ def learn(rows: DataFrame, max_rows: int = TRAIN_ROWS, max_terms: int = MAX_TERM
     model = {"terms": dict.fromkeys(top, 1.0), "curve": [0.0, 0.0, 0.0, 0.0]}
     if not top:
         return model
+    kept = set(top)
+
+    def count_phrases(batches):
+        for pdf in batches:
+            seen: dict[tuple[str, str], list[int]] = {}
+            for t, y in zip(pdf["t"], pdf["y"], strict=True):
+                for phrase in _phrases(t, kept):
+                    seen.setdefault(phrase, [0, 0])[y] += 1
+            yield pd.DataFrame([(*k, *v) for k, v in seen.items()], columns=["term", "holders", "clean", "toxic"])
+
+    phrases = rows.mapInPandas(count_phrases, "term string, holders string, clean long, toxic long").groupBy("term", "holders").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
+    )
+    mainly_clean = phrases.where((F.col("clean") >= EXCEPTION_ROWS) & (F.col("clean") > F.col("toxic")) & (lift <= EXCEPTION_LIFT))
+    is_pair = F.col("term").rlike(r"^ \S+ \S+ $")  # words first: a pair whose terms stand in such words adds nothing
+    learned: dict[str, float] = {}
+    for r in mainly_clean.orderBy(is_pair, F.desc("clean"), "term").limit(max_terms).collect():
+        if r["term"].count(" ") == 2 or not all(f" {w} " in learned for w in r["holders"].split()):
+            learned[r["term"]] = 0.0
+    learned |= {fold_text(e): 0.0 for e in exceptions}
+    model["terms"] |= learned
     # what each term does as the longest match, in toxic and clean texts of the sample
     per = rows.mapInPandas(_hits(model), "y int, words long, terms array<string>").toPandas()
-    seen: dict[str, list[float]] = {t: [0.0, 0.0] for t in top}
+    seen: dict[str, list[float]] = {t: [0.0, 0.0] for t in model["terms"]}
     words = [1.0, 1.0]
     for y, n_w, terms in zip(per["y"], per["words"], per["terms"], strict=True):
         words[y] += n_w
@@ -91,7 +125,7 @@ def learn(rows: DataFrame, max_rows: int = TRAIN_ROWS, max_terms: int = MAX_TERM
             seen[t][y] += 1
     base = np.log(words[1] / words[0])
     model["terms"] = {t: max(0.0, float(np.log((a[1] + 0.1) / (a[0] + 0.1)) - base)) if sum(a) >= 2 else 0.0 for t, a in seen.items()}
-    model["terms"] |= {fold_text(e): 0.0 for e in exceptions}
+    model["terms"] |= learned
     x = np.array([_features(n_w, sum(model["terms"][t] for t in terms)) for n_w, terms in zip(per["words"], per["terms"], strict=True)])
     model["curve"] = _logistic(x, per["y"].to_numpy(float)).tolist()
     return model

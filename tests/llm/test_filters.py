@@ -158,6 +158,26 @@ def test_toxicity(spark):
     assert s[1] == 4 and s[2] >= 1 and s[4] == s[5] == s[6] == s[7] == s[8] == 0
 
 
+def test_toxicity_learns_exceptions(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        words, bad = text(rng, 40).split(), i % 4 == 0
+        for _ in range(3 if bad else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(("grumbleface", "snotrag", "wretch")))
+        if not bad and i % 5 == 1:
+            words.insert(3, "wretchedness")
+        if not bad and i % 5 == 2:
+            words[3:3] = ["snotrag", "museum"]
+        rows.append((i, " ".join(words), int(bad)))
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    filler = "bena cing do fur gest lo men nest po rur sing tur vest "
+    cases = [(1, filler + "wretchedness " * 9), (2, filler + "Snotrag museum, snotrag museum"), (3, filler + "snotrag wretch wretch"), (4, filler)]
+    got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(cases, "doc_id long, text string"), model).collect()}
+    assert [got[i]["n_hits"] for i in (1, 2, 3, 4)] == [0, 0, 3, 0]
+    assert max(got[1]["score"], got[2]["score"]) < 0.5 < 0.7 <= got[3]["score"]
+
+
 def test_toxicity_without_labels(spark):
     docs = odd_docs(spark)
     none = toxicity.learn(spark.createDataFrame([], "doc_id long, text string, toxic int"))
