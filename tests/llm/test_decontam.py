@@ -45,9 +45,9 @@ def test_blocks_of_the_benchmark_agree(spark, monkeypatch):
 def test_odd_rows(spark):
     items = passages(5)
     docs = odd_docs(spark, [(30, "so " + items[2][1], "en", "a"), (30, "so " + items[2][1], "en", "a"), (None, items[3][1], "en", "a")])
-    bench = spark.createDataFrame([*items, (9, None), (None, ""), (10, "two words"), items[2], (None, items[3][1])], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (9, None), (None, ""), (10, "two words"), (11, "one TWO"), (12, "two one"), items[2], (None, items[3][1])], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
-    assert got == {(30, 2), (None, 3), (None, None)}
+    assert got == {(30, 2), (None, 3), (None, None), (6, 11)}
     assert decontam.find_leaks(empty(docs), bench).count() == 0
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
@@ -108,7 +108,7 @@ def test_large_benchmark_misses_no_leak(spark):
 def test_long_passages(spark):
     """Verbatim and with every second word before the answer replaced."""
     rng = random.Random(12)
-    items = [(i, text(rng, n)) for i, n in enumerate((40, 64, 65, 96, 97, 130, 300, 600, 1000, 1000, 1500, 3000))]
+    items = [(i, text(rng, n)) for i, n in enumerate((40, 64, 65, 96, 97, 130, 300, 600, 1000, 1000, 1500, 3000, 20_000))]
     rows = []
     for i, p in items:
         words = p.split()
@@ -120,3 +120,11 @@ def test_long_passages(spark):
     got = {(r["doc_id"], r["item_id"]): r["lcs"] for r in decontam.find_leaks(docs, bench).collect()}
     assert set(got) == {(2 * i + k, i) for i, _ in items for k in (0, 1)}
     assert all(got[2 * i, i] == 1 for i, _ in items)
+
+
+def test_short_passages_must_stand_side_by_side(spark):
+    items = [(1, "alpha"), (2, "alpha beta"), (3, "alpha beta gamma delta"), (4, "alpha beta gamma delta eps")]
+    texts = [(1, "x alpha"), (2, "x beta alpha"), (3, "Alpha, beta; gamma delta"), (4, "delta"), (5, "beta"), (6, "alpha"), (7, "alpha beta gamma delta x eps")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (3, 2), (3, 3), (6, 1), (7, 1), (7, 2), (7, 3), (7, 4), (3, 4)}
