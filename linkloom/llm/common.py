@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 
 

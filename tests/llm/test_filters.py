@@ -122,15 +122,45 @@ def test_training_is_bounded_and_held_out_accuracy_is_high(spark, tiny):
 # --- toxicity
 
 
-def folded(spark, t):
-    return spark.createDataFrame([(t,)], "t string").select(toxicity.fold(F.col("t")).alias("f")).first()["f"]
+def naive_fold(t):
+    """Folding of one text, a character at a time."""
+    read = dict(zip(*toxicity.HOMOGLYPHS, strict=True))
+    chars = []
+    for c in t or "":
+        low = c.lower() if len(c.lower()) == 1 else c
+        chars.append(read.get(low) or (low if c.isalnum() else " "))
+    digits, latin = dict(zip(*toxicity.DIGITS, strict=True)), set("abcdefghijklmnopqrstuvwxyz")
+    padded = [" ", *chars, " ", " ", " "]
+    out = []
+    for i, c in enumerate(padded):
+        near = 0 < i < len(padded) - 3 and c in digits and padded[i + 1] in latin
+        start = near and padded[i - 1] == " " and padded[i + 2] in latin and padded[i + 3] in latin
+        out.append(digits[c] if near and (padded[i - 1] in latin or start) else c)
+    return f" {'  '.join(''.join(out).split(' ')).strip()} " if not "".join(out).split() else " " + "  ".join("".join(out).split()) + " "
 
 
-def test_folding(spark):
-    assert folded(spark, "You 1DIOT, l0ser!") == " you idiot loser "
-    assert folded(spark, "\u0455\u0441um \u0441lown") == " scum clown "
-    assert folded(spark, "call 5551234 at 10") == " call 5551234 at 10 "
-    assert folded(spark, None) == " "
+def test_folding():
+    cases = ["You 1DIOT, l0ser!", "\u0455\u0441um \u0441lown", "call 5551234 at 10", None, "", "!", "1abc 1ab 1", "4a4b4", "\u0410\u0412\u0421 caf\u00e9 \u0130x", "a" * 9 + "\n\n" + "b1"]
+    assert toxicity.fold_texts(cases)[:4] == [" you  idiot  loser ", " scum  clown ", " call  5551234  at  10 ", "  "]
+    rng = random.Random(3)
+    cases += ["".join(rng.choice("aB0 1345 7z.\u0435\u00df\u0663@$\n-") for _ in range(rng.randrange(12))) for _ in range(3000)]
+    assert toxicity.fold_texts(cases) == [naive_fold(t) for t in cases]
+    assert toxicity.fold_texts([]) == []
+
+
+def test_matches_against_a_naive_scan():
+    rng = random.Random(5)
+    stems = ["snot", "snotrag", "wretch", "wre", "grum", "s", "museum"]
+    for _ in range(400):
+        terms = {f" {w}" if rng.random() < 0.5 else f" {w} " for w in rng.sample(stems, 3)} | {f" {rng.choice(stems)} {rng.choice(stems)} "}
+        spaced = toxicity._spaced(terms)
+        folded = toxicity.fold_texts([" ".join(rng.choice(stems) + rng.choice(("", "", "ed")) for _ in range(rng.randrange(9)))])[0]
+        want, i = [], 0
+        while i < len(folded):
+            best = max((t for t in spaced if folded.startswith(t, i)), key=len, default=None)
+            want += [best] if best else []
+            i += len(best) if best else 1
+        assert toxicity._matches(toxicity._automaton(spaced), folded) == want
 
 
 def labelled(spark, n=300):
