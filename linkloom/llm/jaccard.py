@@ -1,14 +1,15 @@
 """N-gram Jaccard join: MinHash banding, then exact similarity on full n-gram sets.
 
-1. Every document gets the digest of its set of five-word shingles and the band hashes of
+1. Every document gets the digest of its set of five-word shingles, the size of the set and the band hashes of
    its MinHash signature. Documents of one digest are one class (similarity 1).
 2. Classes that share a band hash are tied to the least of them; components of those ties
    are coarse clusters that hold every candidate pair.
-3. Inside a cluster all pairs of classes are compared on their full sets, in blocks of
-   ``BLOCK`` classes: a cluster of m classes becomes (m / BLOCK)^2 / 2 tasks' groups, so none
-   gathers an unbounded group. A block gives counts of links and a spanning forest,
-   never all pairs.
-4. Components of the forest edges are the near-duplicate classes.
+3. A cluster is cut by set size, in steps of the threshold, as sets of unlike sizes can't be similar: a class meets
+   its own step and the next one. Steps are dealt to blocks of at most ``BLOCK`` classes and ``BLOCK_BYTES`` of sets, and
+   a pair of blocks is one unit of work, so none gathers an unbounded group.
+4. In a unit the candidates are the pairs that share a band; those are compared on their full sets. A unit
+   gives counts of links and a spanning forest, never all pairs.
+5. Components of the forest edges are the near-duplicate classes.
 
 Bands and rows follow from the wanted recall: the fewest hashes whose chance to miss a
 pair at the threshold is at most 1 - recall.
@@ -16,11 +17,12 @@ pair at the threshold is at most 1 - recall.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import Words, map_arrow, mix, ngram_hash, run_groups, table, text_id
@@ -30,6 +32,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -108,71 +111,84 @@ def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         cls = [None if e else data[16 * i : 16 * i + 16] for i, e in enumerate(empty)]
         offsets = np.arange(0, hashes.size + 1, bands, dtype=np.int32)
         return {
-            "doc_id": batch.column(0), "tid": batch.column(1), "cls": cls,
+            "doc_id": batch.column(0), "tid": batch.column(1), "cls": cls, "size": np.diff(first).astype(np.int32),
             "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.ravel())),
         }
 
-    return map_arrow(docs, run, "doc_id long, tid binary, cls binary, bands array<long>")
+    return map_arrow(docs, run, "doc_id long, tid binary, cls binary, size int, bands array<long>")
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Links within and between blocks. Rows out: (cls, links) and, as edges, (cls, other)."""
     names = ["cls", "other", "links"]
     for group in run_groups(batches, "unit"):
-        cls, side, copies = (group.column(c).to_pylist() for c in ("cls", "side", "copies"))
+        side = group.column("side").to_numpy()
         within = group.column("within")[0].as_py()
-        if not within and len(set(side)) < 2:  # the other block is empty
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if within else 1))
+        if len(side) < 2 or not len(a) or not len(b):  # alone, or the other block is empty
             continue
-        sets = [np.frombuffer(b, _U) for b in group.column("grams").to_pylist()]
-        a = np.flatnonzero(np.array(side) == 0)
-        b = np.flatnonzero(np.array(side) == 1)
-        linked = _linked(sets, a, a if within else b, threshold)
-        weight = np.array(copies)
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+        candidate = np.zeros((len(a), len(b)), bool)
+        for k in range(bands.shape[1]):
+            candidate |= bands[a, k][:, None] == bands[b, k][None, :]
+        if within:
+            np.fill_diagonal(candidate, False)
+        if not candidate.any():
+            continue
+        sets = [np.frombuffer(x, _U) for x in group.column("grams").to_pylist()]
+        linked = _linked(sets, a, b, candidate, threshold)
+        cls, weight = group.column("cls").to_pylist(), group.column("copies").to_numpy()
+        links = np.zeros(len(cls), np.int64)
+        links[a] += linked @ weight[b]
+        full = np.zeros((len(cls), len(cls)), bool)
+        full[np.ix_(a, b)] = linked
         if not within:
-            links = np.zeros(len(cls), np.int64)
-            links[a], links[b] = linked @ weight[b], linked.T @ weight[a]
-            full = np.zeros((len(cls), len(cls)), bool)
-            full[np.ix_(a, b)] = linked
+            links[b] += linked.T @ weight[a]
             full |= full.T
-        else:
-            np.fill_diagonal(linked, False)
-            links, full = linked @ weight, linked
         parent = forest(full)
-        other = [cls[p] if p != i else None for i, p in enumerate(parent)]
-        keep = [i for i in range(len(cls)) if links[i]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([cls[i] for i in keep], pa.binary()), pa.array([other[i] for i in keep], pa.binary()), pa.array(links[keep], pa.int64())], names=names
-        )
-
-
-def _linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float, cells: int = 8_000_000) -> np.ndarray:
-    """Which of sets a and b have a Jaccard similarity of at least ``threshold``."""
+        keep = np.flatnonzero(links)
+        other = [cls[parent[i]] if parent[i] != i else None for i in keep]
+        yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in keep], pa.binary()), pa.array(other, pa.binary()), pa.array(links[keep])], names=names)
+
+
+def _linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, candidate: np.ndarray, threshold: float, cells: int = 2_000_000) -> np.ndarray:
+    """Which candidates of sets a and b have a Jaccard similarity of at least ``threshold``."""
+    out = np.zeros(candidate.shape, bool)
+    n = np.count_nonzero(candidate)
+    if n <= 2 * len(sets):  # few: pair by pair, each once
+        known: dict[tuple[int, int], bool] = {}
+        for i, j in zip(*np.nonzero(candidate), strict=True):
+            key = (min(a[i], b[j]), max(a[i], b[j]))
+            if key not in known:
+                known[key] = _jaccard_at_least(sets[a[i]], sets[b[j]], threshold)
+            out[i, j] = known[key]
+        return out
     size = np.array([len(s) for s in sets])
-    if len(a) == 1 and len(b) == 1:
-        return np.array([[_jaccard_at_least(sets[a[0]], sets[b[0]], threshold)]])
-    used = np.unique(np.r_[a, b])
-    if len(used) == 2:
-        yes = _jaccard_at_least(sets[used[0]], sets[used[1]], threshold)
-        return np.array([[True, yes], [yes, True]])
+    used = np.unique(np.r_[a[candidate.any(1)], b[candidate.any(0)]])
     values = np.concatenate([sets[i] for i in used])
     owner = np.repeat(np.arange(len(used)), size[used])
-    _, number, count = np.unique(values, return_inverse=True, return_counts=True)
-    shared = count[number] > 1  # a gram of one set alone is in no intersection
-    number, owner = np.unique(number[shared], return_inverse=True)[1], owner[shared]
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.r_[True, values[1:] != values[:-1]]
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number)[number] > 1  # a gram of one set alone is in no intersection
+    owner, number = owner[shared], number[shared]
+    number = np.cumsum(np.r_[True, number[1:] != number[:-1]])[: len(number)] - 1
     row = np.full(len(sets), -1)
     row[used] = np.arange(len(used))
-    both = np.zeros((len(a), len(b)), np.float32)
-    width = int(number.max(initial=-1)) + 1
+    both = np.zeros((len(used), len(used)), np.float32)
+    width = int(number[-1]) + 1 if len(number) else 0
     step = max(1, cells // len(used))
-    order = np.argsort(number, kind="stable")
-    number, owner = number[order], owner[order]
     for at in range(0, width, step):
         lo, hi = np.searchsorted(number, (at, at + step))
         m = np.zeros((len(used), min(step, width - at)), np.float32)
         m[owner[lo:hi], number[lo:hi] - at] = 1
-        both += m[row[a]] @ m[row[b]].T
-    union = size[a][:, None] + size[b][None, :] - both
-    return both >= threshold * union - 1e-6
+        both += m @ m.T
+    i, j = np.nonzero(candidate)
+    x, y = a[i], b[j]
+    common = both[row[x], row[y]]
+    out[i, j] = common >= threshold * (size[x] + size[y] - common) - 1e-6
+    return out
 
 
 def _jaccard_at_least(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -212,18 +228,37 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     base = docs.select("doc_id", text_id(F.col("text")).alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
     signed = checkpoint(_signatures(base, bands, rows))
     classes = signed.where("cls is not null").groupBy("cls").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("tid").alias("tid"), F.first("bands").alias("bands")
+        F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min("tid").alias("tid"), F.max("size").alias("size"), F.first("bands").alias("bands")
     )
     classes = checkpoint(classes)
     keyed = classes.select("cls", F.posexplode("bands")).select("cls", F.xxhash64("pos", "col").alias("band"))
     heads = keyed.groupBy("band").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
+    heads = checkpoint(heads)  # so that the join has plain shuffles on both sides, and a large group can be split
     ties = keyed.join(heads, "band").where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v"))
     coarse = checkpoint(components(ties))
-    sizes = coarse.groupBy("component").agg(F.count("*").alias("m"))
-    members = coarse.join(sizes, "component").join(classes.select(F.col("cls").alias("u"), "tid", "copies"), "u")
-    # every class goes to the units (i, j), i <= j, of its block
-    members = members.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn(
-        "own", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    # sizes within the threshold of each other lie in one step or in neighbouring ones
+    members = coarse.join(classes.select(F.col("cls").alias("u"), "tid", "copies", "size", "bands"), "u").withColumn(
+        "step", F.floor(F.log("size") / math.log(1 / threshold) + 1e-9).cast("int") if threshold < 1 else F.col("size")
+    )
+    steps = members.groupBy("component", "step").agg(F.count("*").alias("m"), F.sum(F.col("size").cast("long")).alias("grams"))
+    steps = checkpoint(steps.select("component", "step", F.ceil(F.greatest(F.col("m") / block, F.col("grams") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")))
+    below = steps.select("component", (F.col("step") + 1).alias("step"), F.col("blocks").alias("blocks_below"))
+    above = steps.select("component", (F.col("step") - 1).alias("step"), F.col("blocks").alias("blocks_above"))
+    steps = checkpoint(steps.join(below, ["component", "step"], "left").join(above, ["component", "step"], "left"))
+    members = members.join(steps, ["component", "step"]).withColumn("own", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+
+    def meets(n: str, unit: Callable) -> Column:
+        n = F.coalesce(n, F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), unit)).otherwise(F.array().cast("array<struct<unit:bigint,side:int,within:boolean>>"))
+
+    def unit(step: Column, kind: int, i: Column, j: Column, side: Column, within: Column) -> Column:
+        return F.struct(F.xxhash64("component", step, F.lit(kind), i, j).alias("unit"), side.cast("int").alias("side"), within.alias("within"))
+
+    own, step = F.col("own"), F.col("step")
+    units = F.concat(
+        meets("blocks", lambda j: unit(step, 0, F.least(own, j), F.greatest(own, j), own > j, own == j)),
+        meets("blocks_above", lambda j: unit(step, 1, own, j, F.lit(0), F.lit(False))),
+        meets("blocks_below", lambda j: unit(step - 1, 1, j, own, F.lit(1), F.lit(False))),
     )
     # one text of each digest, combined before the shuffle: copies don't pile up on a key
     texts = base.groupBy("tid").agg(F.max("text").alias("text")).join(members.select("tid").distinct(), "tid")
@@ -234,19 +269,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         return {"tid": batch.column(0), "grams": [data[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:], strict=True)]}
 
     sets = map_arrow(texts, grams, "tid binary, grams binary")
-    units = members.join(sets, "tid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select(
-        F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
-        F.col("u").alias("cls"), "copies", "grams", (F.col("own") > F.col("other")).cast("int").alias("side"),
-        (F.col("own") == F.col("other")).alias("within"),
-    )
+    work = members.join(sets, "tid").select(F.col("u").alias("cls"), "copies", "grams", "bands", F.explode(units).alias("at"))
+    work = work.select("at.unit", "cls", "copies", "grams", "bands", "at.side", "at.within")
     # blocks of one cluster lie in different partitions
-    units = units.repartition("unit").sortWithinPartitions("unit")
-    found = checkpoint(
-        units.select("unit", "cls", "copies", "grams", "side", "within").mapInArrow(
-            lambda batches: _compare(batches, threshold), "cls binary, other binary, links long"
-        )
-    )
+    work = work.repartition("unit").sortWithinPartitions("unit")
+    found = checkpoint(work.mapInArrow(lambda batches: _compare(batches, threshold), "cls binary, other binary, links long"))
     joined = components(found.where("other is not null").select(F.col("cls").alias("u"), F.col("other").alias("v")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     info = classes.select("cls", "copies", "least").join(links, "cls", "left").join(joined.withColumnRenamed("u", "cls"), "cls", "left")

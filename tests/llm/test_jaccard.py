@@ -47,6 +47,8 @@ def rows_with_groups(seed=1, group=60):
     rows = [(i, edited(rng, base, rng.randrange(0, 5))) for i in range(group)]
     rows += [(1000 + i, edited(rng, other, rng.randrange(0, 3))) for i in range(20)]
     rows += [(2000 + i, text(rng, 60)) for i in range(40)] + [(3000 + i, base) for i in range(5)]
+    # the same start cut at many lengths: one chain of candidates, few links
+    rows += [(4000 + i, " ".join(base.split()[: 20 + 3 * i])) for i in range(40)]
     rng.shuffle(rows)
     return rows
 
