@@ -1,60 +1,83 @@
-"""Connected components by alternating large and small stars, and lineage cuts.
+"""Connected components by contraction, and lineage cuts.
 
-Each round is two group-bys with map-side combining and two joins, so a vertex that
-touches a third of all edges is never gathered; rounds grow with the logarithm of the
-number of vertices (Kiveris et al., 2014). Each round is cut by ``checkpoint()``, so a lost
-executor costs one round at most.
+In each round every vertex goes to the least vertex of its neighbourhood, itself included, and the edges
+are drawn between the places they went to, until none is left. The first round takes the order of the
+vertices, which empties a star at once; later ones take a fresh hash order, so that a constant share of
+the vertices goes each time whatever the graph (randomised contraction, Bögeholz et al., 2020). Edges and
+vertices shrink from round to round, and the maps of the rounds are put together backwards.
+
+A vertex that touches a third of all edges is met in three places: its least neighbour is combined before the
+shuffle; the joins that move its edges have plain shuffles on both sides, which adaptive execution splits where
+one key is too large; and repeated edges are combined before their shuffle. Every table that is used twice is cut by
+``checkpoint()``, so a lost executor costs one step at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own.
+
+    Without either a local session gets a temporary folder; on a cluster that is an error, as each
+    executor would write to its own disk.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that the session names."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or "/tmp/linkloom-checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Tie each vertex's neighbours to the least vertex around it."""
-    if large:
-        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    tied = around.join(least, "u")
-    if large:
-        out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+def _distinct_edges(edges: DataFrame) -> DataFrame:
+    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(u, component) for every vertex that has an edge; component is its least vertex.
 
     ``edges`` has columns u and v of one orderable type. Null ends, self-loops and repeated
     edges are ignored; no edges give no rows.
     """
-    edges = checkpoint(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
-    state = None
-    for _ in range(max_rounds):
-        edges = checkpoint(_star(_star(edges, large=True), large=False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select("u", F.col("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("u"), F.col("v").alias("component")).distinct()
-            )
-        state = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    left = checkpoint(_distinct_edges(edges))
+    maps: list[DataFrame] = []  # (u, m): where the vertices of each round went
+    while not left.isEmpty():
+        if len(maps) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if not maps:
+            least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        else:
+            seed = F.lit(len(maps))
+            least = both.groupBy("u").agg(F.min(F.struct(F.xxhash64(seed, "v").alias("h"), F.col("v").alias("m"))).alias("s"))
+            least = least.select("u", F.least("s", F.struct(F.xxhash64(seed, "u").alias("h"), F.col("u").alias("m")))["m"].alias("m"))
+        at = checkpoint(least)
+        maps.append(at)
+        moved = left.join(at, "u").select(F.col("m").alias("u"), "v").join(at.withColumnRenamed("u", "v"), "v")
+        left = checkpoint(_distinct_edges(moved.select("u", F.col("m").alias("v"))))
+    if not maps:
+        return left.select("u", F.col("v").alias("component"))
+    found = maps.pop()
+    for at in reversed(maps):  # a place that has no edge in later rounds is where it stays
+        later = found.select(F.col("u").alias("m"), F.col("m").alias("n"))
+        found = checkpoint(at.join(later, "m", "left").select("u", F.coalesce("n", "m").alias("m")))
+    names = checkpoint(found.groupBy("m").agg(F.min("u").alias("component")))
+    return found.join(names, "m").select("u", "component")
 
 
 def label_components(vertices: DataFrame, edges: DataFrame, vertex: str = "node_id") -> DataFrame:
