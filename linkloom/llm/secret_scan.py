@@ -115,9 +115,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 at = b
         return text if not out else "".join(out) + text[at:]
 
-    @F.pandas_udf("string")
-    def cleaned(texts):
-        return texts.map(clean, na_action="ignore")
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array) -> pa.Array:
+        return pa.array([clean(t) for t in texts.to_pylist()], pa.string())
 
     out = docs.withColumn("text", cleaned("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
