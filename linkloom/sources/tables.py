@@ -98,13 +98,19 @@ def list_files(spark: SparkSession, groups: Mapping[str, Iterable[str]], choose:
 
 def _with_empty_files(df: DataFrame) -> DataFrame:
     """The reader leaves out files of length 0; its listing has them."""
-    names = [(n,) for n in df.inputFiles()]
+    names = [(n,) for n in df.inputFiles()]  # the driver's file index holds them anyway
     listed = df.sparkSession.createDataFrame(names, "path string").select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
     rows = df.select("path", "length", "content")
     empty = listed.join(rows.select("path"), "path", "left_anti")
     return rows.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def file_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("group").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
 
