@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     heads = keyed.groupBy("band").agg(F.min("cls").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
     heads = checkpoint(heads)  # so that the join has plain shuffles on both sides, and a large group can be split
     ties = keyed.join(heads, "band").where("cls <> head").select(F.col("cls").alias("u"), F.col("head").alias("v"))
-    coarse = checkpoint(components(ties))
+    coarse = components(ties)
     # sizes within the threshold of each other lie in one step or in neighbouring ones
     members = coarse.join(classes.select(F.col("cls").alias("u"), "tid", "copies", "size", "bands"), "u").withColumn(
         "step", F.floor(F.log("size") / math.log(1 / threshold) + 1e-9).cast("int") if threshold < 1 else F.col("size")

@@ -205,7 +205,7 @@ def near_vectors(
     )
     units = _cells(classes, cosine, blocks, grid_dims, CELL_SLICE)
     units = units.repartition("unit").sortWithinPartitions("unit")
-    coarse = checkpoint(components(units.mapInArrow(_ties, "u long, v long")))
+    coarse = components(units.mapInArrow(_ties, "u long, v long"))
     sizes = coarse.groupBy("component").agg(F.count("*").alias("m"))
     members = coarse.join(sizes, "component").withColumnRenamed("u", "vec_id").withColumn("slices", F.ceil(F.col("m") / width).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int"))
