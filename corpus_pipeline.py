@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import decontam, jaccard, mixing, secret_scan, toxicity
 from linkloom.llm.common import table
-from linkloom.operators.components import shared_folder
-from linkloom.sources.tables import remove
+from linkloom.operators.components import remove, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 

@@ -1,6 +1,7 @@
 """Connected components by contraction, and lineage cuts.
 
-In each round every vertex goes to the least vertex of its neighbourhood, itself included, and the edges
+Every task first replaces its edges by a spanning forest of stars, in buffers of ``FOREST`` vertices; on a small graph
+that is nearly all of the work. Then in each round every vertex goes to the least vertex of its neighbourhood, itself included, and the edges
 are drawn between the places they went to, until none is left. The first round takes the order of the
 vertices, which empties a star at once; later ones take a fresh hash order, so that a constant share of
 the vertices goes each time whatever the graph (randomised contraction, Bögeholz et al., 2020). Edges and
@@ -8,18 +9,25 @@ vertices shrink from round to round, and the maps of the rounds are put together
 
 A vertex that touches a third of all edges is met in three places: its least neighbour is combined before the
 shuffle; the joins that move its edges have plain shuffles on both sides, which adaptive execution splits where
-one key is too large; and repeated edges are combined before their shuffle. Every table that is used twice is cut by
-``checkpoint()``, so a lost executor costs one step at most.
+one key is too large; and repeated edges are combined before their shuffle. Every table that is used twice is written
+to the shared folder, so a lost executor costs one step at most, and the planner knows its true size.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+FOREST = 200_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own.
 
@@ -37,15 +45,57 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that the session names."""
+    """Cut the lineage in the shared folder that the session names.
+
+    The rows are kept on the executors' disks while they are written, as a checkpoint computes its plan twice
+    otherwise; the planner sees their true size from then on.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    out = df.select("*").checkpoint()
+    df.unpersist()
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), v < u, with the same components: stars of the spanning forests of each task's buffers."""
+    edges = edges.where("u <> v").select("u", "v")
 
-def _distinct_edges(edges: DataFrame) -> DataFrame:
-    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(p, p)
+            return x
+
+        def stars(kind: pa.Schema) -> pa.RecordBatch:
+            pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], kind.types[i]) for i in (0, 1)], names=["u", "v"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(x), root(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+            if len(parent) > FOREST:
+                yield stars(kind)
+        if parent:
+            yield stars(kind)
+
+    return edges.mapInArrow(run, edges.schema)
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -54,7 +104,14 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     ``edges`` has columns u and v of one orderable type. Null ends, self-loops and repeated
     edges are ignored; no edges give no rows.
     """
-    left = checkpoint(_distinct_edges(edges))
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    left = stored(_stars(_stars(edges).distinct()), "edges")
     maps: list[DataFrame] = []  # (u, m): where the vertices of each round went
     while not left.isEmpty():
         if len(maps) == max_rounds:
@@ -66,18 +123,22 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             seed = F.lit(len(maps))
             least = both.groupBy("u").agg(F.min(F.struct(F.xxhash64(seed, "v").alias("h"), F.col("v").alias("m"))).alias("s"))
             least = least.select("u", F.least("s", F.struct(F.xxhash64(seed, "u").alias("h"), F.col("u").alias("m")))["m"].alias("m"))
-        at = checkpoint(least)
+        at = stored(least, f"map-{len(maps)}")
         maps.append(at)
         moved = left.join(at, "u").select(F.col("m").alias("u"), "v").join(at.withColumnRenamed("u", "v"), "v")
-        left = checkpoint(_distinct_edges(moved.select("u", F.col("m").alias("v"))))
-    if not maps:
-        return left.select("u", F.col("v").alias("component"))
-    found = maps.pop()
-    for at in reversed(maps):  # a place that has no edge in later rounds is where it stays
-        later = found.select(F.col("u").alias("m"), F.col("m").alias("n"))
-        found = checkpoint(at.join(later, "m", "left").select("u", F.coalesce("n", "m").alias("m")))
-    names = checkpoint(found.groupBy("m").agg(F.min("u").alias("component")))
-    return found.join(names, "m").select("u", "component")
+        left = stored(_stars(_stars(moved.select("u", F.col("m").alias("v"))).distinct()), f"edges-{len(maps)}")
+    if maps:
+        found = maps.pop()
+        for at in reversed(maps):  # a place that has no edge in later rounds is where it stays
+            later = found.select(F.col("u").alias("m"), F.col("m").alias("n"))
+            found = stored(at.join(later, "m", "left").select("u", F.coalesce("n", "m").alias("m")), f"found-{uuid.uuid4().hex}")
+        names = stored(found.groupBy("m").agg(F.min("u").alias("component")), "names")
+        out = found.join(names, "m").select("u", "component")
+    else:
+        out = left.select("u", F.col("v").alias("component"))
+    out = checkpoint(out)
+    remove(spark, folder)
+    return out
 
 
 def label_components(vertices: DataFrame, edges: DataFrame, vertex: str = "node_id") -> DataFrame:

@@ -105,12 +105,6 @@ def _with_empty_files(df: DataFrame) -> DataFrame:
     return rows.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared file system."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def file_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("group").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
 
