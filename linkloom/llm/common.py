@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
+BATCH_ROWS = 1024
 _U = np.uint64
 
 
@@ -38,7 +39,13 @@ def in_training_fold(doc_id: Column) -> Column:
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` where ``fn`` turns one record batch into a dict of columns (or None)."""
+    """``mapInArrow`` where ``fn`` turns one record batch into a dict of columns (or None).
+
+    As rows may hold long texts, the session's Arrow batches have at most ``BATCH_ROWS`` rows from then on.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     from pyspark.sql.types import StructType, _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -51,6 +58,7 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
             for part in pieces(batch):
                 if (out := fn(part)) is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

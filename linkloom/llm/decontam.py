@@ -75,28 +75,24 @@ def _vectors(words: np.ndarray, width: int, seed: int) -> np.ndarray:
 
 
 def _summed(rows: DataFrame, by: str) -> DataFrame:
-    """Sums of the vectors of each key: in every task first, then by key."""
+    """Sums of the vectors of each key, times their weight ``w``: in every task first, then by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                v = np.frombuffer(v)
+            for k, v, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v = np.frombuffer(v) * w
                 sums[k] = sums[k] + v if k in sums else v
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=[by, "v"])
+        columns = [pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary()), pa.array(np.ones(len(sums)))]
+        yield pa.RecordBatch.from_arrays(columns, names=[by, "v", "w"])
 
-    schema = f"{by} long, v binary"
-    return rows.select(by, "v").mapInArrow(run, schema).repartition(by).mapInArrow(run, schema)
+    schema = f"{by} long, v binary, w double"
+    return rows.select(by, "v", "w").mapInArrow(run, schema).repartition(by).mapInArrow(run, schema).select(by, "v")
 
 
 def _times(entries: DataFrame, vectors: DataFrame, on: str, by: str) -> DataFrame:
     """Product of the sparse matrix ``entries`` (item, word, w), or its transpose, with rows of vectors."""
-
-    def scale(batch: pa.RecordBatch) -> dict:
-        w = batch.column(1).to_pylist()
-        return {by: batch.column(0), "v": [(np.frombuffer(v) * x).tobytes() for v, x in zip(batch.column(2).to_pylist(), w, strict=True)]}
-
-    return _summed(map_arrow(entries.join(vectors, on).select(by, "w", "v"), scale, f"{by} long, v binary"), by)
+    return _summed(entries.join(vectors, on), by)
 
 
 def _gram(rows: DataFrame, width: int) -> np.ndarray:
@@ -111,7 +107,7 @@ def _gram(rows: DataFrame, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(width)), pa.array([r.tobytes() for r in total], pa.binary())], names=["i", "v"])
 
     out = np.zeros((width, width))
-    for r in _summed(rows.select("v").mapInArrow(run, "i long, v binary"), "i").collect():
+    for r in _summed(rows.select("v").mapInArrow(run, "i long, v binary").withColumn("w", F.lit(1.0)), "i").collect():
         out[r["i"]] = np.frombuffer(r["v"])
     return out
 
