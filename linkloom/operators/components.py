@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 
 FOREST = 200_000
+FILE_ROWS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,12 +55,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
-    out = df.select("*").checkpoint()
+    out = df.select("*").coalesce(_files(df.count())).checkpoint()
     df.unpersist()
     return out
 
 
+def _files(rows: int) -> int:
+    """Files that so many rows are worth: small tables don't become hundreds of them."""
+    return max(1, -(-rows // FILE_ROWS))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -108,12 +113,15 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     folder = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
 
     def stored(df: DataFrame, name: str) -> DataFrame:
+        df = df.coalesce(_files(2 * rows)) if rows else df  # vertices are at most twice the edges
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
+    rows = 0
     left = stored(_stars(_stars(edges).distinct()), "edges")
+    first = rows = left.count()
     maps: list[DataFrame] = []  # (u, m): where the vertices of each round went
-    while not left.isEmpty():
+    while rows:
         if len(maps) == max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -127,6 +135,8 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         maps.append(at)
         moved = left.join(at, "u").select(F.col("m").alias("u"), "v").join(at.withColumnRenamed("u", "v"), "v")
         left = stored(_stars(_stars(moved.select("u", F.col("m").alias("v"))).distinct()), f"edges-{len(maps)}")
+        rows = left.count()
+    rows = first
     if maps:
         found = maps.pop()
         for at in reversed(maps):  # a place that has no edge in later rounds is where it stays
