@@ -2,10 +2,11 @@
 
 Words score their learned weight, tags theirs; a linear scan finds the best contiguous
 run. Weights are log odds of standing inside or outside the article of pages that mark it
-with ``<article>`` or ``<main>`` (the labelled pages, a bounded sample). On a page that marks its
-article, words outside it score below zero and its own tags nothing. Words inside
-containers that are never content - menus, forms, notices, comments and the like - score
-below zero too, and their blocks are left out of the run found.
+with ``<article>`` or ``<main>`` (the labelled pages, a bounded sample): of words, of words in
+containers that are never content - menus, forms, notices, comments and the like - and of each tag. Whether a
+tag stands inside the page's marked element is a feature of its weight, and a stretch of words outside it
+has a fixed cost; plain words weigh the same everywhere, so the scan decides on any page. Blocks in such containers are left
+out of the run found.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,17 +23,23 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import map_arrow, table
 
 SAMPLE_PAGES = 500
+#: Costs, in words, of a tag that no labelled page has: within the marked element, and elsewhere.
+UNSEEN = {True: 0.0, False: 0.25, None: 0.25}
+#: Cost, in words, of a stretch of words outside the marked element of a page that has one.
+BORDER = 20
 #: Tags whose text is never read.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "title", "head")
+RAW = ("script", "style", "textarea", "title", "iframe")
 #: Containers that are not content.
-OUTSIDE = ("nav", "header", "footer", "aside", "form", "button", "menu", "dialog")
-#: Parts of class, id or role that mark a container as not content.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|footer|sidebar|side|widget|"
+OUTSIDE = ("nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "noscript", "template", "svg", "select")
+#: Words of a class, id or role that mark a container as not content.
+MARK = re.compile(
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|footer|sidebar|side|widget|"
     r"cookies?|consent|notice|popup|modal|comments?|replies|reply|disqus|share|social|related|recommend\w*|newsletter|subscribe|"
-    r"login|search|copyright|legal|toolbar|pagination|pager|contentinfo|navigation|complementary)(?:$|[\s_-])",
+    r"login|search|copyright|toolbar|pagination|pager|contentinfo|navigation|complementary",
     re.IGNORECASE,
 )
+#: First words of a class that tells of a page's layout, not of the element.
+FLAGS = frozenset("has no not with without is js".split())
 #: Tags that stay within a block of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong "
@@ -44,85 +51,110 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
+_ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _BODY = frozenset(("article", "main"))
 
 
+def marked(attributes: str) -> bool:
+    """Whether a class, id or role names a container that is not content, by the first or last word of one of its names."""
+    for name, value in _ATTR.findall(attributes):
+        if name.lower() in ("class", "id", "role"):
+            for token in value.strip("\"'").split():
+                words = [w for w in re.split(r"[-_\d]+", token) if w]
+                if words and words[0].lower() not in FLAGS and (MARK.fullmatch(words[0]) or MARK.fullmatch(words[-1])):
+                    return True
+    return False
+
+
 def tokens(page: str):
     """(kind, name or text, outside, body): kinds are text, open and close, in page order.
 
-    ``body`` is true inside ``<article>``, or ``<main>`` on a page without one. ``outside`` is true within a container that is not content. Such a container ends at its end
-    tag, or where an article begins.
+    ``outside`` is true within a container that is not content. It ends at its end tag; one whose name has
+    fewer end tags than start tags on the page ends where an article begins as well. ``body`` is true within
+    ``<article>``, or ``<main>`` on a page without one, that is in no such container; None on a page without either.
     """
-    own = "article" if "<article" in page.lower() else "main"
-    deep = 0
-    at, stack = 0, []  # the open containers that are not content, with tags of their name inside
-    for m in _TOKEN.finditer(page):
+    found = list(_TOKEN.finditer(page))
+    starts, ends = Counter(), Counter()
+    for m in found:
+        if m[3]:
+            (ends if m[2] else starts)[m[3].lower()] += 1
+    own = "article" if starts["article"] else "main"
+    no_body = None if not starts[own] else False
+    deep = at = 0
+    stack: list[list] = []  # the open containers that are not content, with tags of their name inside
+    for m in found:
         if m.start() > at:
-            yield "text", page[at : m.start()], bool(stack), deep > 0
+            yield "text", page[at : m.start()], bool(stack), deep > 0 or no_body
         at = m.end()
         if m[1] or not m[3]:
             continue
         name, closing = m[3].lower(), bool(m[2])
         if closing:
+            inside = bool(stack)
             if stack and any(s[0] == name for s in stack):
                 while stack[-1][0] != name:
                     stack.pop()
                 stack[-1][1] -= 1
                 if not stack[-1][1]:
                     stack.pop()
-            yield "close", name, bool(stack), deep > 0
-            deep -= name == own and deep > 0
+            yield "close", name, inside, deep > 0 or no_body
+            deep -= name == own and not inside and deep > 0
             continue
         if name in _BODY:
-            stack.clear()
-        marked = name in OUTSIDE or (name not in INLINE and name not in VOID and name not in ("html", "body", *_BODY) and any(
-            MARKS.search(a.strip("\"'")) for a in _ATTR.findall(m[4])
-        ))
+            stack = [s for s in stack if ends[s[0]] >= starts[s[0]]]
+        out = name in OUTSIDE or (name not in INLINE and name not in VOID and name not in ("html", "body") and marked(m[4]))
         if stack and stack[-1][0] == name:
             stack[-1][1] += 1
-        elif marked and name not in VOID:
+        elif out and name not in VOID:
             stack.append([name, 1])
-        deep += name == own
-        yield "open", name, bool(stack), deep > 0
+        deep += name == own and not stack
+        yield "open", name, bool(stack), deep > 0 or no_body
     if at < len(page):
-        yield "text", page[at:], bool(stack), deep > 0
+        yield "text", page[at:], bool(stack), deep > 0 or no_body
 
 
-def count_page(page: str) -> dict[tuple[str, bool], int]:
-    """Words and tags inside and outside the article of one page; empty if it marks none."""
-    out: dict[tuple[str, bool], int] = {}
-    marked = False
-    for kind, text, _, body in tokens(page):
-        marked |= body
-        if kind != "text" and text in _BODY:
-            continue
-        key, n = ("#word", len(text.split())) if kind == "text" else ("<" + text, 1)
-        out[key, body] = out.get((key, body), 0) + n
-    return out if marked else {}
+def _key(kind: str, text: str, outside: bool, body: bool | None) -> str | None:
+    """What a token is learned and weighed as; tags of a container that is not content weigh nothing."""
+    if kind == "text":
+        return "#word" if not outside else f"#out {body}"
+    return None if outside or text in _BODY else f"<{text} {body}"
+
+
+def count_page(page: str) -> Counter:
+    """Tokens inside and outside the article of one page; empty if it marks none."""
+    out: Counter = Counter()
+    for kind, text, outside, body in tokens(page):
+        if body is None:
+            return Counter()
+        if (key := _key(kind, text, outside, body)) is not None:
+            out[key, body] += len(text.split()) if kind == "text" else 1
+            if kind != "text":
+                out[f"<{text} None", body] += 1
+    return out
 
 
 def learn_weights(pages: DataFrame, max_pages: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weight of a word (``#word``) and of each tag, from at most about ``max_pages`` labelled pages.
+    """Weights of words and tags, from at most about ``max_pages`` labelled pages.
 
-    Pages are chosen by a hash of the html. Words are never below 0.2 and tags never above 0.
-    Without labelled pages a word weighs 1 and a tag -1.
+    Pages are chosen by a hash of the html. Words are never below 0.2, words in containers that are not
+    content and tags never above 0. Without labelled pages a word weighs 1, one in such a container -2.
     """
     labelled = pages.where(F.lower("html").rlike("<(article|main)\\b")).select("html")
     n = labelled.count()
     if n > max_pages:
         labelled = labelled.where(F.pmod(F.xxhash64(F.lit(17), "html"), F.lit(1 << 20)) < int(max_pages / n * (1 << 20)))
 
-    def count(batches):
-        for pdf in batches:
-            rows = [(k, inside, n) for page in pdf["html"] for (k, inside), n in count_page(page).items()]
-            yield pd.DataFrame(rows, columns=["token", "inside", "n"])
+    def count(batch: pa.RecordBatch) -> dict:
+        total: Counter = Counter()
+        for page in batch.column(0).to_pylist():
+            total += count_page(page)
+        return {"token": [k for k, _ in total], "inside": [i for _, i in total], "n": list(total.values())}
 
-    got = labelled.mapInPandas(count, "token string, inside boolean, n long").groupBy("token", "inside").agg(F.sum("n").alias("n"))
+    got = map_arrow(labelled, count, "token string, inside boolean, n long").groupBy("token", "inside").agg(F.sum("n").alias("n"))
     per: dict[str, list[int]] = {}
-    for r in got.orderBy(F.desc("n"), "token", "inside").limit(1000).collect():  # tag names; rare ones weigh -1
+    for r in got.collect():  # tag names of the sample
         per.setdefault(r["token"], [0, 0])[r["inside"]] = r["n"]
-    inside, outside = sum(v[1] for v in per.values()) + 1, sum(v[0] for v in per.values()) + 1
+    inside, outside = (sum(v[i] for k, v in per.items() if not k.endswith(" None")) + 1 for i in (1, 0))
     odds = {k: math.log((v[1] + 0.5) / inside) - math.log((v[0] + 0.5) / outside) for k, v in per.items()}
     return {k: max(0.2, v) if k == "#word" else min(0.0, v) for k, v in odds.items()}
 
@@ -143,15 +175,20 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     """Main text of one page: blocks joined by a line break."""
     seen = list(tokens(page or ""))
     word = weights.get("#word", 1.0)
-    marked = any(body for _, _, _, body in seen)
-
-    def score(kind: str, text: str, outside: bool, body: bool) -> float:
-        if kind != "text":
-            return 0.0 if body or text in _BODY else weights.get("<" + text, -1.0)
-        each = (0.0 if body else -2.0) if outside else -word if marked and not body else word
-        return each * len(text.split())
 
-    scores = [score(*t) for t in seen]
+    scores, beyond = [], False  # beyond: words outside the marked element since the last ones in it
+    for kind, text, outside, body in seen:
+        key, n = _key(kind, text, outside, body), len(text.split()) if kind == "text" else 1
+        if key is None:
+            scores.append(0.0)
+        elif kind != "text":
+            scores.append(weights.get(key, -UNSEEN[body] * word))
+        elif outside:
+            # within the marked element a container is passed over, unless labelled pages say otherwise
+            scores.append(weights.get(key, 0.0 if body else weights.get("#out False", -2.0)) * n)
+        else:
+            scores.append(word * (n - BORDER * (n > 0 and body is False and not beyond)))
+            beyond = body is False if n else beyond
     a, b = best_run(scores)
     blocks, now = [], []
     for kind, text, outside, _ in seen[a:b]:
@@ -170,7 +207,9 @@ def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
     """page_id, url and text of every row.
 
     A null or empty page, or one without words, has an empty text. Unclosed tags, cut pages and
-    broken references are read as far as they go. Repeated rows give repeated results.
+    broken references are read as far as they go; pages of any length are read whole. Of runs with equal
+    scores the first and shortest counts. Repeated rows give repeated results, an empty table none; other
+    columns are ignored, those named like a result too.
     """
 
     def run(batch: pa.RecordBatch) -> dict:

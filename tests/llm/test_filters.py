@@ -240,6 +240,52 @@ def test_html():
     assert len(html_text.extract("<article>" + "<p>word word</p>" * 20_000, weights).split("\n")) == 20_000
 
 
+BODY = "<h1>Head line</h1>" + "".join(f"<p>word{i} runs on and on here</p>" for i in range(6))
+TEXT = "Head line\n" + "\n".join(f"word{i} runs on and on here" for i in range(6))
+NAV = "<nav><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></nav><div class='ad'>Buy it now</div>"
+FOOT = "<footer>&copy; all rights of someone</footer>"
+
+
+def labelled_weights(spark):
+    page = f"<html><head><title>T</title></head><body>{NAV}<article>{BODY}</article>{FOOT}</body></html>"
+    return html_text.learn_weights(spark.createDataFrame([(page.replace("One", f"w{i}"),) for i in range(20)], "html string"))
+
+
+def test_html_cases(spark):
+    for weights in ({}, labelled_weights(spark)):
+        def text_of(body):
+            return html_text.extract(f"<html><head><title>T</title></head><body>{NAV}{body}{FOOT}</body></html>", weights)
+
+        assert text_of(f"<article>{BODY}</article>") == text_of(BODY) == text_of(f"<div>{BODY}</div>") == TEXT
+        # the end of the head may be left out
+        assert html_text.extract(f"<html><head><title>T</title><meta charset=x><body>{NAV}<article>{BODY}</article>{FOOT}", weights) == TEXT
+        assert text_of(f"<div class='layout has-sidebar no-ads'><article>{BODY}</article></div>") == TEXT
+        assert text_of(f"<article data-id='comments-7' data-role=ad>{BODY}</article>") == TEXT
+        assert text_of(f"<article>{BODY}<section class='legal analysis'><p>A legal view</p></section></article>") == TEXT + "\nA legal view"
+        comments = "<section id='comments'>" + "<article class='comment-body'><p>I say that this is wrong</p></article>" * 40 + "</section>"
+        assert text_of(f"<article>{BODY}</article>{comments}") == TEXT
+        assert text_of(f"<article>{BODY}</article>{comments.replace(' class=' + chr(39) + 'comment-body' + chr(39), '')}") == TEXT
+        items = "".join(f"<li>item{i}</li>" for i in range(30))
+        assert text_of(f"<article>{BODY}<ul>{items}</ul>{BODY}</article>") == "\n".join([TEXT, *(f"item{i}" for i in range(30)), TEXT])
+        # the article is a teaser: the run takes in the long text that is no article
+        long = "".join(f"<p>{' '.join(['long'] * 30)}</p>" for _ in range(9))
+        assert text_of(f"<article><h2>See also</h2></article><div>{long}</div>").endswith("\n".join([" ".join(["long"] * 30)] * 9))
+        # a menu that is never closed ends where the article begins
+        assert text_of(f"<aside>Never closed<article>{BODY}</article>") == TEXT
+        assert text_of(f"<article>{BODY}<aside>An aside of a few words</aside>{BODY}</article>") == TEXT + "\n" + TEXT
+
+
+def test_html_without_the_article_tags(spark, tiny):
+    """The scan finds the article of every page when nothing marks it."""
+    pages = spark.read.parquet(f"{tiny}/pages.parquet")
+    weights = html_text.learn_weights(pages)
+    for r in pages.collect():
+        bare = re.sub(r"</?article[^>]*>", "", r["html"])
+        assert html_text.extract(bare, weights) == html_text.extract(r["html"], weights)
+        seen = list(html_text.tokens(bare))
+        assert len(seen) == len(list(html_text.tokens(r["html"]))) - 2
+
+
 def test_best_run():
     rng = random.Random(6)
     for _ in range(200):
@@ -249,9 +295,9 @@ def test_best_run():
 
 
 def test_html_operator(spark, tiny):
-    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x")], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x")], "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("x"))
     weights = html_text.learn_weights(pages)
-    assert weights["#word"] >= 0.2 and weights["<nav"] < 0
+    assert weights["#word"] >= 0.2 and weights["#out False"] < 0
     got = html_text.main_text(pages, weights).collect()
     assert sorted(len(r["text"]) for r in got)[:2] == [0, 0] and len(got) == 4
     assert html_text.main_text(pages.limit(0), weights).count() == 0
