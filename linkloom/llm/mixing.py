@@ -62,15 +62,16 @@ def source_targets(sizes: DataFrame, max_epochs: float = 3.0) -> DataFrame:
 def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs and taken of every row.
 
-    Null or empty texts have size 0 and take 0. Repeated rows are separate documents; which of
-    two equal rows is taken once more is arbitrary, the multiset of results is not. An empty
-    table gives no rows. Other columns are ignored.
+    Null or empty texts have size 0, take 0 and are never copied once more. A null doc_id is drawn by the
+    text instead. Repeated rows are separate documents; which of two equal rows is taken once more is
+    arbitrary, the multiset of results is not. An empty table gives no rows. Texts may be of any length;
+    other columns are ignored.
     """
     rows = docs.select(
         "doc_id",
         "source",
         n_words(F.col("text")).alias("size"),
-        F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long").alias("h"),
+        F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.md5("text")), F.lit(str(seed)))), 1, 8), 16, 10).cast("long").alias("h"),
     ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     per_bucket = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_bucket = checkpoint(per_bucket)  # a small table, used three times
@@ -107,7 +108,8 @@ def mix(docs: DataFrame, max_epochs: float = 3.0, seed: int = 7) -> DataFrame:
         # the document at the border counts if more than half of it fits
         "extra", F.when(F.sum("size").over(order) - F.col("size") / 2 <= F.col("room"), 1).otherwise(0)
     )
-    return sure.unionByName(edge).select(
+    # nothing is gained by one more copy of an empty document
+    return sure.unionByName(edge).withColumn("extra", F.when(F.col("size") > 0, F.col("extra")).otherwise(0)).select(
         "doc_id", "source", "size", "source_size", "target", "epochs",
         ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken"),
         (F.col("whole") + F.col("extra")).cast("long").alias("copies"),
@@ -122,7 +124,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH rows_ AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5(concat_ws('|', doc_id, '7')), 1, 8))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5(concat_ws('|', coalesce(doc_id::VARCHAR, md5(text)), '7')), 1, 8))::BIGINT AS h FROM documents),
 per AS (SELECT source, h % 4096 AS bucket, sum(size)::BIGINT AS bucket_size FROM rows_ GROUP BY ALL),
 weighed AS (
   SELECT source, source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
@@ -144,5 +146,5 @@ placed AS (
     sum(size) OVER (PARTITION BY r.source, r.h % 4096 ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle
   FROM rows_ r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source LEFT JOIN border b ON r.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM (
-  SELECT *, (whole + CASE WHEN bucket < border THEN 1 WHEN bucket > border THEN 0 WHEN middle <= room THEN 1 ELSE 0 END)::BIGINT AS copies FROM placed)
+  SELECT *, (whole + CASE WHEN size = 0 THEN 0 WHEN bucket < border THEN 1 WHEN bucket > border THEN 0 WHEN middle <= room THEN 1 ELSE 0 END)::BIGINT AS copies FROM placed)
 """

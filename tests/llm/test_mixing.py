@@ -72,3 +72,10 @@ def test_many_sources_are_joined_by_bucket(spark, monkeypatch):
     small = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
     monkeypatch.setattr(mixing, "MAX_SOURCES_SENT", 3)
     assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == small
+
+
+def test_empty_documents_are_not_copied_once_more(spark):
+    rows = [(i, "a", "" if i % 3 else "word " * (i + 1)) for i in range(60)] + [(100 + i, "b", "word " * 40) for i in range(60)]
+    got = mixing.mix(spark.createDataFrame([*rows, *[(None, "b", f"null id {i}") for i in range(9)]], "doc_id long, source string, text string")).collect()
+    assert all(r["copies"] == int(r["epochs"]) for r in got if not r["size"])
+    assert all(r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in got)
