@@ -21,11 +21,11 @@ def line(*xy: tuple[Column, Column]) -> Column:
 
 
 def first_point(coords: Column) -> Column:
-    return F.try_element_at(coords, F.lit(1))
+    return F.get(coords, F.lit(0))
 
 
 def last_point(coords: Column) -> Column:
-    return F.try_element_at(coords, F.lit(-1))
+    return F.get(coords, F.size(coords) - 1)
 
 
 def bearing(p: Column, q: Column) -> Column:
@@ -39,7 +39,9 @@ def angle_bin(angle: Column) -> Column:
 
 
 def is_closed(coords: Column) -> Column:
-    return first_point(coords) == last_point(coords)
+    """Whether the ends are one point; null for a line without points."""
+    a, b = first_point(coords), last_point(coords)
+    return (a["x"] == b["x"]) & (a["y"] == b["y"])
 
 
 def boundary(parts: Column) -> Column:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: pattern of model file names.
-MODEL_NAME = r"^model(.*)_hiddensize_(\d+)_drop_(\d+)\.pt$"
-#: Stack codes, their layers and whether they have skip connections.
+MODEL_NAME = r"^model([a-zA-Z0-9]+)_hiddensize_(\d+)_drop_(\d+)\.pt$"
+#: Stack codes of file names, their layers and whether they have skip connections.
 STACKS = (
     ("04", ("sage", "sage", "sage", "sage"), False),
     ("22", ("gat", "gat", "sage", "sage"), False),
     ("1111", ("gat", "sage", "gat", "sage"), False),
     ("1212", ("gat", "sage", "sage", "gat", "sage", "sage"), False),
-    ("1212-skip", ("gat", "sage", "sage", "gat", "sage", "sage"), True),
+    ("skip", ("gat", "sage", "sage", "gat", "sage", "sage"), True),
 )
+#: Fixed value: the code of ``skip`` in commands.
+COMMAND_CODES = {"skip": "1212-skip"}
 PHASES = (("train", "Training"), ("val", "Validation"), ("test", "Testing"))
 
 
@@ -24,29 +27,45 @@ def early_stopping(log: DataFrame, patience: int = 5, delta: float = 0.001, run:
     """(run, best_epoch, best_loss, stop_epoch, stopped) of logs (run, epoch, loss).
 
     An epoch improves if -loss >= best + delta; after ``patience`` epochs in a row without
-    improvement the run stops. A run's list is bounded by its number of epochs.
+    improvement the run stops. Each epoch depends on the one before, so a run is read in order by one
+    task, as a stream: only its state is held, however long it is. Rows with a null loss are left out.
     """
-    rows = log.where("loss is not null").groupBy(run).agg(F.array_sort(F.collect_list(F.struct("epoch", "loss"))).alias("log"))
-    start = F.struct(
-        F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("best_epoch"), F.lit(0).alias("bad"),
-        F.lit(None).cast("long").alias("stop_epoch"),
-    )
-
-    def step(s: Column, r: Column) -> Column:
-        better = s["best"].isNull() | (-r["loss"] >= s["best"] + delta)
-        bad = F.when(better, 0).otherwise(s["bad"] + 1)
-        after = F.struct(
-            F.when(better, -r["loss"]).otherwise(s["best"]).alias("best"),
-            F.when(better, r["epoch"].cast("long")).otherwise(s["best_epoch"]).alias("best_epoch"), bad.alias("bad"),
-            F.when(bad >= patience, r["epoch"].cast("long")).alias("stop_epoch"),
-        )
-        return F.when(s["stop_epoch"].isNotNull(), s).otherwise(after)
-
-    end = rows.select(run, F.aggregate("log", start, step).alias("s"), F.element_at("log", -1)["epoch"].cast("long").alias("last"))
-    return end.select(
-        run, F.col("s.best_epoch").alias("best_epoch"), (-F.col("s.best")).alias("best_loss"),
-        F.coalesce("s.stop_epoch", "last").alias("stop_epoch"), F.col("s.stop_epoch").isNotNull().alias("stopped"),
-    )
+    rows = log.where("loss is not null").select(run, F.col("epoch").cast("long").alias("epoch"), F.col("loss").cast("double").alias("loss"))
+    schema = f"{run} {log.schema[run].dataType.simpleString()}, best_epoch long, best_loss double, stop_epoch long, stopped boolean"
+    names = [run, "best_epoch", "best_loss", "stop_epoch", "stopped"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[list] = []
+        state: list = []  # run, best epoch, best loss, last epoch, stopped, bad epochs in a row
+        kind = None
+
+        def flush() -> pa.RecordBatch:
+            types = [kind, pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names=names)
+            done.clear()
+            return out
+
+        for batch in batches:
+            kind = batch.schema.types[0]
+            for r, epoch, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not state or state[0] != r:
+                    if state:
+                        done.append(state[:5])
+                    state = [r, epoch, loss, epoch, False, 0]
+                elif not state[4]:
+                    state[3] = epoch
+                    if -loss >= -state[2] + delta:
+                        state[1:3], state[5] = [epoch, loss], 0
+                    else:
+                        state[5] += 1
+                        state[4] = state[5] >= patience
+            if done:
+                yield flush()
+        if state:
+            done.append(state[:5])
+            yield flush()
+
+    return rows.repartition(run).sortWithinPartitions(run, "epoch").mapInArrow(fold, schema)
 
 
 def best_rows(log: DataFrame, stops: DataFrame, run: str = "run") -> DataFrame:
@@ -96,7 +115,9 @@ def layer_stacks(keys: DataFrame) -> DataFrame:
 
 
 def stack_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, list(layers), skip) for c, layers, skip in STACKS], "arch string, layers array<string>, skip boolean")
+    """(arch, command, layers, skip): the code in file names, the one in commands, and the stack."""
+    rows = [(c, COMMAND_CODES.get(c, c), list(layers), skip) for c, layers, skip in STACKS]
+    return spark.createDataFrame(rows, "arch string, command string, layers array<string>, skip boolean")
 
 
 def phase_of(split: Column) -> Column:

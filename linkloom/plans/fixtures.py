@@ -35,20 +35,24 @@ ANCHORS = "anchors AS (SELECT c_custkey AS mh_id, (c_custkey % 50)::DOUBLE AS x,
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
+    """One line per order. Tenths of them start on anchors, the others between: by the last digit of the
+    key they are moved off the lattice, in sixteenths, which are exact."""
     x, y = _lattice("o_custkey")
     k = F.col("o_orderkey")
-    dx = F.when(k % 20 == 0, 1.0).otherwise(0.0)
-    dy = F.when(k % 20 == 0, 0.0).when(k % 60 == 30, 2.0).otherwise(1.0)
-    return read(spark, d, "orders").where(k % 10 == 0).select(
-        k.alias("line_id"), G.line((x, y), (x + dx, y + dy)).alias("coords"),
+    off = k % 10 / 16
+    j = F.floor(k / 10)
+    dx = F.when(j % 2 == 0, 1.0).otherwise(0.0)
+    dy = F.when(j % 2 == 0, 0.0).when(j % 6 == 3, 2.0).otherwise(1.0)
+    return read(spark, d, "orders").select(
+        k.alias("line_id"), G.line((x + off, y + off), (x + off + dx, y + off + dy)).alias("coords"),
         F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("material"), F.col("o_orderstatus").alias("seg"),
     )
 
 
-LINES = """lines AS (SELECT o_orderkey AS line_id, (o_custkey % 50)::DOUBLE AS x1, (o_custkey // 50)::DOUBLE AS y1,
-  x1 + CASE WHEN o_orderkey % 20 = 0 THEN 1 ELSE 0 END AS x2,
-  y1 + CASE WHEN o_orderkey % 20 = 0 THEN 0 WHEN o_orderkey % 60 = 30 THEN 2 ELSE 1 END AS y2,
-  nullif(o_orderpriority, '5-LOW') AS material, o_orderstatus AS seg FROM orders WHERE o_orderkey % 10 = 0)"""
+LINES = """lines AS (SELECT o_orderkey AS line_id, (o_custkey % 50) + (o_orderkey % 10) / 16 AS x1, (o_custkey // 50) + (o_orderkey % 10) / 16 AS y1,
+  x1 + CASE WHEN o_orderkey // 10 % 2 = 0 THEN 1 ELSE 0 END AS x2,
+  y1 + CASE WHEN o_orderkey // 10 % 2 = 0 THEN 0 WHEN o_orderkey // 10 % 6 = 3 THEN 2 ELSE 1 END AS y2,
+  nullif(o_orderpriority, '5-LOW') AS material, o_orderstatus AS seg FROM orders)"""
 
 
 def near(spark: SparkSession, d: str) -> DataFrame:
@@ -105,17 +109,16 @@ VECTOR_EDGES = """vedges AS (SELECT vec_id AS src, (vec_id * 7 + 3) % (SELECT co
 
 
 def train_log(spark: SparkSession, d: str) -> DataFrame:
+    """Every event is an epoch of its user's run, in the order of the events."""
     from pyspark.sql import Window as W
 
     order = W.partitionBy("user_id").orderBy("event_id")
-    return (
-        read(spark, d, "events").withColumn("epoch", F.row_number().over(order).cast("long")).where("epoch <= 100")
-        .select(F.col("user_id").alias("run"), "epoch", F.col("value").alias("loss"), F.col("event_type").alias("phase"))
+    return read(spark, d, "events").select(
+        F.col("user_id").alias("run"), F.row_number().over(order).cast("long").alias("epoch"), F.col("value").alias("loss"), F.col("event_type").alias("phase")
     )
 
 
-TRAIN_LOG = """trainlog AS (SELECT user_id AS run, epoch, value AS loss, event_type AS phase FROM
-  (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM events) WHERE epoch <= 100)"""
+TRAIN_LOG = """trainlog AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS epoch, value AS loss, event_type AS phase FROM events)"""
 
 
 def metric_log(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from linkloom.operators import link as L
 from linkloom.operators import metrics as M
 from linkloom.operators import propagate as N
 from linkloom.operators import sampling as S
-from linkloom.operators.components import checkpoint
+from linkloom.operators.components import checkpoint, remove, shared_folder
 from linkloom.plans import fixtures as X
 from linkloom.sources import tables as T
 
@@ -173,7 +175,7 @@ DELTA = ", ".join(f"abs(a.{m} - b.{m})" for m in M.METRICS)
 
 def epoch_loss(spark: SparkSession, d: str) -> DataFrame:
     rows = X.train_log(spark, d).withColumn("n", F.col("run") % 7 + 1)
-    return M.epoch_loss(rows).select("epoch", "phase", X.r6(F.col("loss")).alias("loss"))
+    return M.epoch_loss(rows).select("epoch", "phase", F.round("loss", 10).alias("loss"))
 
 
 def early_stopping(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +220,7 @@ def model_index(spark: SparkSession, d: str) -> DataFrame:
     """Settings of every stack, as text, with its layers."""
     out = P.checkpoint_index(X.model_names(spark, d)).join(F.broadcast(P.stack_table(spark)), "arch", "left")  # five rows
     text = F.transform("settings", lambda s: F.concat_ws(":", s["hidden"].cast("string"), F.format_string("%.1f", s["dropout"])))
-    return out.select("arch", F.array_join(text, ",").alias("settings"), F.array_join("layers", "-").alias("layers"))
+    return out.select("arch", F.array_join(text, ",").alias("settings"), F.array_join("layers", "-").alias("layers"), "skip")
 
 
 def layer_stacks(spark: SparkSession, d: str) -> DataFrame:
@@ -272,11 +274,31 @@ def classifier_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def file_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Size and SHA-256 of the metric tables' files, checked against a second reading (file bytes: no SQL)."""
-    files = T.list_files(spark, {"layers": [f"{d}/part.parquet"], "graph": [f"{d}/customer.parquet", f"{d}/missing"]})
+    layers, graph = ("customer", "supplier", "part", "orders", "lineitem"), ("nation", "region", "events", "embeddings", "missing")
+    files = T.list_files(spark, {"layers": [f"{d}/{t}.parquet" for t in layers], "graph": [f"{d}/{t}.parquet" for t in graph]})
     return T.manifest(files).join(T.verify(files, T.manifest(files)), "name")
 
 
+def log_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows appended to a log twice, and read back past the header of every file."""
+    at = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    value, empty = F.col("auc"), F.lit(None).cast("double")
+    rows = X.metric_log(spark, d).select(
+        "size", "dropout", "phase", F.lit(10).alias("epochs"), empty.alias("training_loss"), value.alias("validation_loss"),
+        *(value.alias(m) for m in ("auc", "f1", "precision", "recall", "accuracy", "mcc")),
+    )
+    for phase in ("Training", "Validation", "Testing"):
+        T.append_log(rows.where(F.col("phase") == phase), at)
+    out = checkpoint(T.read_log(spark, at).select("size", X.r6(F.col("dropout")).alias("dropout"), "phase", "epochs", X.r6(F.col("auc")).alias("auc"), X.r6(F.col("mcc")).alias("mcc")))
+    remove(spark, at)
+    return out
+
+
 QUERIES = {
+    "log_round_trip": (
+        log_round_trip,
+        f"WITH {X.METRIC_LOG} SELECT size, round(dropout, 6) + 0.0 AS dropout, phase, 10 AS epochs, round(auc, 6) + 0.0 AS auc, round(auc, 6) + 0.0 AS mcc FROM mlog",
+    ),
     "position_encoding": (position_encoding, _encoding_sql()),
     "dense_layer": (dense_layer, DENSE_SQL),
     "link_scores": (link_scores, LINK_SQL),
@@ -291,7 +313,7 @@ QUERIES = {
     ),
     "epoch_loss": (
         epoch_loss,
-        f"WITH {X.TRAIN_LOG} SELECT epoch, phase, round(sum(loss * (run % 7 + 1)) / sum(run % 7 + 1), 6) + 0.0 AS loss FROM trainlog GROUP BY epoch, phase",
+        f"WITH {X.TRAIN_LOG} SELECT epoch, phase, round(sum(loss * (run % 7 + 1)) / sum(run % 7 + 1), 10) AS loss FROM trainlog GROUP BY epoch, phase",
     ),
     "early_stopping": (early_stopping, f"WITH {STOP} SELECT * FROM stops"),
     "best_epochs": (best_epochs, f"WITH {STOP} SELECT t.run, t.epoch, t.loss, t.phase FROM trainlog t JOIN stops s ON s.run = t.run AND s.best_epoch = t.epoch"),
@@ -320,7 +342,8 @@ QUERIES = {
         f"""WITH {X.MODEL_NAMES}, p AS (SELECT DISTINCT regexp_extract(name, '^model(.*)_hiddensize_', 1) AS arch, regexp_extract(name, '_hiddensize_(\\d+)_', 1)::INT AS hidden,
         regexp_extract(name, '_drop_(\\d+)', 1)::DOUBLE / 10 AS dropout FROM names WHERE name LIKE 'model%')
         SELECT arch, string_agg(hidden || ':' || printf('%.1f', dropout), ',' ORDER BY hidden, dropout) AS settings,
-        CASE arch """ + " ".join(f"WHEN '{c}' THEN '{'-'.join(layers)}'" for c, layers, _ in P.STACKS) + " END AS layers FROM p GROUP BY arch",
+        CASE arch WHEN '04' THEN 'sage-sage-sage-sage' WHEN '22' THEN 'gat-gat-sage-sage' WHEN '1111' THEN 'gat-sage-gat-sage'
+        WHEN '1212' THEN 'gat-sage-sage-gat-sage-sage' WHEN 'skip' THEN 'gat-sage-sage-gat-sage-sage' END AS layers, arch = 'skip' AS skip FROM p GROUP BY arch""",
     ),
     "layer_stacks": (
         layer_stacks,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ from linkloom.operators import ids as I
 from linkloom.operators import sampling as S
 from linkloom.operators import spatial_join as J
 from linkloom.plans import fixtures as X
+from linkloom.sources import tables as T
 
 SEED = 42
+FAN_OUT = (20, 10)
 
 
 def line_anchor_join(spark: SparkSession, d: str) -> DataFrame:
@@ -101,8 +105,8 @@ def _two_layers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o = X.read(spark, d, "orders").select(
         k.alias("line_id"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("material"), F.col("o_orderstatus").alias("seg"), "o_custkey"
     )
-    one = o.where("line_id % 3 = 0").select("line_id", "material", "seg")
-    two = o.where("line_id % 3 = 1").select("line_id", "seg", F.col("o_custkey").alias("owner"))
+    one = o.where("seg = 'F'").select("line_id", "material", "seg")
+    two = o.where("seg <> 'F'").select("line_id", "seg", F.col("o_custkey").alias("owner"))
     return one, R.drop_duplicate_rows(two.unionByName(two))
 
 
@@ -134,11 +138,19 @@ def _roads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges_of(df: DataFrame, column: str, q: int = 5) -> list[float]:
-    """Inner quantile edges, linearly interpolated; equal ones are an error."""
-    got = df.agg(F.percentile(column, [i / q for i in range(1, q)]).alias("e")).first()["e"]
-    if got and len(set(got)) < len(got):
+    """Inner quantile edges, linearly interpolated between ranks of a global order; equal ones are an error.
+
+    The ranks come from range partitions, so no task holds the column; 2 q rows reach the driver.
+    """
+    ranked = I.dense_id(df.where(F.col(column).isNotNull()).select(column), [column], "rank")
+    n = ranked.count()
+    places = [(n - 1) * i / q for i in range(1, q)] if n else []
+    wanted = sorted({r for p in places for r in (int(p), min(int(p) + 1, n - 1))})
+    at = {r["rank"]: r[column] for r in ranked.where(F.col("rank").isin(wanted)).collect()} if wanted else {}
+    got = [at[int(p)] + (at[min(int(p) + 1, n - 1)] - at[int(p)]) * (p - int(p)) for p in places]
+    if len(set(got)) < len(got):
         raise ValueError(f"quantile edges of {column} repeat: {got}")
-    return got or []
+    return got
 
 
 def road_features(spark: SparkSession, d: str) -> DataFrame:
@@ -196,9 +208,37 @@ def road_rotation(spark: SparkSession, d: str) -> DataFrame:
     return r.select("fid", X.r6(G.rotation(G.flatten_parts(F.array("coords")))).alias("rotation"))
 
 
+def layer_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Near and interim tables and a split graph written, and read back by their schemas; rows of each."""
+    at = f"{C.shared_folder(spark)}/layers-{uuid.uuid4().hex}"
+    near = X.near(spark, d).withColumn("objectid", F.col("mh_id")).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in T.NEAR))
+    near.write.parquet(f"{at}/near")
+    anchors, roads, lines = X.anchors(spark, d), X.roads(spark, d), X.lines(spark, d)
+    split = anchors.select("mh_id", F.when(S.draw(SEED, 10, "mh_id") < 6, "train").otherwise("test").alias("split"))
+    T.write_interim(dict(zip(T.INTERIM, (anchors, roads, lines, T.read_near(spark, f"{at}/near"), _near_pairs(spark, d), split), strict=True)), f"{at}/interim")
+    tables = T.read_interim(spark, f"{at}/interim")
+    T.write_splits(tables["split"].join(tables["anchors"], "mh_id"), f"{at}/graph", ["train", "test"])
+    counts = [tables[n].agg(F.lit(n).alias("name"), F.count("*").alias("n"), X.r6(F.sum(c)).alias("total")) for n, c in (
+        ("anchors", F.col("x")), ("roads", F.col("shape_leng")), ("lines", F.element_at("coords", 2)["y"]), ("near_edges", F.col("near_dist")))]
+    counts += [T.read_split(spark, f"{at}/graph", s).agg(F.lit(s).alias("name"), F.count("*").alias("n"), X.r6(F.sum("y")).alias("total")) for s in ("train", "test")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    out = C.checkpoint(out)
+    C.remove(spark, at)
+    return out
+
+
 GRID = G.TransverseMercator(lon0=153.0)
 
 
+def road_midpoints(spark: SparkSession, d: str) -> DataFrame:
+    """Middle of every road, as degrees around (153, -27), taken in metres (no SQL: see the test of the grid)."""
+    at = F.transform("coords", lambda p: G.point(F.lit(152.5) + p["x"] / 50, F.lit(-27.9) + p["y"] / 500))
+    mid = X.roads(spark, d).select("fid", G.projected_centroid(at, GRID).alias("m"))
+    return mid.select("fid", F.round("m.x", 8).alias("lon"), F.round("m.y", 8).alias("lat"))
+
+
 def projected_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Anchors, as degrees around (153, -27), in metres and back."""
     p = G.point(F.lit(152.5) + F.col("x") / 50, F.lit(-27.9) + F.col("y") / 500)
@@ -268,13 +308,13 @@ BASE_SPLIT = f"{BASE}, {X.NEAR}, {X.ROADS}, {COMPONENTS}, {SPLIT}, {USED_ROADS}"
 
 def either_end_pipes(spark: SparkSession, d: str) -> DataFrame:
     """Pair edges with an end among the anchors of one market segment."""
-    ids = X.anchors(spark, d).where("subtypecd = 'MACHINERY' and mh_id % 4 = 0")
+    ids = X.anchors(spark, d).where("subtypecd = 'MACHINERY'")
     return R.either_end_in(line_pairs(spark, d), ids, "mh_id")
 
 
 def segment_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Pair edges with both ends in one market segment, and the lines they come from."""
-    ids = X.anchors(spark, d).where("mh_id % 3 <> 0")
+    """Pair edges with both ends outside one market segment, and the lines they come from."""
+    ids = X.anchors(spark, d).where("subtypecd <> 'BUILDING'")
     both = R.both_ends_in(line_pairs(spark, d), ids, "mh_id")
     return both.join(X.lines(spark, d).select("line_id", "seg"), "line_id")
 
@@ -308,26 +348,31 @@ def supervised_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mini_batches(spark: SparkSession, d: str) -> DataFrame:
-    """The first ten of the shuffled batches of 128 pair edges."""
+    """Shuffled batches of 128 pair edges."""
+    return S.mini_batches(line_pairs(spark, d).select("src", "dst").distinct(), 128, ["src", "dst"], SEED)
+
+
+def first_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten of them, as a round of training with a limit takes."""
     return S.mini_batches(line_pairs(spark, d).select("src", "dst").distinct(), 128, ["src", "dst"], SEED, max_batches=10)
 
 
 def sampled_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """Two hops of at most 3 and 2 neighbours per relation around every twentieth vector."""
+    """Two hops of at most 20 and 10 neighbours per relation around all vectors, in batches of three."""
     v = X.vectors(spark, d)
-    seeds = v.where("id % 20 = 0").select((F.col("id") % 3).alias("batch_id"), F.col("id").alias("node"))
+    seeds = v.select((F.col("id") % 3).alias("batch_id"), F.col("id").alias("node"))
     e = X.vector_edges(spark, d)
     rels = e.select(F.lit("link").alias("rel"), "src", "dst").unionByName(e.select(F.lit("rev").alias("rel"), F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return S.sample_neighbours(seeds, rels, (1, 1), SEED)
+    return S.sample_neighbours(seeds, rels, FAN_OUT, SEED)
 
 
 def _hop_sql(hop: int, frontier: str) -> str:
     return f"""hop{hop} AS (SELECT batch_id, {hop} AS hop, rel, src, dst FROM (SELECT f.batch_id, r.*, row_number() OVER (PARTITION BY f.batch_id, rel, dst
-      ORDER BY md5(concat_ws('|', f.batch_id, {hop}, rel, src, dst, '{SEED}')), src) AS k FROM {frontier} f JOIN rels r ON r.dst = f.node) WHERE k <= 1)"""
+      ORDER BY md5(concat_ws('|', f.batch_id, {hop}, rel, src, dst, '{SEED}')), src) AS k FROM {frontier} f JOIN rels r ON r.dst = f.node) WHERE k <= {FAN_OUT[hop - 1]})"""
 
 
 SAMPLE_SQL = f"""WITH {X.VECTORS}, {X.VECTOR_EDGES}, rels AS (SELECT 'link' AS rel, src, dst FROM vedges UNION ALL SELECT 'rev', dst, src FROM vedges),
-  f1 AS (SELECT DISTINCT id % 3 AS batch_id, id AS node FROM vectors WHERE id % 20 = 0), {_hop_sql(1, 'f1')},
+  f1 AS (SELECT DISTINCT id % 3 AS batch_id, id AS node FROM vectors), {_hop_sql(1, 'f1')},
   f2 AS (SELECT DISTINCT batch_id, src AS node FROM hop1), {_hop_sql(2, 'f2')} SELECT * FROM hop1 UNION ALL SELECT * FROM hop2"""
 
 QBIN = "CASE WHEN {c} IS NULL THEN NULL ELSE " + " + ".join(f"({{c}} > q[{i}])::INT" for i in range(1, 5)) + " END"
@@ -364,8 +409,8 @@ QUERIES = {
     ),
     "line_layer_union": (
         line_layer_union,
-        """SELECT o_orderkey AS line_id, nullif(o_orderpriority, '5-LOW') AS material, o_orderstatus AS seg, NULL::BIGINT AS owner FROM orders WHERE o_orderkey % 3 = 0
-        UNION ALL SELECT o_orderkey, NULL, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 3 = 1""",
+        """SELECT o_orderkey AS line_id, nullif(o_orderpriority, '5-LOW') AS material, o_orderstatus AS seg, NULL::BIGINT AS owner FROM orders WHERE o_orderstatus = 'F'
+        UNION ALL SELECT o_orderkey, NULL, o_orderstatus, o_custkey FROM orders WHERE o_orderstatus <> 'F'""",
     ),
     "null_free_lines": (null_free_lines, f"WITH {X.LINES} SELECT line_id, material, seg FROM lines WHERE material IS NOT NULL AND seg IS NOT NULL"),
     "anchors_with_near": (
@@ -400,6 +445,15 @@ QUERIES = {
         WHERE least(x1, x2) <= 25 AND greatest(x1, x2) >= 10 AND least(y1, y2) <= 30 AND greatest(y1, y2) >= 5""",
     ),
     "projected_anchors": (projected_anchors, _projection_sql()),
+    "road_midpoints": (road_midpoints, None),
+    "layer_round_trip": (
+        layer_round_trip,
+        f"""WITH {X.ANCHORS}, {X.LINES}, {X.ROADS}, {X.NEAR},
+        s AS (SELECT y, ('0x' || substr(md5(concat_ws('|', mh_id, '{SEED}')), 1, 12))::BIGINT % 10 < 6 AS train FROM anchors)
+        SELECT 'anchors' AS name, count(*) AS n, round(sum(x), 6) + 0.0 AS total FROM anchors UNION ALL SELECT 'roads', count(*), round(sum(shape_leng), 6) + 0.0 FROM roads
+        UNION ALL SELECT 'lines', count(*), round(sum(y2), 6) + 0.0 FROM lines UNION ALL SELECT 'near_edges', count(*), round(sum(near_dist), 6) + 0.0 FROM near_t
+        UNION ALL SELECT CASE WHEN train THEN 'train' ELSE 'test' END, count(*), round(sum(y), 6) + 0.0 FROM s GROUP BY train""",
+    ),
     "split_node_numbers": (
         split_node_numbers,
         f"{BASE_SPLIT}, {HETERO} SELECT split, 'MH' AS type, old, new FROM mh_map UNION ALL SELECT split, 'Road', old, new FROM road_map",
@@ -415,9 +469,9 @@ QUERIES = {
     ),
     "either_end_pipes": (
         either_end_pipes,
-        f"{BASE}, chosen AS (SELECT mh_id FROM anchors WHERE subtypecd = 'MACHINERY' AND mh_id % 4 = 0) SELECT * FROM pairs WHERE src IN (SELECT mh_id FROM chosen) OR dst IN (SELECT mh_id FROM chosen)",
+        f"{BASE}, chosen AS (SELECT mh_id FROM anchors WHERE subtypecd = 'MACHINERY') SELECT * FROM pairs WHERE src IN (SELECT mh_id FROM chosen) OR dst IN (SELECT mh_id FROM chosen)",
     ),
-    "segment_edges": (segment_edges, f"{BASE} SELECT p.*, seg FROM pairs p JOIN lines USING (line_id) WHERE src % 3 <> 0 AND dst % 3 <> 0"),
+    "segment_edges": (segment_edges, f"{BASE}, chosen AS (SELECT mh_id FROM anchors WHERE subtypecd <> 'BUILDING') SELECT p.*, seg FROM pairs p JOIN lines USING (line_id) WHERE src IN (SELECT mh_id FROM chosen) AND dst IN (SELECT mh_id FROM chosen)"),
     "anchor_features": (
         anchor_features,
         f"""WITH {X.ANCHORS}, v AS (SELECT s, row_number() OVER (ORDER BY s) + 1 AS pos FROM (SELECT DISTINCT subtypecd AS s FROM anchors WHERE subtypecd <> 'BUILDING'))
@@ -432,6 +486,11 @@ QUERIES = {
     "mini_batches": (
         mini_batches,
         f"""{BASE}, b AS (SELECT src, dst, (row_number() OVER (ORDER BY md5(concat_ws('|', src, dst, '{SEED}')), src, dst) - 1) // 128 AS batch_id
+        FROM (SELECT DISTINCT src, dst FROM pairs)) SELECT * FROM b""",
+    ),
+    "first_batches": (
+        first_batches,
+        f"""{BASE}, b AS (SELECT src, dst, (row_number() OVER (ORDER BY md5(concat_ws('|', src, dst, '{SEED}')), src, dst) - 1) // 128 AS batch_id
         FROM (SELECT DISTINCT src, dst FROM pairs)) SELECT * FROM b WHERE batch_id < 10""",
     ),
     "sampled_neighbours": (sampled_neighbours, SAMPLE_SQL),
