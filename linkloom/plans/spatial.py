@@ -232,13 +232,6 @@ def layer_round_trip(spark: SparkSession, d: str) -> DataFrame:
 GRID = G.TransverseMercator(lon0=153.0)
 
 
-def road_midpoints(spark: SparkSession, d: str) -> DataFrame:
-    """Middle of every road, as degrees around (153, -27), taken in metres (no SQL: see the test of the grid)."""
-    at = F.transform("coords", lambda p: G.point(F.lit(152.5) + p["x"] / 50, F.lit(-27.9) + p["y"] / 500))
-    mid = X.roads(spark, d).select("fid", G.projected_centroid(at, GRID).alias("m"))
-    return mid.select("fid", F.round("m.x", 8).alias("lon"), F.round("m.y", 8).alias("lat"))
-
-
 def projected_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Anchors, as degrees around (153, -27), in metres and back."""
     p = G.point(F.lit(152.5) + F.col("x") / 50, F.lit(-27.9) + F.col("y") / 500)
@@ -445,7 +438,6 @@ QUERIES = {
         WHERE least(x1, x2) <= 25 AND greatest(x1, x2) >= 10 AND least(y1, y2) <= 30 AND greatest(y1, y2) >= 5""",
     ),
     "projected_anchors": (projected_anchors, _projection_sql()),
-    "road_midpoints": (road_midpoints, None),
     "layer_round_trip": (
         layer_round_trip,
         f"""WITH {X.ANCHORS}, {X.LINES}, {X.ROADS}, {X.NEAR},
