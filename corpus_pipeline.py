@@ -79,7 +79,7 @@ STAGES = [
     ("mix", mix_sources),
 ]
 
-#: The stages learn models and compare sets of hashes: no SQL; the tests hold them against brute force.
+#: The stages learn models and compare sets of hashes: no SQL; the operators have brute-force tests, the whole has tests of what must hold.
 ORACLE_SQL = None
 
 
