@@ -289,3 +289,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Every pair that shares a shingle, without bands; the links are the same up to the recall of the bands.
+OP3_SQL = r"""
+WITH RECURSIVE
+texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM texts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT u, v FROM shared s JOIN sizes a ON s.u = a.doc_id JOIN sizes b ON s.v = b.doc_id WHERE 5 * s.n >= 4 * (a.n + b.n - s.n)),
+reach AS (SELECT DISTINCT u, u AS w FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.w = l.u),
+least AS (SELECT u, min(w) AS least FROM reach GROUP BY u),
+linked AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT doc_id, coalesce(least, doc_id) AS class_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, doc_id) = doc_id AS kept
+FROM documents d LEFT JOIN least ON least.u = d.doc_id LEFT JOIN linked ON linked.u = d.doc_id
+"""

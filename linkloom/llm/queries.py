@@ -20,4 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": langid.op9_language_id,
     "op10_secrets": secret_scan.op10_secrets,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op6_url_filter": urls.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.OP1_SQL,
+    "op3_jaccard_join": jaccard.OP3_SQL,
+    "op4_embedding_dedup": vectors.OP4_SQL,
+    "op6_url_filter": urls.OP6_SQL,
+}

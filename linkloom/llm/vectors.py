@@ -237,3 +237,20 @@ def _is_usable():
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH RECURSIVE
+doubles AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+usable AS MATERIALIZED (
+  SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS length FROM doubles
+  WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v)
+  WHERE a.vec_id <> b.vec_id AND list_inner_product(a.v, b.v) / (a.length * b.length) >= 0.93),
+reach AS (SELECT DISTINCT u, u AS w FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.w = l.u),
+least AS (SELECT u, min(w) AS least FROM reach GROUP BY u),
+linked AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(least, vec_id) AS component_id, coalesce(least, vec_id) = vec_id AS kept
+FROM embeddings e LEFT JOIN least ON least.u = e.vec_id LEFT JOIN linked ON linked.u = e.vec_id
+"""
