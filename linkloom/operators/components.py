@@ -1,7 +1,7 @@
 """Connected components by contraction, and lineage cuts.
 
-Every task first replaces its edges by a spanning forest of stars, in buffers of ``FOREST`` vertices; on a small graph
-that is nearly all of the work. Then in each round every vertex goes to the least vertex of its neighbourhood, itself included, and the edges
+Every task first replaces its edges by a spanning forest of stars, in buffers of ``FOREST`` vertices, and again in
+tasks of ``FILE_ROWS`` edges; on a small graph that is nearly all of the work. Then in each round every vertex goes to the least vertex of its neighbourhood, itself included, and the edges
 are drawn between the places they went to, until none is left. The first round takes the order of the
 vertices, which empties a star at once; later ones take a fresh hash order, so that a constant share of
 the vertices goes each time whatever the graph (randomised contraction, Bögeholz et al., 2020). Edges and
@@ -114,12 +114,18 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df = df.coalesce(_files(2 * rows)) if rows else df  # vertices are at most twice the edges
+        return written(df, name)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     rows = 0
-    left = stored(_stars(_stars(edges).distinct()), "edges")
-    first = rows = left.count()
+    left = written(_stars(edges).distinct(), "edges")
+    rows = left.count()
+    if rows:  # tasks of FILE_ROWS edges, whatever the number of shuffle partitions
+        left = written(_stars(left.coalesce(_files(rows))), "edges-0")
+    first = rows = left.count() if rows else 0
     maps: list[DataFrame] = []  # (u, m): where the vertices of each round went
     while rows:
         if len(maps) == max_rounds:
@@ -134,7 +140,8 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         at = stored(least, f"map-{len(maps)}")
         maps.append(at)
         moved = left.join(at, "u").select(F.col("m").alias("u"), "v").join(at.withColumnRenamed("u", "v"), "v")
-        left = stored(_stars(_stars(moved.select("u", F.col("m").alias("v"))).distinct()), f"edges-{len(maps)}")
+        moved = _stars(moved.select("u", F.col("m").alias("v"))).distinct()
+        left = written(_stars(moved.coalesce(_files(rows))), f"edges-{len(maps)}")
         rows = left.count()
     rows = first
     if maps:
