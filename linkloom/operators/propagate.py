@@ -36,37 +36,43 @@ def centre(nodes: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return nodes.groupBy(*group).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
 
 
-def from_centre(nodes: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """x and y less the centre of the node's group."""
-    mid = centre(nodes, group)
+def from_centre(nodes: DataFrame, group: Sequence[str] = (), of: DataFrame | None = None) -> DataFrame:
+    """x and y less the centre of the node's group; the centre is that of the rows ``of``, if given."""
+    mid = centre(nodes if of is None else of, group)
     out = nodes.join(F.broadcast(mid)) if not group else nodes.join(mid, list(group))  # one row
     return out.withColumns({"x": F.col("x") - F.col("cx"), "y": F.col("y") - F.col("cy")}).drop("cx", "cy")
 
 
-def neighbour_mean(nodes: DataFrame, edges: DataFrame, dims: int) -> DataFrame:
-    """(id, mean) of the vectors ``h`` at the sources of a node's incoming edges; zeros for none."""
+def neighbour_mean(nodes: DataFrame, edges: DataFrame, dims: int, to: DataFrame | None = None) -> DataFrame:
+    """(id, mean) of the vectors ``h`` at the sources of a node's incoming edges; zeros for none.
+
+    The nodes that receive are those of ``to``, or ``nodes`` itself.
+    """
     got = edges.join(nodes.select(F.col("id").alias("src"), "h"), "src")
     got = vector_agg(got, ["dst"], "h", dims, F.avg, "mean").withColumnRenamed("dst", "id")
-    return nodes.select("id").join(got, "id", "left").withColumn("mean", F.coalesce("mean", zeros(dims)))
+    return (nodes if to is None else to).select("id").join(got, "id", "left").withColumn("mean", F.coalesce("mean", zeros(dims)))
 
 
-def sage(nodes: DataFrame, edges: DataFrame, w_neighbour, w_self, bias=None) -> DataFrame:
-    """(id, h): W_l mean(neighbours) + W_r own vector."""
-    dims = len(w_self[0])
-    both = nodes.join(neighbour_mean(nodes, edges, dims), "id")
+def sage(nodes: DataFrame, edges: DataFrame, w_neighbour, w_self, bias=None, to: DataFrame | None = None) -> DataFrame:
+    """(id, h): W_l mean(neighbours) + W_r own vector, of the nodes ``to`` (or ``nodes``)."""
+    both = (nodes if to is None else to).join(neighbour_mean(nodes, edges, len(w_neighbour[0]), to), "id")
     h = add(dense_layer(F.col("mean"), w_neighbour, bias, relu=False), dense_layer(F.col("h"), w_self, relu=False))
     return both.select("id", h.alias("h"))
 
 
-def gat(nodes: DataFrame, edges: DataFrame, weight, att_src, att_dst, bias=None, slope: float = 0.2) -> DataFrame:
-    """(id, h): softmax over incoming edges of the leaky attention logits, one head, no self-loops."""
+def gat(nodes: DataFrame, edges: DataFrame, weight, att_src, att_dst, bias=None, slope: float = 0.2, to: DataFrame | None = None, weight_to=None) -> DataFrame:
+    """(id, h): softmax over incoming edges of the leaky attention logits, one head, no self-loops.
+
+    The nodes that receive are those of ``to`` (or ``nodes``); their own vectors are projected by
+    ``weight_to`` (or ``weight``).
+    """
     dims = len(weight)
+    to = nodes if to is None else to
     z = nodes.select("id", dense_layer(F.col("h"), weight, relu=False).alias("z"))
-    z = z.select(
-        "id", "z", dot(F.array(*map(F.lit, att_src)), F.col("z")).alias("ls"), dot(F.array(*map(F.lit, att_dst)), F.col("z")).alias("ld")
-    )
-    e = edges.select("src", "dst").join(z.select(F.col("id").alias("src"), "z", "ls"), "src")
-    e = e.join(z.select(F.col("id").alias("dst"), "ld"), "dst")
+    z = z.select(F.col("id").alias("src"), "z", dot(F.array(*map(F.lit, att_src)), F.col("z")).alias("ls"))
+    own = to.select(F.col("id").alias("dst"), dense_layer(F.col("h"), weight_to or weight, relu=False).alias("z"))
+    own = own.select("dst", dot(F.array(*map(F.lit, att_dst)), F.col("z")).alias("ld"))
+    e = edges.select("src", "dst").join(z, "src").join(own, "dst")
     raw = F.col("ls") + F.col("ld")
     e = e.withColumn("logit", F.when(raw > 0, raw).otherwise(slope * raw))
     top = e.groupBy("dst").agg(F.max("logit").alias("top"))
@@ -74,7 +80,7 @@ def gat(nodes: DataFrame, edges: DataFrame, weight, att_src, att_dst, bias=None,
     e = e.select("dst", "a", F.concat(F.transform("z", lambda v: v * F.col("a")), F.array("a")).alias("az"))
     s = vector_agg(e, ["dst"], "az", dims + 1, F.sum, "s")
     h = F.transform(F.slice("s", 1, dims), lambda v: v / F.col("s")[dims])
-    out = nodes.select("id").join(s.select(F.col("dst").alias("id"), h.alias("h")), "id", "left")
+    out = to.select("id").join(s.select(F.col("dst").alias("id"), h.alias("h")), "id", "left")
     h = F.coalesce("h", zeros(dims))
     return out.select("id", (add(h, F.array(*map(F.lit, map(float, bias)))) if bias else h).alias("h"))
 
@@ -88,26 +94,49 @@ def hetero_sum(messages: Sequence[DataFrame], dims: int) -> DataFrame:
 
 
 def propagate(nodes: DataFrame, edges: dict[str, DataFrame], layers: Sequence[dict], skip: dict[int, Sequence[Sequence[float]]] | None = None) -> DataFrame:
-    """Vectors of all nodes after a stack of layers.
+    """Vectors (id, h) of nodes of one type after a stack of layers.
 
-    ``nodes`` is (id, h); ``edges`` maps a relation to (src, dst); each layer has ``kind`` (``sage`` or
-    ``gat``; another is an error) and the weights of its kind, shared by the relations, whose
-    messages are summed. ReLU follows every layer but the last. ``skip`` adds a projection of the
-    layer's own input at the layers named. Each layer is cut by a checkpoint.
+    ``edges`` maps a relation to (src, dst); each layer has ``kind`` and the weights of its kind, shared by
+    the relations. The rest is as in ``propagate_types``.
+    """
+    relations = {("", r, ""): e for r, e in edges.items()}
+    each = [
+        {"kind": layer["kind"], "weights": dict.fromkeys(relations, {k: v for k, v in layer.items() if k != "kind"})} for layer in layers
+    ]
+    return propagate_types({"": nodes}, relations, each, {i: {"": w} for i, w in (skip or {}).items()})[""]
+
+
+def propagate_types(
+    nodes: dict[str, DataFrame], edges: dict[tuple[str, str, str], DataFrame], layers: Sequence[dict],
+    skip: dict[int, dict[str, Sequence[Sequence[float]]]] | None = None,
+) -> dict[str, DataFrame]:
+    """Vectors of the nodes of every type after a stack of layers.
+
+    ``nodes`` maps a type to (id, h); ``edges`` maps (source type, relation, target type) to (src, dst). Each
+    layer has ``kind`` (``sage`` or ``gat``; another is an error) and ``weights`` by relation; the messages of
+    the relations into a type are summed. A type that no relation leads to has no vector after the
+    layer, and sends nothing from there on. ``skip`` adds a projection, by type, of the layer's own input at
+    the layers named. ReLU follows every layer but the last. Each layer is cut by a checkpoint.
     """
     for layer in layers:
         if layer["kind"] not in LAYERS:
             raise ValueError(f"unknown layer: {layer['kind']}")
     h = nodes
     for i, layer in enumerate(layers, 1):
-        own = {k: v for k, v in layer.items() if k != "kind"}
-        step = sage if layer["kind"] == "sage" else gat
-        dims = len(own["w_self"] if layer["kind"] == "sage" else own["weight"])
-        out = hetero_sum([step(h, e, **own) for e in edges.values()], dims)
-        if skip and i in skip:
-            base = h.select("id", dense_layer(F.col("h"), skip[i], relu=False).alias("s"))
-            out = out.join(base, "id").select("id", add(F.col("h"), F.col("s")).alias("h"))
-        if i < len(layers):
-            out = out.withColumn("h", relu(F.col("h")))
-        h = checkpoint(out)
+        step, rows = (sage, "w_self") if layer["kind"] == "sage" else (gat, "weight")
+        got: dict[str, list[DataFrame]] = {}
+        dims: dict[str, int] = {}
+        for (source, rel, target), e in edges.items():
+            if source in h and target in h:
+                own = layer["weights"][source, rel, target]
+                dims[target] = len(own[rows])
+                got.setdefault(target, []).append(step(h[source], e, **own, to=h[target]))
+        after = {}
+        for kind, messages in got.items():
+            out = hetero_sum(messages, dims[kind])
+            if skip and i in skip:
+                base = h[kind].select("id", dense_layer(F.col("h"), skip[i][kind], relu=False).alias("s"))
+                out = out.join(base, "id").select("id", add(F.col("h"), F.col("s")).alias("h"))
+            after[kind] = checkpoint(out.withColumn("h", relu(F.col("h"))) if i < len(layers) else out)
+        h = after
     return h

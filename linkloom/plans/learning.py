@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import encode as E
+from linkloom.functions import geometry as G
 from linkloom.operators import experiments as P
 from linkloom.operators import link as L
 from linkloom.operators import metrics as M
+from linkloom.operators import model as W
 from linkloom.operators import propagate as N
 from linkloom.operators import sampling as S
 from linkloom.operators.components import checkpoint, remove, shared_folder
 from linkloom.plans import fixtures as X
+from linkloom.plans import spatial
 from linkloom.sources import tables as T
 
 SEED = 42
@@ -133,6 +136,42 @@ def propagated(spark: SparkSession, d: str) -> DataFrame:
     return _cells(N.propagate(v, {"link": e}, layers, skip={2: X.weights(8, 8)}), "id", F.col("h"))
 
 
+#: Market segments, the categories of anchors.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the pair edges after the whole pass over anchors and roads (checked against numpy in the tests; no SQL)."""
+    mid = G.centroid(F.col("coords"))
+    roads = X.roads(spark, d).select(F.col("fid").alias("id"), mid["x"].alias("x"), mid["y"].alias("y"), F.array(F.col("shape_leng").cast("double") / 1000).alias("attributes"))
+    mh = X.anchors(spark, d).select(F.col("mh_id").alias("id"), "x", "y", E.one_hot(F.col("subtypecd"), SEGMENTS).alias("attributes"))
+    near = X.near(spark, d).where("near_dist < 100").select(F.col("mh_id").alias("src"), F.col("near_fid").alias("dst"))
+    pairs = checkpoint(spatial.line_pairs(spark, d).select("src", "dst").distinct())
+    edges = {
+        ("MH", "link", "MH"): pairs,
+        ("MH", "near", "Road"): near,
+        ("Road", "rev_near", "MH"): near.select(F.col("dst").alias("src"), F.col("src").alias("dst")),
+    }
+    width = {"MH": 4 + len(SEGMENTS), "Road": 4 + 1}
+    w = X.weights
+    first = {
+        (s, r, t): {"weight": w(4, width[s]), "weight_to": w(4, width[t]), "att_src": ATT_SRC, "att_dst": ATT_DST} for s, r, t in edges
+    }
+    second = {k: {"w_neighbour": w(3 + i, 4)[i:], "w_self": w(3, 4)} for i, k in enumerate(edges)}
+    out = W.link_model(
+        {"MH": mh, "Road": roads}, edges, pairs, "MH", {"weight": w(4, 24), "freqs": E.frequencies(4, 1.0, 100.0)},
+        [{"kind": "gat", "weights": first}, {"kind": "sage", "weights": second}], {1: {t: w(4, n) for t, n in width.items()}},
+    )
+    return out.select("src", "dst", X.r6(F.col("score")).alias("score"), "predicted")
+
+
+def split_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the scored rows beside those stored for size 64, dropout 0.2, in training."""
+    log = X.metric_log(spark, d)
+    log = log.select("row_no", "size", "dropout", "phase", *(F.col("auc").alias(m) for m in M.METRICS))
+    return _rounded(W.evaluate(X.scored(spark, d), log, 64, 0.2, "training", 0.1)).withColumn("delta", X.r6(F.col("delta")))
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*((X.r6(F.col(c)) if c in M.METRICS else F.col(c)).alias(c) for c in df.columns))
 
@@ -305,6 +344,13 @@ QUERIES = {
     "sage_layer": (sage_layer, SAGE_SQL),
     "gat_layer": (gat_layer, GAT_SQL),
     "propagated": (propagated, None),
+    "model_scores": (model_scores, None),
+    "split_evaluation": (
+        split_evaluation,
+        f"""WITH {X.SCORED}, {X.METRIC_LOG}, {_metrics_sql(0.1)}, stored AS (SELECT arg_min(auc, row_no) AS v FROM mlog WHERE size = 64 AND abs(dropout - 0.2) < 1e-12 AND phase = 'Training')
+        SELECT 64 AS size, 0.2::DOUBLE AS dropout, 'training' AS phase, {_ROUND}, round(greatest({", ".join(f"abs({m} - v)" for m in M.METRICS)}), 6) + 0.0 AS delta,
+        greatest({", ".join(f"abs({m} - v)" for m in M.METRICS)}) <= 0.005 AS passed FROM m, stored WHERE v IS NOT NULL""",
+    ),
     "binary_metrics": (binary_metrics, f"WITH {X.SCORED}, {_metrics_sql(0.1)} SELECT {_ROUND}, tp, fp, fn, tn FROM m"),
     "roc_curve": (roc_curve, ROC_SQL),
     "metric_delta": (

@@ -8,6 +8,7 @@ from linkloom.functions import encode as E
 from linkloom.operators import experiments as P
 from linkloom.operators import link as L
 from linkloom.operators import metrics as M
+from linkloom.operators import model as W
 from linkloom.operators import propagate as N
 
 
@@ -144,6 +145,77 @@ def test_propagation_matches_numpy(spark):
         N.propagate(nodes, {"r": e}, [{"kind": "gcn"}])
 
 
+def test_link_model_matches_numpy(spark):
+    """Two node types, three relations with weights of their own, a skip connection; node a3 and road b4 have no edge."""
+    rng = np.random.default_rng(5)
+    n, width = {"a": 4, "b": 5}, {"a": 2 + 1, "b": 2 + 2}
+    xy = {t: rng.normal(size=(k, 2)) for t, k in n.items()}
+    att = {t: rng.normal(size=(k, width[t] - 2)) for t, k in n.items()}
+    edges = {("a", "link", "a"): [(0, 1), (1, 2), (2, 0)], ("a", "near", "b"): [(0, 0), (1, 0), (2, 3)], ("b", "back", "a"): [(0, 0), (0, 1), (3, 2), (1, 2)]}
+    enc, bias = rng.normal(size=(2, 6)), rng.normal(size=2)
+    first = {k: {"weight": rng.normal(size=(3, width[k[0]])), "weight_to": rng.normal(size=(3, width[k[2]])), "att_src": rng.normal(size=3), "att_dst": rng.normal(size=3)} for k in edges}
+    second = {k: {"w_neighbour": rng.normal(size=(2, 3)), "w_self": rng.normal(size=(2, 3))} for k in edges}
+    skip = {t: rng.normal(size=(3, w)) for t, w in width.items()}
+
+    def plain(d):
+        return {k: v.tolist() for k, v in d.items()}
+
+    nodes = {
+        t: spark.createDataFrame([(i, *map(float, xy[t][i]), list(map(float, att[t][i]))) for i in range(k)], "id long, x double, y double, attributes array<double>")
+        for t, k in n.items()
+    }
+    tables = {k: spark.createDataFrame(v, "src long, dst long") for k, v in edges.items()}
+    links = spark.createDataFrame([(0, 1), (2, 3), (3, 1)], "src long, dst long")
+    got = W.link_model(
+        nodes, tables, links, "a", {"weight": enc.tolist(), "bias": bias.tolist(), "freqs": E.frequencies(1, 1.0, 1.0)},
+        [{"kind": "gat", "weights": {k: plain(v) for k, v in first.items()}}, {"kind": "sage", "weights": {k: plain(v) for k, v in second.items()}}], {1: plain(skip)},
+    )
+    got = {(r["src"], r["dst"]): r["score"] for r in got.collect()}
+
+    mid = np.vstack(list(xy.values())).mean(0)
+    axes = np.array([[math.cos(2 * math.pi * k / 3), math.sin(2 * math.pi * k / 3)] for k in range(3)])
+    h = {}
+    for t in n:
+        along = (xy[t] - mid) @ axes.T
+        place = np.stack([g(along[:, k]) for k in range(3) for g in (np.sin, np.cos)], axis=1)
+        h[t] = np.hstack([np.maximum(place @ enc.T + bias, 0), att[t]])
+    x = {t: h[t] @ skip[t].T for t in n}
+    for (s, r, t), es in edges.items():
+        w = first[s, r, t]
+        zs, zt = h[s] @ w["weight"].T, h[t] @ w["weight_to"].T
+        for v in range(n[t]):
+            src = [a for a, b in es if b == v]
+            if src:
+                logit = np.array([zs[a] @ w["att_src"] + zt[v] @ w["att_dst"] for a in src])
+                e = np.exp(np.where(logit > 0, logit, 0.2 * logit))
+                x[t][v] += (e[:, None] * zs[src]).sum(0) / e.sum()
+    x = {t: np.maximum(v, 0) for t, v in x.items()}
+    y = np.zeros((n["a"], 2))
+    for (s, r, t), es in edges.items():
+        if t == "a":
+            w = second[s, r, t]
+            mean = np.array([x[s][[a for a, b in es if b == v]].mean(0) if any(b == v for _, b in es) else np.zeros(3) for v in range(n["a"])])
+            y += mean @ w["w_neighbour"].T + x["a"] @ w["w_self"].T
+    assert got.keys() == {(0, 1), (2, 3), (3, 1)}
+    assert all(abs(s - y[a] @ y[b]) < 1e-9 for (a, b), s in got.items())
+
+
+def test_centre_of_all_types_per_group(spark):
+    a = spark.createDataFrame([("g", 1, 0.0, 0.0), ("k", 2, 5.0, 5.0)], "g string, id long, x double, y double")
+    b = spark.createDataFrame([("g", 1, 4.0, 2.0)], "g string, id long, x double, y double")
+    got = {r["id"]: (r["x"], r["y"]) for r in N.from_centre(a, ["g"], a.unionByName(b)).collect()}
+    assert got == {1: (-2.0, -1.0), 2: (0.0, 0.0)}
+
+
+def test_evaluate(spark):
+    log = spark.createDataFrame([(1, 32, 0.2, "Testing", *[1.0] * 6), (2, 32, 0.2, "Testing", *[0.0] * 6)], "row_no long, size int, dropout double, phase string, " + ", ".join(f"{m} double" for m in M.METRICS))
+    s = scored(spark, (0.9, 0.1), (1, 0))
+    assert [(r["delta"], r["passed"]) for r in W.evaluate(s, log, 32, 0.2, "testing").collect()] == [(0.0, True)]
+    assert W.evaluate(s, log, 64, 0.2, "testing").count() == 0
+    with pytest.raises(Exception, match="no scored rows"):
+        W.evaluate(scored(spark, (), ()), log, 32, 0.2, "testing").collect()
+
+
 def test_links(spark):
     nodes = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, -1.0])], "id long, h array<double>")
     r = L.score_links(spark.createDataFrame([(1, 2, 1.0)], "src long, dst long, label double"), nodes).first()
