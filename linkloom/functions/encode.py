@@ -64,7 +64,7 @@ def bce_with_logits(score: Column, label: Column) -> Column:
     return F.greatest(score, F.lit(0.0)) - score * label + F.log1p(F.exp(-F.abs(score)))
 
 
-def one_hot(value: Column, vocabulary: Sequence[str]) -> Column:
+def one_hot(value: Column, vocabulary: Sequence[str] | Sequence[int]) -> Column:
     """1.0 at the place of the value, all zeros for null or unknown values."""
     return F.array(*(F.coalesce((value == F.lit(v)).cast("double"), F.lit(0.0)) for v in vocabulary))
 

@@ -177,6 +177,20 @@ def mh_road_edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def road_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Node features of roads, as (road_id, pos, value): coordinates, then one-hot bins of angle and length."""
+    r = road_features(spark, d)
+    x = F.concat(F.array("x_coordinate", "y_coordinate"), E.one_hot(F.col("angle_bin"), range(6)), E.one_hot(F.col("len_bin"), range(5)))
+    return r.select("road_id", F.posexplode(x).alias("pos", "value"))
+
+
+def near_edge_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes of near edges, as (index_mh, index_road, pos, value): place, side, then the one-hot distance bin."""
+    e = mh_road_edges(spark, d)
+    x = F.concat(F.array(F.col("near_pos").cast("double"), F.col("side").cast("double")), E.one_hot(F.col("dist_bin"), range(5)))
+    return e.select("index_mh", "index_road", F.posexplode(x).alias("pos", "value"))
+
+
 def road_graph(spark: SparkSession, d: str) -> DataFrame:
     return R.without_self_loops(J.lines_meeting(X.roads(spark, d), line_id="fid"))
 
@@ -487,3 +501,17 @@ QUERIES = {
     ),
     "sampled_neighbours": (sampled_neighbours, SAMPLE_SQL),
 }
+QUERIES |= {
+    "road_vectors": (
+        road_vectors,
+        f"""WITH f AS ({QUERIES["road_features"][1]}), c AS (SELECT road_id, unnest(list_concat([x_coordinate, y_coordinate],
+        list_transform(range(6), lambda k: (angle_bin = k)::INT::DOUBLE), list_transform(range(5), lambda k: (len_bin = k)::INT::DOUBLE))) AS value, unnest(range(13)) AS pos FROM f)
+        SELECT road_id, pos::INT AS pos, value FROM c""",
+    ),
+    "near_edge_vectors": (
+        near_edge_vectors,
+        f"""WITH f AS ({QUERIES["mh_road_edges"][1]}), c AS (SELECT index_mh, index_road, unnest(list_concat([near_pos::DOUBLE, side::DOUBLE],
+        list_transform(range(5), lambda k: (dist_bin = k)::INT::DOUBLE))) AS value, unnest(range(7)) AS pos FROM f)
+        SELECT index_mh, index_road, pos::INT AS pos, value FROM c""",
+    ),
+}
