@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontam, html_text, jaccard, langid, mixing, secret_scan, substring, toxicity, urls, vectors
+from linkloom.llm import decontam, html_text, jaccard, langid, mixing, secret_scan, substring, toxicity, urls, vector_code, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": html_text.op8_html_text,
     "op9_language_id": langid.op9_language_id,
     "op10_secrets": secret_scan.op10_secrets,
+    "op12_vector_code": vector_code.op12_vector_code,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op3_jaccard_join": jaccard.OP3_SQL,
     "op4_embedding_dedup": vectors.OP4_SQL,
     "op6_url_filter": urls.OP6_SQL,
+    "op12_vector_code": vector_code.OP12_SQL,
 }
