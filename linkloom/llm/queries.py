@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.llm import decontam, html_text, jaccard, langid, mixing, secret_scan, substring, toxicity, urls, vector_code, vectors
+from linkloom.llm import decontam, html_text, jaccard, langid, mixing, phrases, quality, secret_scan, substring, toxicity, urls, vector_code, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -19,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": html_text.op8_html_text,
     "op9_language_id": langid.op9_language_id,
     "op10_secrets": secret_scan.op10_secrets,
+    "op11_quality_rules": quality.op11_quality_rules,
     "op12_vector_code": vector_code.op12_vector_code,
+    "op13_phrases": phrases.op13_phrases,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.OP1_SQL,
@@ -27,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_embedding_dedup": vectors.OP4_SQL,
     "op6_url_filter": urls.OP6_SQL,
     "op12_vector_code": vector_code.OP12_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
