@@ -35,8 +35,8 @@ SAMPLE, LOWERED = 0.25, 0.5
 #: Bits of the table of proposals, at most: 16 MB.
 MOST_BITS = 1 << 27
 BITS_EACH = 16
-#: Phrases that a task holds before it hands its counts on.
-HELD = 2_000_000
+#: Phrases of each number of words that a task holds before it hands its counts on.
+HELD = 400_000
 BUCKETS = 64
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -181,7 +181,8 @@ def _counts(docs: DataFrame, longest: int, wanted, held: int = HELD) -> DataFram
                     yield from out()
         yield from out()
 
-    return docs.mapInArrow(run, "k int, h long, n long").groupBy("k", "h").agg(F.sum("n").alias("n"))
+    # dealt by hash at once: the tasks have added up what they hold, a second partial sum would only fill memory
+    return docs.mapInArrow(run, "k int, h long, n long").repartition("h").groupBy("k", "h").agg(F.sum("n").alias("n"))
 
 
 def _missing(frequent: DataFrame, known: Bits) -> DataFrame:
@@ -270,7 +271,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, *
                         else:
                             counts[k, x] = c
                             names[k, x] = p.langs[p.lang[p.owner[i]]], p.text(i, k)
-                if len(counts) > HELD // 8:
+                if len(counts) > HELD // 2:
                     yield from out()
         yield from out()
         total = list(words.items())
