@@ -43,12 +43,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense_layer(e: Column, weights: Sequence[Sequence[float]], bias: Sequence[float] | None = None, relu: bool = True) -> Column:
-    """W e + b, cut at 0 with ``relu``; the weights are literals."""
-    out = []
-    for i, row in enumerate(weights):
-        v = dot(F.array(*(F.lit(float(w)) for w in row)), e) + F.lit(float(bias[i]) if bias else 0.0)
-        out.append(F.greatest(v, F.lit(0.0)) if relu else v)
-    return F.array(*out)
+    """W e + b, cut at 0 with ``relu``; null for a null vector, a null element or another length.
+
+    The weights are literals, for a few of them; ``operators.matrix`` has the layer of any width.
+    """
+    sums = [dot(F.array(*(F.lit(float(w)) for w in row)), e) for row in weights]
+    out = [v + F.lit(float(bias[i]) if bias is not None else 0.0) for i, v in enumerate(sums)]
+    return F.when(sums[0].isNotNull(), F.array(*(F.greatest(v, F.lit(0.0)) if relu else v for v in out)))
 
 
 def relu(e: Column) -> Column:

@@ -1,6 +1,6 @@
 """Connected components by contraction, and lineage cuts.
 
-Every task first replaces its edges by a spanning forest of stars, in buffers of ``FOREST`` vertices, and again in
+Every task first replaces its edges by a spanning forest of stars, in buffers of ``FOREST`` edges, and again in
 tasks of ``FILE_ROWS`` edges; on a small graph that is nearly all of the work. Then in each round every vertex goes to the least vertex of its neighbourhood, itself included, and the edges
 are drawn between the places they went to, until none is left. The first round takes the order of the
 vertices, which empties a star at once; later ones take a fresh hash order, so that a constant share of
@@ -8,8 +8,7 @@ the vertices goes each time whatever the graph (randomised contraction, Bögehol
 vertices shrink from round to round, and the maps of the rounds are put together backwards.
 
 A vertex that touches a third of all edges is met in three places: its least neighbour is combined before the
-shuffle; the joins that move its edges have plain shuffles on both sides, which adaptive execution splits where
-one key is too large; and repeated edges are combined before their shuffle. Every table that is used twice is written
+shuffle; the joins that move its edges meet it in slices (``skew``); and repeated edges are combined before their shuffle. Every table that is used twice is written
 to the shared folder, so a lost executor costs one step at most, and the planner knows its true size.
 """
 
@@ -19,14 +18,19 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.operators.skew import hub_join
 
-FOREST = 200_000
+FOREST = 400_000
 FILE_ROWS = 50_000
+#: Edges from which on a round looks for hubs: fewer are a short task on one key, too.
+HUB_EDGES = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -71,34 +75,63 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """Edges (u, v), v < u, with the same components: stars of the spanning forests of each task's buffers."""
-    edges = edges.where("u <> v").select("u", "v")
+def least_roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least vertex of the component of each vertex 0..n-1, by hooking greater roots to smaller ones and pointer jumping."""
+    parent = np.arange(n)
+    while len(u):
+        u, v = parent[u], parent[v]
+        apart = u != v
+        u, v = u[apart], v[apart]
+        np.minimum.at(parent, np.maximum(u, v), np.minimum(u, v))
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+    return parent
+
+
+def _numbered(columns: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
+    """Distinct values in order, and each column as places among them."""
+    both = pa.concat_arrays(columns)
+    if pa.types.is_integer(both.type):
+        values, place = np.unique(both.to_numpy(zero_copy_only=False), return_inverse=True)
+        values = pa.array(values, both.type)
+    else:
+        coded = both.dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        values, place = coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
+    ends = np.cumsum([0] + [len(c) for c in columns])
+    return values, [place[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict = {}
 
-        def root(x):
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent.setdefault(p, p)
-            return x
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), v < u, with the same components: stars of the spanning forests of each task's buffers of ``FOREST`` edges.
+
+    A buffer is solved with arrays, all its edges at a time; the stars of a full buffer stay in it while they are few.
+    """
+    edges = edges.where("u <> v").select("u", "v")
 
-        def stars(kind: pa.Schema) -> pa.RecordBatch:
-            pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
-            parent.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], kind.types[i]) for i in (0, 1)], names=["u", "v"])
+    def solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        values, (u, v) = _numbered([pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1)])
+        root = least_roots(u, v, len(values))
+        leaf = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([values.take(pa.array(leaf)), values.take(pa.array(root[leaf]))], names=["u", "v"])
 
-        kind = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            kind = batch.schema
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = root(x), root(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-            if len(parent) > FOREST:
-                yield stars(kind)
-        if parent:
-            yield stars(kind)
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows > FOREST:
+                held = [solved(held)]
+                rows = held[0].num_rows
+                if rows > FOREST // 2:
+                    yield held[0]
+                    held, rows = [], 0
+        if rows:
+            yield solved(held)
 
     return edges.mapInArrow(run, edges.schema)
 
@@ -139,7 +172,11 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             least = least.select("u", F.least("s", F.struct(F.xxhash64(seed, "u").alias("h"), F.col("u").alias("m")))["m"].alias("m"))
         at = stored(least, f"map-{len(maps)}")
         maps.append(at)
-        moved = left.join(at, "u").select(F.col("m").alias("u"), "v").join(at.withColumnRenamed("u", "v"), "v")
+        if rows > HUB_EDGES:
+            moved = hub_join(left, at, "u").select(F.col("m").alias("u"), "v")
+            moved = hub_join(moved, at.withColumnRenamed("u", "v"), "v", counted=left)
+        else:
+            moved = left.join(at, "u").select(F.col("m").alias("u"), "v").join(at.withColumnRenamed("u", "v"), "v")
         moved = _stars(moved.select("u", F.col("m").alias("v"))).distinct()
         left = written(_stars(moved.coalesce(_files(rows))), f"edges-{len(maps)}")
         rows = left.count()

@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions.encode import dense_layer, frequencies, position_encoding
+from linkloom.functions.encode import frequencies, position_encoding
 from linkloom.operators.experiments import expected_metrics
 from linkloom.operators.link import score_links
+from linkloom.operators.matrix import affine
 from linkloom.operators.metrics import METRICS, binary_metrics, metric_delta
 from linkloom.operators.propagate import from_centre, propagate_types
 
@@ -23,8 +24,12 @@ def encode_nodes(nodes: dict[str, DataFrame], weight, bias: Sequence[float] | No
     """
     everyone = reduce(DataFrame.unionByName, (df.select(*group, "x", "y") for df in nodes.values()))
     place = position_encoding(F.col("x"), F.col("y"), frequencies() if freqs is None else freqs)
-    h = F.concat(dense_layer(place, weight, bias), F.col("attributes"))
-    return {kind: from_centre(df, group, everyone).select("id", h.alias("h")) for kind, df in nodes.items()}
+    out = {}
+    for kind, df in nodes.items():
+        placed = from_centre(df, group, everyone).select("id", "attributes", place.alias("place"))
+        placed = affine(placed, ["id", "attributes"], {"place": weight}, "e", bias, relu=True)
+        out[kind] = placed.select("id", F.concat("e", "attributes").alias("h"))
+    return out
 
 
 def link_model(

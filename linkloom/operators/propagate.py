@@ -1,34 +1,32 @@
 """Message passing over edge tables: neighbour means, attention, stacks of layers.
 
-Vectors are array<double>; sums go element by element through one wide aggregate, so that every
-task combines its edges before the shuffle and no row per element is made.
+Vectors are array<double> of any width. Layers are matrix products per Arrow batch, sums and attention are states
+merged per task before the one shuffle of vectors by target (``matrix``). Joins meet a hub in slices (``skew``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.functions.encode import dense_layer, dot, relu
+from linkloom.functions.encode import relu
 from linkloom.operators.components import checkpoint
+from linkloom.operators.matrix import NUMBER, VECTOR, affine, map_vectors, softmax_means, vector_means, vector_sums, weights
+from linkloom.operators.skew import hub_join
 
 LAYERS = ("sage", "gat")
 
 
-def vector_agg(df: DataFrame, by: Sequence[str], vector: str, dims: int, how=F.sum, name: str = "v") -> DataFrame:
-    """Element-wise aggregate of a vector column."""
-    out = df.groupBy(*by).agg(*(how(F.col(vector)[i]).alias(f"__{i}") for i in range(dims)))
-    return out.select(*by, F.array(*(F.col(f"__{i}") for i in range(dims))).alias(name))
-
-
 def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
 def zeros(dims: int) -> Column:
-    return F.array(*[F.lit(0.0)] * dims)
+    return F.array_repeat(F.lit(0.0), dims)
 
 
 def centre(nodes: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -46,51 +44,51 @@ def from_centre(nodes: DataFrame, group: Sequence[str] = (), of: DataFrame | Non
 def neighbour_mean(nodes: DataFrame, edges: DataFrame, dims: int, to: DataFrame | None = None) -> DataFrame:
     """(id, mean) of the vectors ``h`` at the sources of a node's incoming edges; zeros for none.
 
-    The nodes that receive are those of ``to``, or ``nodes`` itself.
+    The nodes that receive are those of ``to``, or ``nodes`` itself. A source without a vector is passed over.
     """
-    got = edges.join(nodes.select(F.col("id").alias("src"), "h"), "src")
-    got = vector_agg(got, ["dst"], "h", dims, F.avg, "mean").withColumnRenamed("dst", "id")
+    got = hub_join(edges.select("src", "dst"), nodes.select(F.col("id").alias("src"), "h"), "src")
+    got = vector_means(got, "dst", "h", dims, "mean").withColumnRenamed("dst", "id")
     return (nodes if to is None else to).select("id").join(got, "id", "left").withColumn("mean", F.coalesce("mean", zeros(dims)))
 
 
 def sage(nodes: DataFrame, edges: DataFrame, w_neighbour, w_self, bias=None, to: DataFrame | None = None) -> DataFrame:
     """(id, h): W_l mean(neighbours) + W_r own vector, of the nodes ``to`` (or ``nodes``)."""
-    both = (nodes if to is None else to).join(neighbour_mean(nodes, edges, len(w_neighbour[0]), to), "id")
-    h = add(dense_layer(F.col("mean"), w_neighbour, bias, relu=False), dense_layer(F.col("h"), w_self, relu=False))
-    return both.select("id", h.alias("h"))
+    both = (nodes if to is None else to).select("id", "h").join(neighbour_mean(nodes, edges, len(w_neighbour[0]), to), "id")
+    return affine(both, ["id"], {"mean": w_neighbour, "h": w_self}, "h", bias)
 
 
 def gat(nodes: DataFrame, edges: DataFrame, weight, att_src, att_dst, bias=None, slope: float = 0.2, to: DataFrame | None = None, weight_to=None) -> DataFrame:
     """(id, h): softmax over incoming edges of the leaky attention logits, one head, no self-loops.
 
     The nodes that receive are those of ``to`` (or ``nodes``); their own vectors are projected by
-    ``weight_to`` (or ``weight``).
+    ``weight_to`` (or ``weight``). Edges meet the target's number first and the source's vector then, so vectors
+    are shuffled by target once, as merged states.
     """
     dims = len(weight)
     to = nodes if to is None else to
-    z = nodes.select("id", dense_layer(F.col("h"), weight, relu=False).alias("z"))
-    z = z.select(F.col("id").alias("src"), "z", dot(F.array(*map(F.lit, att_src)), F.col("z")).alias("ls"))
-    own = to.select(F.col("id").alias("dst"), dense_layer(F.col("h"), weight_to or weight, relu=False).alias("z"))
-    own = own.select("dst", dot(F.array(*map(F.lit, att_dst)), F.col("z")).alias("ld"))
-    e = edges.select("src", "dst").join(z, "src").join(own, "dst")
+
+    def project(params: tuple, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        z = x["h"] @ params[0].T
+        return {"z": z, "logit": z @ params[1]}
+
+    w, w_to = weights(weight), weights(weight if weight_to is None else weight_to)
+    z = map_vectors(nodes, ["id"], {"h": w.shape[1]}, {"z": VECTOR, "logit": NUMBER}, project, (w, weights(att_src)))
+    own = map_vectors(to, ["id"], {"h": w_to.shape[1]}, {"logit": NUMBER}, project, (w_to, weights(att_dst)))
+    narrow = edges.select("src", "dst")
+    e = hub_join(narrow, own.select(F.col("id").alias("dst"), F.col("logit").alias("ld")), "dst")
+    e = hub_join(e, z.select(F.col("id").alias("src"), "z", F.col("logit").alias("ls")), "src", counted=narrow)
     raw = F.col("ls") + F.col("ld")
-    e = e.withColumn("logit", F.when(raw > 0, raw).otherwise(slope * raw))
-    top = e.groupBy("dst").agg(F.max("logit").alias("top"))
-    e = e.join(top, "dst").withColumn("a", F.exp(F.col("logit") - F.col("top")))
-    e = e.select("dst", "a", F.concat(F.transform("z", lambda v: v * F.col("a")), F.array("a")).alias("az"))
-    s = vector_agg(e, ["dst"], "az", dims + 1, F.sum, "s")
-    h = F.transform(F.slice("s", 1, dims), lambda v: v / F.col("s")[dims])
-    out = to.select("id").join(s.select(F.col("dst").alias("id"), h.alias("h")), "id", "left")
+    e = e.select("dst", "z", F.when(raw > 0, raw).otherwise(slope * raw).alias("logit"))
+    s = softmax_means(e, "dst", "logit", "z", dims, "h").withColumnRenamed("dst", "id")
     h = F.coalesce("h", zeros(dims))
-    return out.select("id", (add(h, F.array(*map(F.lit, map(float, bias)))) if bias else h).alias("h"))
+    if bias is not None:
+        h = add(h, F.lit([float(b) for b in bias]))
+    return to.select("id").join(s, "id", "left").select("id", h.alias("h"))
 
 
 def hetero_sum(messages: Sequence[DataFrame], dims: int) -> DataFrame:
     """Sum of the relations' messages (id, h) per node."""
-    out = messages[0]
-    for m in messages[1:]:
-        out = out.unionByName(m)
-    return vector_agg(out, ["id"], "h", dims, F.sum, "h")
+    return vector_sums(reduce(DataFrame.unionByName, messages), "id", "h", dims, "h")
 
 
 def propagate(nodes: DataFrame, edges: dict[str, DataFrame], layers: Sequence[dict], skip: dict[int, Sequence[Sequence[float]]] | None = None) -> DataFrame:
@@ -135,7 +133,7 @@ def propagate_types(
         for kind, messages in got.items():
             out = hetero_sum(messages, dims[kind])
             if skip and i in skip:
-                base = h[kind].select("id", dense_layer(F.col("h"), skip[i][kind], relu=False).alias("s"))
+                base = affine(h[kind], ["id"], {"h": skip[i][kind]}, "s")
                 out = out.join(base, "id").select("id", add(F.col("h"), F.col("s")).alias("h"))
             after[kind] = checkpoint(out.withColumn("h", relu(F.col("h"))) if i < len(layers) else out)
         h = after

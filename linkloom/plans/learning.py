@@ -11,6 +11,7 @@ from linkloom.functions import encode as E
 from linkloom.functions import geometry as G
 from linkloom.operators import experiments as P
 from linkloom.operators import link as L
+from linkloom.operators import matrix as K
 from linkloom.operators import metrics as M
 from linkloom.operators import model as W
 from linkloom.operators import propagate as N
@@ -65,6 +66,30 @@ DENSE_SQL = f"""WITH {X.VECTORS}, e AS (SELECT id, {_unnest([f"greatest({_lin(i,
   SELECT id, s.pos AS pos, round(s.v, 6) + 0.0 AS value FROM e"""
 
 
+def wide_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The position encoding of every anchor (96 numbers) through two layers of 256."""
+    e = N.from_centre(X.anchors(spark, d)).select("mh_id", E.position_encoding(F.col("x"), F.col("y"), E.frequencies(16, 1.0, 100.0)).alias("e"))
+    out = K.dense_stack(e, ["mh_id"], "e", [(X.weights(256, 96), [0.05] * 256, True), (X.weights(256, 256), None, False)])
+    return _cells(out, "mh_id", F.col("h"))
+
+
+def _weights_sql(rows: int, cols: int) -> str:
+    return f"list_transform(range({rows}), lambda i: list_transform(range({cols}), lambda j: ((i * 7 + j * 3) % 11 - 5) / 10))"
+
+
+def _wide_sql() -> str:
+    from math import cos, exp, log, pi, sin
+
+    axes = [(cos(2 * pi * k / 3), sin(2 * pi * k / 3)) for k in range(3)]
+    freqs = [1.0 / exp(k * (log(100.0) / 15)) for k in range(16)]
+    parts = ", ".join(f"{g}(((x - cx) * {a!r} + (y - cy) * {b!r}) * {f!r})" for f in freqs for a, b in axes for g in ("sin", "cos"))
+    return f"""WITH {X.ANCHORS}, c AS (SELECT avg(x) AS cx, avg(y) AS cy FROM anchors), e AS MATERIALIZED (SELECT mh_id, [{parts}] AS e FROM anchors, c),
+      w AS MATERIALIZED (SELECT {_weights_sql(256, 96)} AS w1, {_weights_sql(256, 256)} AS w2),
+      h AS MATERIALIZED (SELECT mh_id, list_transform(w1, lambda r: greatest(list_dot_product(r, e) + 0.05, 0)) AS h FROM e, w),
+      o AS MATERIALIZED (SELECT mh_id, list_transform(w2, lambda r: list_dot_product(r, h)) AS o FROM h, w)
+      SELECT mh_id, unnest(range(256))::INT AS pos, round(unnest(o), 6) + 0.0 AS value FROM o"""
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     v = X.vectors(spark, d)
     e = X.vector_edges(spark, d).join(v.select(F.col("id").alias("src"), F.col("label").alias("l1")), "src")
@@ -136,6 +161,30 @@ def propagated(spark: SparkSession, d: str) -> DataFrame:
     return _cells(N.propagate(v, {"link": e}, layers, skip={2: X.weights(8, 8)}), "id", F.col("h"))
 
 
+def _propagated_sql() -> str:
+    def vector(rows: int, cols: int, h: str) -> str:
+        return "[" + ", ".join(f"({_lin(i, rows, cols, h)})" for i in range(rows)) + "]"
+
+    def total(*parts: str) -> str:
+        return "list_transform(range(len(" + parts[0] + ")), lambda i: " + " + ".join(f"({p})[i + 1]" for p in parts) + ")"
+
+    means = {k: ", ".join(f"avg(h[{j + 1}])" for j in range(8)) for k in (1, 2)}
+    none = "[" + ", ".join(["0.0"] * 8) + "]"
+    relu = "list_transform({}, lambda v: greatest(v, 0))".format
+    return f"""WITH {X.VECTORS}, {X.VECTOR_EDGES}, z AS MATERIALIZED (SELECT id, {vector(8, 64, "h")} AS z FROM vectors),
+      raw AS (SELECT dst, a.z, 0.1 * list_sum(a.z) - 0.1 * list_sum(b.z) AS r FROM vedges JOIN z a ON a.id = src JOIN z b ON b.id = dst),
+      ex AS (SELECT dst, z, exp(CASE WHEN r > 0 THEN r ELSE 0.2 * r END) AS a FROM raw),
+      s AS (SELECT dst AS id, [{", ".join(f"sum(a * z[{i + 1}]) / sum(a)" for i in range(8))}] AS h FROM ex GROUP BY dst),
+      h1 AS MATERIALIZED (SELECT v.id, {relu(f"coalesce(s.h, {none})")} AS h FROM vectors v LEFT JOIN s USING (id)),
+      m1 AS (SELECT dst AS id, [{means[1]}] AS m FROM vedges JOIN h1 ON id = src GROUP BY dst),
+      j1 AS (SELECT h1.id, h, coalesce(m, {none}) AS m FROM h1 LEFT JOIN m1 USING (id)),
+      h2 AS MATERIALIZED (SELECT id, {relu(total(vector(8, 8, "m"), vector(8, 8, "h"), vector(8, 8, "h")))} AS h FROM j1),
+      m2 AS (SELECT dst AS id, [{means[2]}] AS m FROM vedges JOIN h2 ON id = src GROUP BY dst),
+      j2 AS (SELECT h2.id, h, coalesce(m, {none}) AS m FROM h2 LEFT JOIN m2 USING (id)),
+      h3 AS (SELECT id, {total(vector(4, 8, "m"), vector(4, 8, "h"))} AS h FROM j2)
+      SELECT id, unnest(range(4))::INT AS pos, round(unnest(h), 6) + 0.0 AS value FROM h3"""
+
+
 #: Market segments, the categories of anchors.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
@@ -340,10 +389,11 @@ QUERIES = {
     ),
     "position_encoding": (position_encoding, _encoding_sql()),
     "dense_layer": (dense_layer, DENSE_SQL),
+    "wide_layers": (wide_layers, _wide_sql()),
     "link_scores": (link_scores, LINK_SQL),
     "sage_layer": (sage_layer, SAGE_SQL),
     "gat_layer": (gat_layer, GAT_SQL),
-    "propagated": (propagated, None),
+    "propagated": (propagated, _propagated_sql()),
     "model_scores": (model_scores, None),
     "split_evaluation": (
         split_evaluation,
