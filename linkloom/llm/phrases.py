@@ -7,10 +7,13 @@
 3. A border phrase that turns out frequent is a failure: phrases that hold it were not
    counted. Frequent phrases join the proposals and the next pass counts what the border gained,
    until no failure is left. Then every frequent phrase has been counted.
-4. The frequent phrases are counted once more under their own text, so no result rests on a hash.
+4. A pass gathers what the frequent phrases are made of: each is known by the phrase without its last word and
+   the one without its first. Joins of these give the counts of all heads and tails, level by level.
+5. A last pass finds the texts of the phrases that the result holds.
 
 Tasks know the proposals by a bit table of fixed size; what it takes for a proposal by mistake
 is counted in vain, never lost. Tasks add up their own occurrences before the shuffle, in bounded memory.
+Phrases are told apart by 64-bit hashes of language and words until the last step.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,7 +34,7 @@ TOP = 2000
 CONTAINED = 80
 SCALE = 2_000_000
 #: Share of the documents in the sample, and the share of the expected count that makes a proposal.
-SAMPLE, LOWERED = 0.25, 0.5
+SAMPLE, LOWERED = 0.125, 0.8
 #: Bits of the table of proposals, at most: 16 MB.
 MOST_BITS = 1 << 27
 BITS_EACH = 16
@@ -64,8 +67,9 @@ class Phrases:
         codes = langs.fill_null("und").dictionary_encode()
         self.langs, self.lang = codes.dictionary.to_pylist(), codes.indices.to_numpy()
         name, at = utf8(codes.dictionary)
-        seed = mix(hash_spans(name, at[:-1], at[1:]))
-        self.rolled = [seed[self.lang[self.owner]] * _BASE + hash_spans(raw, self.start, self.end)] if len(self.start) else []
+        self.seed = mix(hash_spans(name, at[:-1], at[1:]))
+        self.of = self.seed[self.lang[self.owner]]
+        self.rolled = [self.of * _BASE + hash_spans(raw, self.start, self.end)] if len(self.start) else []
 
     def together(self, k: int) -> np.ndarray:
         """Whether the k words from each place on stand in one piece of one text."""
@@ -161,22 +165,27 @@ class _Counter:
         self.h, self.count = np.zeros(0, _U), np.zeros(0, np.int64)
 
 
-def _counts(docs: DataFrame, longest: int, wanted, held: int = HELD) -> DataFrame:
-    """(k, h, n) of the phrases that ``wanted(phrases)`` gives as (k, which places), summed over all documents."""
+def _counts(docs: DataFrame, longest: int, wanted, totals: bool = False, held: int = HELD) -> DataFrame:
+    """(k, h, n) of the phrases that ``wanted(phrases)`` gives as (k, which places), summed over all documents.
+
+    With ``totals`` also the words of each language, with k = 0 and the hash of its name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per = [_Counter(held) for _ in range(longest)]
+        per = [_Counter(held) for _ in range(longest + 1)]
 
         def out() -> Iterator[pa.RecordBatch]:
-            for k, counter in enumerate(per, 1):
+            for k, counter in enumerate(per):
                 for h, n in counter.rows():
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], names=["k", "h", "n"])
 
         for batch in batches:
             for part in pieces(batch):
                 p = Phrases(part.column(0), part.column(1))
+                if totals:
+                    per[0].add(p.of)
                 for k, places in wanted(p):
-                    per[k - 1].add(p.hashes(k)[places])
+                    per[k].add(p.hashes(k)[places])
                 if any([c.full() for c in per]):
                     yield from out()
         yield from out()
@@ -197,7 +206,10 @@ def _missing(frequent: DataFrame, known: Bits) -> DataFrame:
 
 
 def frequent_hashes(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: float = SAMPLE, lowered: float = LOWERED, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
-    """(k, h, n) of every phrase of at most ``longest`` words that occurs ``least`` times, and the number of passes over all documents."""
+    """(k, h, n) of every phrase of at most ``longest`` words that occurs ``least`` times, and the number of passes over all documents.
+
+    With k = 0: all words of a language.
+    """
     context = docs.sparkSession.sparkContext
     texts = docs.select("text", F.col("lang").cast("string").alias("lang"))
     part = docs.where(F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1 << 20)) < int(sample * (1 << 20))).select(*texts.columns)
@@ -220,76 +232,56 @@ def frequent_hashes(docs: DataFrame, least: int = LEAST, longest: int = LONGEST,
             for k, near in _reach(p, sent.value, longest):
                 yield k, near & ~done[k] if k in done else near
 
-        got = checkpoint(_counts(texts, longest, wanted).where(F.col("n") >= least))
+        got = checkpoint(_counts(texts, longest, wanted, totals=old is None).where((F.col("n") >= least) | (F.col("k") == 0)))
         passes += 1
         found = got if found is None else checkpoint(found.unionByName(got))
-        failed = checkpoint(_missing(got.where(F.col("k") < longest), known))
+        failed = checkpoint(_missing(got.where(F.col("k").between(1, longest - 1)), known))
         if not failed.count():
             return found, passes
         before, known = known, Bits(known.words | bit_table(failed, bits))
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, **how) -> DataFrame:
-    """(lang, phrase, k, n) of every phrase of 1 to ``longest`` words that occurs ``least`` times in its language.
-
-    With k = 0 and an empty phrase: all words of the language.
-    """
-    found, _ = frequent_hashes(docs, least, longest, **how)
-    known = Bits(bit_table(found, bits_for(found.count(), how.get("most_bits", MOST_BITS))))
+def _once(docs: DataFrame, known: Bits, longest: int, rows, schema: str) -> DataFrame:
+    """``rows(phrases, k, places)`` of the phrases of two words and more that ``known`` holds, about once per task and phrase."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[tuple[int, int], tuple[str, str]] = {}  # of the phrases met by this task
-        counts: dict[tuple[int, int], int] = {}
-        words: dict[str, int] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            keys = list(counts)
-            for at in range(0, len(keys), 1 << 14):
-                some = keys[at : at + (1 << 14)]
-                lang, phrase = zip(*(names[x] for x in some), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lang), pa.array(phrase), pa.array([k for k, _ in some], pa.int32()), pa.array([counts[x] for x in some], pa.int64())],
-                    names=["lang", "phrase", "k", "n"],
-                )
-            counts.clear()
-            names.clear()
-
+        met = [np.zeros(0, _U)] * (longest + 1)  # sorted hashes that this task has given
         for batch in batches:
             for part in pieces(batch):
                 p = Phrases(part.column(0), part.column(1))
-                for i, n in enumerate(np.bincount(p.lang[p.owner], minlength=len(p.langs)).tolist()):
-                    words[p.langs[i]] = words.get(p.langs[i], 0) + n
-                for k, near in _reach(p, sent.value, longest):
-                    h = p.hashes(k)
-                    at = np.flatnonzero(near)
-                    at = at[sent.value.has(h[at])]
-                    unique, first, n = np.unique(h[at], return_index=True, return_counts=True)
-                    for x, i, c in zip(unique.tolist(), at[first].tolist(), n.tolist(), strict=True):
-                        if (k, x) in counts:
-                            counts[k, x] += c
-                        else:
-                            counts[k, x] = c
-                            names[k, x] = p.langs[p.lang[p.owner[i]]], p.text(i, k)
-                if len(counts) > HELD // 2:
-                    yield from out()
-        yield from out()
-        total = list(words.items())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in total], pa.string()), pa.array([""] * len(total), pa.string()), pa.array([0] * len(total), pa.int32()), pa.array([n for _, n in total], pa.int64())],
-            names=["lang", "phrase", "k", "n"],
-        )
+                for k in range(2, min(longest, len(p.start)) + 1):
+                    at = np.flatnonzero(p.together(k))
+                    at = at[sent.value.has(p.hashes(k)[at])]
+                    h, first = np.unique(p.hashes(k)[at], return_index=True)
+                    if len(met[k]):
+                        new = met[k][np.searchsorted(met[k], h).clip(max=len(met[k]) - 1)] != h
+                        h, first = h[new], first[new]
+                    if len(h):
+                        met[k] = np.union1d(met[k], h) if len(met[k]) < HELD else h
+                        yield rows(p, k, at[first])
+
+    texts = docs.select("text", F.col("lang").cast("string").alias("lang"))
+    return texts.mapInArrow(run, schema)
+
 
-    rows = docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, phrase string, k int, n long")
-    return rows.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0))
+def _parts(p: Phrases, k: int, at: np.ndarray) -> pa.RecordBatch:
+    columns = [np.full(len(at), k, np.int32), *(x.view(np.int64) for x in (p.hashes(k)[at], p.hashes(k - 1)[at], p.hashes(k - 1)[at + 1], p.of[at]))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "h", "head", "tail", "g"])
 
 
-def _part(begin: Column | int, words: Column | int) -> Column:
-    """Some of the words of ``phrase``, counted from 1."""
-    return F.array_join(F.slice(F.split("phrase", " "), begin, words), " ")
+def _names(p: Phrases, k: int, at: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(p.hashes(k)[at].view(np.int64)), pa.array([p.langs[i] for i in p.lang[p.owner[at]].tolist()], pa.string()), pa.array([p.text(i, k) for i in at.tolist()], pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=["h", "lang", "phrase"])
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, contained: int = CONTAINED, **how) -> DataFrame:
+def _bits_of(hashes: DataFrame, most_bits: int) -> Bits:
+    return Bits(bit_table(hashes, bits_for(hashes.count(), most_bits)))
+
+
+def collocations(
+    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, contained: int = CONTAINED, most_bits: int = MOST_BITS, **how
+) -> DataFrame:
     """The best ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     Words are runs of characters other than space and tab inside pieces cut at ``.,;:!?`` and line breaks, A-Z in lower
@@ -298,33 +290,46 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     empty table, or one without frequent phrases, gives no rows; other columns are ignored. Numbers
     may be as large as longs: products and sums of them are decimals.
     """
-    counts = checkpoint(phrase_counts(docs, least, longest, **how))
-    total = counts.where("k = 0").select("lang", F.col("n"))
-    sub = counts.where(f"k between 1 and {longest - 1}")
-    candidates = counts.where("k >= 2").select("lang", "phrase", "k", F.col("n").alias("a"))
-
-    # the largest count of a longer candidate that holds the phrase
-    spans = F.flatten(F.transform(F.sequence(F.lit(2), F.col("k") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("k") - m + 1), lambda s: _part(s, m))))
-    inner = candidates.where("k > 2").select("lang", F.explode(F.array_distinct(spans)).alias("phrase"), "a")
-    inner = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
+    found, _ = frequent_hashes(docs, least, longest, most_bits=most_bits, **how)
+    phrases = checkpoint(found.where("k > 1").select("k", "h", "n"))
+    made = _once(docs, _bits_of(phrases, most_bits), longest, _parts, "k int, h long, head long, tail long, g long")
+    made = made.repartition("h").groupBy("k", "h").agg(*(F.min(c).alias(c) for c in ("head", "tail", "g")))
+    made = checkpoint(made.join(phrases, ["k", "h"]))
+
     wide = "decimal(20,0)"
-    left = candidates.join(inner, ["lang", "phrase"], "left")
-    left = left.where(f"longer is null or 100 * cast(longer as {wide}) < {contained} * cast(a as {wide})").drop("longer")
-
-    cuts = left.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
-    cuts = cuts.withColumns({"head": _part(F.lit(1), F.col("cut")), "tail": _part(F.col("cut") + 1, F.col("k"))})
-    cuts = cuts.join(sub.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l")), ["lang", "head"])
-    cuts = cuts.join(sub.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r")), ["lang", "tail"])
-    score = F.expr(f"(cast(a as {wide}) * {SCALE}) div (cast(l as {wide}) + cast(r as {wide}))").cast("long")
-    worst = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("s"))
-    scored = worst.select("lang", "phrase", "a", "s.l", "s.r", "s.score")
-
-    # the best of each bucket first, so that no task sorts a whole language
-    order = [F.desc("score"), F.desc("a"), "phrase"]
-    scored = scored.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)))
-    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("lang", "bucket").orderBy(*order))).where(F.col("rank") <= top)
-    best = best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    none = F.array().cast("array<long>")
+    shorter = found.where("k = 1").select("h", "n", none.alias("heads"), none.alias("tails"))
+    scored = []
+    for k in range(2, longest + 1):
+        # counts of all heads and tails, those of one word first
+        level = made.where(F.col("k") == k).drop("k")
+        level = level.join(shorter.select(F.col("h").alias("head"), F.concat("heads", F.array("n")).alias("heads")), "head")
+        level = checkpoint(level.join(shorter.select(F.col("h").alias("tail"), F.concat("tails", F.array("n")).alias("tails")), "tail"))
+        shorter = level.select("h", "n", "heads", "tails")
+        cuts = ", ".join(
+            f"named_struct('score', cast((cast(n as {wide}) * {SCALE}) div (cast(heads[{m - 1}] as {wide}) + cast(tails[{k - m - 1}] as {wide})) as long), "
+            f"'cut', {m}, 'l', heads[{m - 1}], 'r', tails[{k - m - 1}])" for m in range(1, k)
+        )
+        level = level.withColumn("s", F.expr(f"array_min(array({cuts}))"))
+        if k < longest:  # the longer phrase of the largest count is longer by one word
+            longer = made.where(F.col("k") == k + 1)
+            longer = longer.select(F.col("head").alias("h"), "n").unionByName(longer.select(F.col("tail").alias("h"), "n")).groupBy("h").agg(F.max("n").alias("longer"))
+            level = level.join(longer, "h", "left").where(f"longer is null or 100 * cast(longer as {wide}) < {contained} * cast(n as {wide})")
+        scored.append(level.select("g", "h", F.col("n").alias("a"), "s.l", "s.r", "s.score"))
+    rows = scored[0]
+    for level in scored[1:]:
+        rows = rows.unionByName(level)
+
+    # ties at the border stay until the texts are known; the best of each bucket first, so that no task ranks a whole language
+    order = [F.desc("score"), F.desc("a")]
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(BUCKETS)))
+    for by in (["g", "bucket"], ["g"]):
+        rows = rows.withColumn("rank", F.rank().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top).drop("rank")
+    best = checkpoint(rows.drop("bucket"))
+    names = _once(docs, _bits_of(best.select("h"), most_bits), longest, _names, "h long, lang string, phrase string").dropDuplicates(["h"])
+    best = best.join(names, "h").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order, "phrase")).cast("long")).where(F.col("rank") <= top)
+    total = found.where("k = 0").select(F.col("h").alias("g"), F.col("n"))
+    return best.join(total, "g").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
