@@ -1,17 +1,24 @@
 """Geometry as column expressions: points are struct<x,y>, lines array<struct<x,y>>.
 
-Nothing here shuffles or leaves the JVM. Null geometries give null.
+Nothing here shuffles or leaves the JVM. Null geometries give null. Values that a formula uses several
+times are bound by ``let``, so that expressions grow with the formula and not with its nesting.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from math import radians, sqrt
+from math import atan, atanh, radians, sin, sinh, sqrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with the value computed once: an expression that is used n times isn't written n times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -83,15 +90,17 @@ def length(coords: Column) -> Column:
 def centroid(coords: Column) -> Column:
     """Mean of the segment midpoints weighted by length; the first point of a line without length."""
     zero = F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    total = F.aggregate(
-        segments(coords), zero,
-        lambda a, s: F.struct(
-            (a["l"] + segment_length(s)).alias("l"),
-            (a["x"] + segment_length(s) * (s["p"]["x"] + s["q"]["x"]) / 2).alias("x"),
-            (a["y"] + segment_length(s) * (s["p"]["y"] + s["q"]["y"]) / 2).alias("y"),
-        ),
-    )
-    return F.when(total["l"] > 0, point(total["x"] / total["l"], total["y"] / total["l"])).otherwise(first_point(coords))
+
+    def step(a: Column, s: Column) -> Column:
+        return let(segment_length(s), lambda n: F.struct(
+            (a["l"] + n).alias("l"), (a["x"] + n * (s["p"]["x"] + s["q"]["x"]) / 2).alias("x"), (a["y"] + n * (s["p"]["y"] + s["q"]["y"]) / 2).alias("y")
+        ))
+
+    def mean(line: Column) -> Column:
+        total = F.aggregate(segments(line), zero, step)
+        return let(total, lambda t: F.when(t["l"] > 0, point(t["x"] / t["l"], t["y"] / t["l"])).otherwise(first_point(line)))
+
+    return let(coords, mean)
 
 
 def swap_xy(p: Column) -> Column:
@@ -178,45 +187,74 @@ class TransverseMercator:
         n = self._n
         return [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480]
 
-    def _angles(self, lat: Column, lon: Column) -> tuple[Column, Column]:
-        """(xi, eta) on the conformal sphere, radians."""
+    def _conformal(self, lat: Column) -> Column:
+        """Tangent of the conformal latitude."""
+        e = 2 * sqrt(self._n) / (1 + self._n)
+        return let(F.sin(F.radians(lat)), lambda s: F.sinh(F.atanh(s) - e * F.atanh(e * s)))
+
+    def _angles(self, lat: Column, lon: Column) -> Column:
+        """struct<x, y> of xi and eta on the conformal sphere, radians."""
+        both = F.struct(self._conformal(lat).alias("t"), (F.radians(lon) - radians(self.lon0)).alias("d"))
+        return let(both, lambda v: F.struct(
+            F.atan2(v["t"], F.cos(v["d"])).alias("x"), F.atanh(F.sin(v["d"]) / F.sqrt(1 + v["t"] * v["t"])).alias("y")
+        ))
+
+    def _meridian(self, z: Column, sign: int, series: list[float]) -> Column:
+        """z + sign * sum of a_j sin(2 j z) for complex z = x + i y, by Clenshaw's recurrence.
+
+        The sum is one fold over the coefficients from last to first, b_j = a_j + 2 cos(2 z) b_(j+1) - b_(j+2), and
+        is b_1 sin(2 z); the expression has the same size however many terms the series has.
+        """
+        names = ("p", "q", "r", "s")  # b_(j+1) = p + i q, b_(j+2) = r + i s
+        zero = F.struct(*(F.lit(0.0).alias(c) for c in names))
+        trig = F.struct(
+            z["x"].alias("x"), z["y"].alias("y"),
+            (F.cos(2 * z["x"]) * F.cosh(2 * z["y"])).alias("cr"), (-F.sin(2 * z["x"]) * F.sinh(2 * z["y"])).alias("ci"),
+            (F.sin(2 * z["x"]) * F.cosh(2 * z["y"])).alias("sr"), (F.cos(2 * z["x"]) * F.sinh(2 * z["y"])).alias("si"),
+        )
+
+        def summed(w: Column) -> Column:
+            def step(b: Column, a: Column) -> Column:
+                return F.struct(
+                    (a + 2 * (w["cr"] * b["p"] - w["ci"] * b["q"]) - b["r"]).alias("p"), (2 * (w["cr"] * b["q"] + w["ci"] * b["p"]) - b["s"]).alias("q"),
+                    b["p"].alias("r"), b["q"].alias("s"),
+                )
+
+            fold = F.aggregate(F.array(*(F.lit(float(a)) for a in reversed(series))), zero, step)
+            return let(fold, lambda b: point(
+                w["x"] + sign * (b["p"] * w["sr"] - b["q"] * w["si"]), w["y"] + sign * (b["p"] * w["si"] + b["q"] * w["sr"])
+            ))
+
+        return let(trig, summed)
+
+    def _northing0(self) -> float:
+        """xi of the origin."""
         e = 2 * sqrt(self._n) / (1 + self._n)
-        s = F.sin(F.radians(lat))
-        t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-        dlon = F.radians(lon) - radians(self.lon0)
-        return F.atan2(t, F.cos(dlon)), F.atanh(F.sin(dlon) / F.sqrt(1 + t * t))
-
-    def _meridian(self, xi: Column, eta: Column, sign: int, series: list[float]) -> tuple[Column, Column]:
-        x, y = xi, eta
-        for j, a in enumerate(series, 1):
-            x = x + sign * a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-            y = y + sign * a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        return x, y
-
-    def _northing0(self) -> Column:
-        xi, eta = self._angles(F.lit(self.lat0), F.lit(self.lon0))
-        return self._meridian(xi, eta, 1, self._forward_series())[0]
+        s = sin(radians(self.lat0))
+        xi = atan(sinh(atanh(s) - e * atanh(e * s)))
+        return xi + sum(a * sin(2 * j * xi) for j, a in enumerate(self._forward_series(), 1))
 
     def project(self, p: Column) -> Column:
         """(lon, lat) in degrees as (easting, northing)."""
-        xi, eta = self._meridian(*self._angles(p["y"], p["x"]), 1, self._forward_series())
-        scale = self.k0 * self._radius
-        return point(self.false_easting + scale * eta, self.false_northing + scale * (xi - self._northing0()))
+        scale, origin = self.k0 * self._radius, self._northing0()
+        z = let(self._angles(p["y"], p["x"]), lambda v: self._meridian(v, 1, self._forward_series()))
+        return let(z, lambda v: point(self.false_easting + scale * v["y"], self.false_northing + scale * (v["x"] - origin)))
 
     def unproject(self, p: Column) -> Column:
         """(easting, northing) as (lon, lat) in degrees."""
-        scale = self.k0 * self._radius
-        xi = (p["y"] - self.false_northing) / scale + self._northing0()
-        eta = (p["x"] - self.false_easting) / scale
-        xi, eta = self._meridian(xi, eta, -1, self._inverse_series())
-        chi = F.asin(F.sin(xi) / F.cosh(eta))
-        # back from the conformal latitude by fixed-point steps
-        e = 2 * sqrt(self._n) / (1 + self._n)
-        t = F.tan(chi)
-        s = F.sin(chi)
-        for _ in range(4):
-            s = F.tanh(F.asinh(t) + e * F.atanh(e * s))
-        return point(F.lit(self.lon0) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(F.asin(s)))
+        scale, e = self.k0 * self._radius, 2 * sqrt(self._n) / (1 + self._n)
+        z = point((p["y"] - self.false_northing) / scale + self._northing0(), (p["x"] - self.false_easting) / scale)
+        chi = let(z, lambda v: self._meridian(v, -1, self._inverse_series()))
+
+        def degrees(v: Column) -> Column:
+            # back from the conformal latitude by fixed-point steps, a fold as well
+            start = let(F.sin(v["x"]) / F.cosh(v["y"]), lambda s: F.struct(s.alias("s"), (s / F.sqrt(1 - s * s)).alias("t")))
+            end = F.aggregate(
+                F.sequence(F.lit(1), F.lit(4)), start, lambda a, _: F.struct(F.tanh(F.asinh(a["t"]) + e * F.atanh(e * a["s"])).alias("s"), a["t"].alias("t"))
+            )
+            return point(F.lit(self.lon0) + F.degrees(F.atan2(F.sinh(v["y"]), F.cos(v["x"]))), F.degrees(F.asin(end["s"])))
+
+        return let(chi, degrees)
 
     def project_line(self, coords: Column) -> Column:
         return F.transform(coords, self.project)
@@ -226,5 +264,5 @@ class TransverseMercator:
 
 
 def projected_centroid(coords: Column, grid: TransverseMercator) -> Column:
-    """Centroid taken in the projected plane, as (lon, lat)."""
-    return grid.unproject(centroid(grid.project_line(coords)))
+    """Centroid taken in the projected plane, as (lon, lat); null without points."""
+    return let(centroid(grid.project_line(coords)), grid.unproject)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import encode as E
@@ -153,13 +153,24 @@ def _edges_of(df: DataFrame, column: str, q: int = 5) -> list[float]:
     return got
 
 
+GRID = G.TransverseMercator(lon0=153.0)
+
+
+def _degrees(coords: Column) -> Column:
+    """Coordinates of the lattice as degrees around (153, -27)."""
+    return F.transform(coords, lambda p: G.point(F.lit(152.5) + p["x"] / 50, F.lit(-27.9) + p["y"] / 500))
+
+
 def road_features(spark: SparkSession, d: str) -> DataFrame:
+    """Bearing, length bin, and the centroid in the projected plane as degrees."""
     roads = _roads(spark, d)
     angle = G.bearing(G.first_point(F.col("coords")), G.last_point(F.col("coords")))
-    mid = G.centroid(F.col("coords"))
+    edges = _edges_of(roads, "shape_leng")
+    roads = roads.withColumn("mid", G.projected_centroid(_degrees(F.col("coords")), GRID))
+    mid = F.col("mid")
     return roads.select(
         "road_id", "fid", X.r6(angle).alias("angle"), G.angle_bin(angle).alias("angle_bin"),
-        E.quantile_bin(F.col("shape_leng"), _edges_of(roads, "shape_leng")).alias("len_bin"),
+        E.quantile_bin(F.col("shape_leng"), edges).alias("len_bin"),
         X.r6(mid["x"]).alias("x_coordinate"), X.r6(mid["y"]).alias("y_coordinate"),
     )
 
@@ -243,9 +254,6 @@ def layer_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-GRID = G.TransverseMercator(lon0=153.0)
-
-
 def projected_anchors(spark: SparkSession, d: str) -> DataFrame:
     """Anchors, as degrees around (153, -27), in metres and back."""
     p = G.point(F.lit(152.5) + F.col("x") / 50, F.lit(-27.9) + F.col("y") / 500)
@@ -255,19 +263,39 @@ def projected_anchors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _projection_sql() -> str:
+def _forward_sql(source: str) -> str:
+    """CTEs from (lon, lat, others) to a table ``plane`` with easting and northing."""
     e = 2 * GRID._n**0.5 / (1 + GRID._n)
     scale = GRID.k0 * GRID._radius
     terms = list(enumerate(GRID._forward_series(), 1))
     xi = " + ".join(f"{a!r} * sin({2 * j} * xi) * ((exp({2 * j} * eta) + exp({-2 * j} * eta)) / 2)" for j, a in terms)
     eta = " + ".join(f"{a!r} * cos({2 * j} * xi) * ((exp({2 * j} * eta) - exp({-2 * j} * eta)) / 2)" for j, a in terms)
-    return f"""WITH {X.ANCHORS}, p AS (SELECT mh_id, 152.5 + x / 50 AS lon, -27.9 + y / 500 AS lat FROM anchors),
-      s AS (SELECT *, 0.5 * ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) - {e!r} * 0.5 * ln((1 + {e!r} * sin(radians(lat))) / (1 - {e!r} * sin(radians(lat)))) AS psi,
-        radians(lon - {GRID.lon0}) AS dl FROM p),
+    return f"""s AS (SELECT *, 0.5 * ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) - {e!r} * 0.5 * ln((1 + {e!r} * sin(radians(lat))) / (1 - {e!r} * sin(radians(lat)))) AS psi,
+        radians(lon - {GRID.lon0}) AS dl FROM {source}),
       t AS (SELECT *, (exp(psi) - exp(-psi)) / 2 AS t FROM s),
-      u AS (SELECT *, atan2(t, cos(dl)) AS xi, 0.5 * ln((1 + sin(dl) / sqrt(1 + t * t)) / (1 - sin(dl) / sqrt(1 + t * t))) AS eta FROM t)
-      SELECT mh_id, round({GRID.false_easting} + {scale!r} * (eta + {eta}), 3) AS easting, round({GRID.false_northing} + {scale!r} * (xi + {xi}), 3) AS northing,
-        round(lon::DOUBLE, 8) AS lon, round(lat::DOUBLE, 8) AS lat FROM u"""
+      u AS (SELECT *, atan2(t, cos(dl)) AS xi, 0.5 * ln((1 + sin(dl) / sqrt(1 + t * t)) / (1 - sin(dl) / sqrt(1 + t * t))) AS eta FROM t),
+      plane AS (SELECT *, {GRID.false_easting} + {scale!r} * (eta + {eta}) AS easting, {GRID.false_northing} + {scale!r} * (xi + {xi}) AS northing FROM u)"""
+
+
+def _inverse_sql(source: str) -> str:
+    """CTEs from (easting, northing, others) to a table ``ground`` with lon and lat."""
+    e = 2 * GRID._n**0.5 / (1 + GRID._n)
+    scale = GRID.k0 * GRID._radius
+    terms = list(enumerate(GRID._inverse_series(), 1))
+    xi = " - ".join(f"{a!r} * sin({2 * j} * xi) * ((exp({2 * j} * eta) + exp({-2 * j} * eta)) / 2)" for j, a in terms)
+    eta = " - ".join(f"{a!r} * cos({2 * j} * xi) * ((exp({2 * j} * eta) - exp({-2 * j} * eta)) / 2)" for j, a in terms)
+    steps = "".join(
+        f"r{i + 1} AS (SELECT *, tanh(asinh(tau) + {e!r} * atanh({e!r} * s{i})) AS s{i + 1} FROM r{i}), " for i in range(4)
+    )
+    return f"""i0 AS (SELECT *, (northing - {GRID.false_northing}) / {scale!r} AS xi, (easting - {GRID.false_easting}) / {scale!r} AS eta FROM {source}),
+      i1 AS (SELECT * EXCLUDE (xi, eta), xi - {xi} AS xi, eta - {eta} AS eta FROM i0),
+      r0 AS (SELECT *, sin(xi) / ((exp(eta) + exp(-eta)) / 2) AS s0, s0 / sqrt(1 - s0 * s0) AS tau FROM i1), {steps}
+      ground AS (SELECT *, {GRID.lon0} + degrees(atan2((exp(eta) - exp(-eta)) / 2, cos(xi))) AS lon, degrees(asin(s4)) AS lat FROM r4)"""
+
+
+def _projection_sql() -> str:
+    return f"""WITH {X.ANCHORS}, p AS (SELECT mh_id, 152.5 + x / 50 AS lon, -27.9 + y / 500 AS lat FROM anchors), {_forward_sql("p")}
+      SELECT mh_id, round(easting, 3) AS easting, round(northing, 3) AS northing, round(lon::DOUBLE, 8) AS lon, round(lat::DOUBLE, 8) AS lat FROM plane"""
 
 
 def _hetero(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -429,9 +457,11 @@ QUERIES = {
         road_features,
         f"""WITH {X.NEAR}, {X.ROADS}, {USED_ROADS}, b AS (SELECT quantile_cont(shape_leng, [0.2, 0.4, 0.6, 0.8]) AS q FROM used),
         a AS (SELECT *, degrees(CASE WHEN atan2(x2 - x1, y2 - y1) < 0 THEN atan2(x2 - x1, y2 - y1) + pi() ELSE atan2(x2 - x1, y2 - y1) END) AS raw FROM used),
-        c AS (SELECT *, CASE WHEN raw >= 180 THEN raw - 180 ELSE raw END AS angle FROM a)
+        c AS (SELECT *, CASE WHEN raw >= 180 THEN raw - 180 ELSE raw END AS angle FROM a),
+        ends AS (SELECT road_id AS rid, 152.5 + x1 / 50 AS lon, -27.9 + y1 / 500 AS lat FROM used UNION ALL SELECT road_id, 152.5 + x2 / 50, -27.9 + y2 / 500 FROM used),
+        {_forward_sql("ends")}, middle AS (SELECT rid, avg(easting) AS easting, avg(northing) AS northing FROM plane GROUP BY rid), {_inverse_sql("middle")}
         SELECT road_id, fid, round(angle, 6) + 0.0 AS angle, CASE WHEN angle < 15 OR angle >= 165 THEN 0 ELSE floor((angle - 15) / 30)::INT + 1 END AS angle_bin,
-        {QBIN.format(c='shape_leng')} AS len_bin, round((x1 + x2) / 2, 6) + 0.0 AS x_coordinate, round((y1 + y2) / 2, 6) + 0.0 AS y_coordinate FROM c, b""",
+        {QBIN.format(c='shape_leng')} AS len_bin, round(lon, 6) + 0.0 AS x_coordinate, round(lat, 6) + 0.0 AS y_coordinate FROM c JOIN ground ON rid = road_id, b""",
     ),
     "mh_road_edges": (
         mh_road_edges,

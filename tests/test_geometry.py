@@ -79,3 +79,27 @@ def test_nulls_and_window(spark):
     r = one(spark, G.centroid(null).alias("c"), G.rotation(null).alias("r"), G.overlaps_window(pts((0, 0), (2, 2)), 1, 1, 3, 3).alias("w"), G.overlaps_window(pts((0, 0), (0.5, 2)), 1, 1, 3, 3).alias("n"))
     assert r["c"] is None and r["r"] is None and r["w"] and not r["n"]
     assert one(spark, G.rotation(pts((0, 0), (-1, 0))).alias("r"))["r"] == 180
+
+
+def test_projected_centroid_of_long_lines(spark):
+    """Against the projection of every vertex; the plan does not grow with the vertices or the series."""
+    import random
+
+    grid, rng = G.TransverseMercator(lon0=153.0), random.Random(2)
+    rows = [(i, [(153 + rng.uniform(-1, 1), -27 + rng.uniform(-1, 1)) for _ in range(n)]) for i, n in enumerate((1, 2, 3, 50, 400))]
+    rows += [(10, [(153.5, -27.5)] * 3), (11, None), (12, [])]
+    df = spark.createDataFrame(rows, "id long, coords array<struct<x:double,y:double>>")
+    out = df.select("id", G.projected_centroid(F.col("coords"), grid).alias("c"))
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = {r["id"]: r["c"] for r in out.collect()}
+    flat = df.select("id", F.posexplode("coords").alias("k", "p")).select("id", "k", grid.project(F.col("p")).alias("m"))
+    plane = {}
+    for r in sorted(flat.collect(), key=lambda r: r["k"]):
+        plane.setdefault(r["id"], []).append((r["m"]["x"], r["m"]["y"]))
+    for i, pts in plane.items():
+        parts = [(math.dist(a, b), a, b) for a, b in zip(pts, pts[1:])]
+        total = sum(n for n, _, _ in parts)
+        want = pts[0] if not total else tuple(sum(n * (a[k] + b[k]) / 2 for n, a, b in parts) / total for k in (0, 1))
+        back = spark.createDataFrame([(got[i]["x"], got[i]["y"])], "x double, y double").select(grid.project(F.struct("x", "y")).alias("m")).first()["m"]
+        assert abs(back["x"] - want[0]) < 1e-3 and abs(back["y"] - want[1]) < 1e-3
+    assert got[11]["x"] is None and got[12]["x"] is None
