@@ -19,6 +19,7 @@ from linkloom.operators import sampling as S
 from linkloom.operators.components import checkpoint, remove, shared_folder
 from linkloom.plans import fixtures as X
 from linkloom.plans import spatial
+from linkloom.sources import files as B
 from linkloom.sources import tables as T
 
 SEED = 42
@@ -360,11 +361,24 @@ def classifier_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+#: The given tables, by group.
+TABLES = {
+    "layers": ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"),
+    "graph": ("events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"),
+}
+
+
 def file_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """Size and SHA-256 of the metric tables' files, checked against a second reading (file bytes: no SQL)."""
-    layers, graph = ("customer", "supplier", "part", "orders", "lineitem"), ("nation", "region", "events", "embeddings", "missing")
-    files = T.list_files(spark, {"layers": [f"{d}/{t}.parquet" for t in layers], "graph": [f"{d}/{t}.parquet" for t in graph]})
-    return T.manifest(files).join(T.verify(files, T.manifest(files)), "name")
+    """Name, size and SHA-256 of every file of every table, checked against a second reading (file bytes: no SQL)."""
+    files = B.list_files(spark, {g: [f"{d}/{t}.parquet" for t in names] for g, names in TABLES.items()})
+    digests = checkpoint(B.manifest(files).select("name", "path", "length", "sha256"))
+    again = B.digests(files).select("path", F.col("sha256").alias("again"))
+    return digests.join(again, "path").select("name", "length", "sha256", (F.col("sha256") == F.col("again")).alias("ok"))
+
+
+def file_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Files and bytes of each group of tables (file sizes: no SQL)."""
+    return B.file_totals(B.list_files(spark, {g: [f"{d}/{t}.parquet" for t in names] for g, names in TABLES.items()}))
 
 
 def log_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -469,4 +483,5 @@ QUERIES = {
     "linear_attributions": (linear_attributions, None),
     "classifier_metrics": (classifier_metrics, None),
     "file_manifest": (file_manifest, None),
+    "file_totals": (file_totals, None),
 }

@@ -1,8 +1,8 @@
-"""Readers and writers of layers, interim tables, split graphs, experiment logs and file manifests."""
+"""Readers and writers of layers, interim tables, split graphs and experiment logs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,46 +76,3 @@ def export_lines(lines: DataFrame, folder: str, srid: int = 4326) -> None:
     """Lines of each split as WKT text with the tag of their reference system."""
     out = lines.withColumns({"wkt": G.to_wkt(F.col("coords")), "srid": F.lit(srid)}).drop("coords")
     out.write.mode("overwrite").partitionBy("split").parquet(folder)
-
-
-def list_files(spark: SparkSession, groups: Mapping[str, Iterable[str]], choose: Sequence[str] | None = None) -> DataFrame:
-    """(group, path, length, content) of all files below each group's roots; ``.gitkeep`` and roots
-    that don't exist are skipped."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out = None
-    for group, roots in groups.items():
-        for root in roots if choose is None or group in choose else ():
-            p = hadoop.Path(root)
-            if not p.getFileSystem(conf).exists(p):
-                continue
-            df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-            df = _with_empty_files(df).where(~F.col("path").endswith("/.gitkeep"))
-            df = df.select(F.lit(group).alias("group"), "path", "length", "content")
-            out = df if out is None else out.unionByName(df)
-    return out if out is not None else spark.createDataFrame([], "group string, path string, length long, content binary")
-
-
-def _with_empty_files(df: DataFrame) -> DataFrame:
-    """The reader leaves out files of length 0; its listing has them."""
-    names = [(n,) for n in df.inputFiles()]  # the driver's file index holds them anyway
-    listed = df.sparkSession.createDataFrame(names, "path string").select(F.regexp_replace("path", "^file:/+", "file:/").alias("path"))
-    rows = df.select("path", "length", "content")
-    empty = listed.join(rows.select("path"), "path", "left_anti")
-    return rows.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
-
-
-def file_totals(files: DataFrame) -> DataFrame:
-    return files.groupBy("group").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
-
-
-def manifest(files: DataFrame) -> DataFrame:
-    """(name, length, sha256). A file is one row, so it must fit in a task's memory."""
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
-
-
-def verify(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """(name, ok): digests compared in any case; a file that is missing is not ok."""
-    have = manifest(files).select("name", F.col("sha256").alias("got"))
-    both = expected.select("name", "sha256").join(have, "name", "left")
-    return both.select("name", F.coalesce(F.lower("sha256") == F.lower("got"), F.lit(False)).alias("ok"))

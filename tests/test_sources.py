@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.functions import geometry as G
+from linkloom.sources import files as B
 from linkloom.sources import tables as T
 
 
@@ -45,16 +46,54 @@ def test_splits_are_pruned(spark, tmp_path):
     assert got["wkt"] == "LINESTRING (0.0 0.0, 1.0 1.0)" and got["srid"] == 4326
 
 
-def test_manifest(spark, tmp_path):
-    (tmp_path / "a").mkdir()
+def test_listing_and_digests(spark, tmp_path):
+    (tmp_path / "a/deep/er").mkdir(parents=True)
+    (tmp_path / "a/none").mkdir()
     (tmp_path / "a/x.bin").write_bytes(b"hello")
     (tmp_path / "a/.gitkeep").write_bytes(b"")
+    (tmp_path / "a/deep/.gitkeep").write_bytes(b"")
     (tmp_path / "a/y.bin").write_bytes(b"")
-    groups = {"one": [str(tmp_path / "a"), str(tmp_path / "missing")], "two": [str(tmp_path / "missing")]}
-    files = T.list_files(spark, groups)
-    assert [tuple(r) for r in T.file_totals(files).collect()] == [("one", 2, 5)]
-    assert T.list_files(spark, groups, choose=["two"]).count() == 0
-    want = hashlib.sha256(b"hello").hexdigest()
-    assert {r["name"]: r["sha256"] for r in T.manifest(files).collect()}["x.bin"] == want
-    expected = spark.createDataFrame([("x.bin", want.upper()), ("y.bin", "00"), ("z.bin", "00")], "name string, sha256 string")
-    assert {r["name"]: r["ok"] for r in T.verify(files, expected).collect()} == {"x.bin": True, "y.bin": False, "z.bin": False}
+    (tmp_path / "a/deep/er/z é.bin").write_bytes(b"abc" * 3_000_000)
+    groups = {"one": [str(tmp_path / "a"), str(tmp_path / "missing")], "two": [f"file://{tmp_path}/a/x.bin", f"{tmp_path}/a/deep/"], "three": [str(tmp_path / "missing")]}
+    files = B.list_files(spark, groups)
+    assert sorted(tuple(r) for r in B.file_totals(files).collect()) == [("one", 3, 9_000_005), ("two", 2, 9_000_005)]
+    assert B.list_files(spark, groups, choose=["three"]).count() == 0
+    want = {"x.bin": hashlib.sha256(b"hello").hexdigest(), "y.bin": hashlib.sha256(b"").hexdigest(), "z é.bin": hashlib.sha256(b"abc" * 3_000_000).hexdigest()}
+    one = files.where("group = 'one'")
+    assert {r["name"]: r["sha256"] for r in B.manifest(one).collect()} == want
+    assert {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in B.digests(files.where("group = 'two'")).collect()} == {k: want[k] for k in ("x.bin", "z é.bin")}
+    expected = spark.createDataFrame([("x.bin", want["x.bin"].upper()), ("y.bin", "00"), ("q.bin", "00")], "name string, sha256 string")
+    assert {r["name"]: r["ok"] for r in B.verify(one, expected).collect()} == {"x.bin": True, "y.bin": False, "q.bin": False}
+    (tmp_path / "a/y.bin").unlink()
+    assert {r["path"]: r["sha256"] for r in B.digests(one).collect()}[str(tmp_path / "a/y.bin")] is None
+
+
+def test_sidecars(spark, tmp_path):
+    for name in ("a.bin", "b.bin", "c.bin"):
+        (tmp_path / name).write_bytes(name.encode() * 1000)
+    files = B.list_files(spark, {"g": [str(tmp_path)]})
+    assert B.write_sidecars(files).count() == 3 == B.write_sidecars(files).count()
+    digest = hashlib.sha256(b"a.bin" * 1000).hexdigest()
+    assert (tmp_path / "a.bin.sha256").read_text() == f"{digest}  a.bin\n"
+    (tmp_path / "a.bin.sha256").write_text(digest.upper())
+    (tmp_path / "b.bin").write_bytes(b"changed")
+    (tmp_path / "c.bin.sha256").write_text("")
+    (tmp_path / "d.bin").write_bytes(b"no sidecar")
+    again = B.list_files(spark, {"g": [str(tmp_path)]})
+    assert again.count() == 7  # no part of a sidecar is left
+    got = {r["path"].rsplit("/", 1)[1]: r["ok"] for r in B.verify_sidecars(again).collect()}
+    assert got == {"a.bin": True, "b.bin": False, "c.bin": False, "d.bin": False}
+
+
+def test_many_files_and_loops(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i % 7}/{i % 3}/{i}").mkdir(parents=True)
+        for j in range(30):
+            (tmp_path / f"{i % 7}/{i % 3}/{i}/{j}").write_bytes(b"x" * j)
+    got = B.file_totals(B.list_files(spark, {"g": [str(tmp_path)]})).first()
+    assert (got["n_files"], got["n_bytes"]) == (1800, 60 * sum(range(30)))
+    (tmp_path / "loop").symlink_to(tmp_path, target_is_directory=True)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(B, "MAX_DEPTH", 6)
+        with pytest.raises(ValueError, match="loop"):
+            B.list_files(spark, {"g": [str(tmp_path)]})
