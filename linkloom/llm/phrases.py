@@ -108,7 +108,7 @@ class Bits:
 
 def bits_for(n: int, most: int = MOST_BITS) -> int:
     """Bits of a table for n hashes: a power of two, bounded."""
-    return min(most, max(1 << 16, 1 << (BITS_EACH * max(n, 1) - 1).bit_length()))
+    return min(most, max(1 << 22, 1 << (BITS_EACH * max(n, 1) - 1).bit_length()))
 
 
 def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -205,14 +205,22 @@ def _missing(frequent: DataFrame, known: Bits) -> DataFrame:
     return frequent.mapInArrow(run, frequent.schema)
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("text", F.col("lang").cast("string").alias("lang"))
+
+
+def _sample(docs: DataFrame, share: float) -> DataFrame:
+    """A share of the documents, by a hash of id and text."""
+    return docs.where(F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
 def frequent_hashes(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: float = SAMPLE, lowered: float = LOWERED, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
     """(k, h, n) of every phrase of at most ``longest`` words that occurs ``least`` times, and the number of passes over all documents.
 
     With k = 0: all words of a language.
     """
     context = docs.sparkSession.sparkContext
-    texts = docs.select("text", F.col("lang").cast("string").alias("lang"))
-    part = docs.where(F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1 << 20)) < int(sample * (1 << 20))).select(*texts.columns)
+    texts, part = _texts(docs), _texts(_sample(docs, sample))
     low = max(2, int(least * sample * lowered))
 
     def every(p: Phrases) -> Iterator[tuple[int, np.ndarray]]:
@@ -261,8 +269,7 @@ def _once(docs: DataFrame, known: Bits, longest: int, rows, schema: str) -> Data
                         met[k] = np.union1d(met[k], h) if len(met[k]) < HELD else h
                         yield rows(p, k, at[first])
 
-    texts = docs.select("text", F.col("lang").cast("string").alias("lang"))
-    return texts.mapInArrow(run, schema)
+    return _texts(docs).mapInArrow(run, schema)
 
 
 def _parts(p: Phrases, k: int, at: np.ndarray) -> pa.RecordBatch:
@@ -275,6 +282,23 @@ def _names(p: Phrases, k: int, at: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["h", "lang", "phrase"])
 
 
+def _made_of(docs: DataFrame, phrases: DataFrame, longest: int, sample: float, most_bits: int) -> DataFrame:
+    """(k, h, n, head, tail, g) of the phrases (k, h, n): the sample is asked first, all documents for the phrases it lacks.
+
+    A frequent phrase stands in nearly every task's documents, and every task would give it.
+    """
+    out = None
+    for part in (_sample(docs, sample), docs):
+        got = _once(part, _bits_of(phrases, most_bits), longest, _parts, "k int, h long, head long, tail long, g long")
+        got = got.repartition("h").groupBy("k", "h").agg(*(F.min(c).alias(c) for c in ("head", "tail", "g")))
+        got = checkpoint(got.join(phrases, ["k", "h"]))
+        out = got if out is None else out.unionByName(got)
+        phrases = checkpoint(phrases.join(got, ["k", "h"], "left_anti"))
+        if phrases.isEmpty():
+            break
+    return checkpoint(out)
+
+
 def _bits_of(hashes: DataFrame, most_bits: int) -> Bits:
     return Bits(bit_table(hashes, bits_for(hashes.count(), most_bits)))
 
@@ -292,9 +316,7 @@ def collocations(
     """
     found, _ = frequent_hashes(docs, least, longest, most_bits=most_bits, **how)
     phrases = checkpoint(found.where("k > 1").select("k", "h", "n"))
-    made = _once(docs, _bits_of(phrases, most_bits), longest, _parts, "k int, h long, head long, tail long, g long")
-    made = made.repartition("h").groupBy("k", "h").agg(*(F.min(c).alias(c) for c in ("head", "tail", "g")))
-    made = checkpoint(made.join(phrases, ["k", "h"]))
+    made = _made_of(docs, phrases, longest, how.get("sample", SAMPLE), most_bits)
 
     wide = "decimal(20,0)"
     none = F.array().cast("array<long>")
