@@ -6,8 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkloom.operators.components import checkpoint
+from linkloom.operators.ids import parted
+
 #: Fixed value: pattern of model file names.
 MODEL_NAME = r"^model([a-zA-Z0-9]+)_hiddensize_(\d+)_drop_(\d+)\.pt$"
 #: Stack codes of file names, their layers and whether they have skip connections.
@@ -27,45 +31,63 @@ def early_stopping(log: DataFrame, patience: int = 5, delta: float = 0.001, run:
     """(run, best_epoch, best_loss, stop_epoch, stopped) of logs (run, epoch, loss).
 
     An epoch improves if -loss >= best + delta; after ``patience`` epochs in a row without
-    improvement the run stops. Each epoch depends on the one before, so a run is read in order by one
-    task, as a stream: only its state is held, however long it is. Rows with a null loss are left out.
+    improvement the run stops. Rows with a null run or loss are left out; of equal epochs the smaller loss counts first.
+
+    With ``delta`` of 0 or more (less is an error) an epoch that improves has a loss that no earlier one
+    undercuts. So rows are dealt by ranges of (run, epoch), a run over as many tasks as it is long; each range knows the
+    least loss and the number of rows before it, from one row per range; and only the rows at a running minimum,
+    with their places, are folded in order, as a stream. The epoch of the last row that a run takes is looked up by its place.
     """
-    rows = log.where("loss is not null").select(run, F.col("epoch").cast("long").alias("epoch"), F.col("loss").cast("double").alias("loss"))
-    schema = f"{run} {log.schema[run].dataType.simpleString()}, best_epoch long, best_loss double, stop_epoch long, stopped boolean"
-    names = [run, "best_epoch", "best_loss", "stop_epoch", "stopped"]
+    if delta < 0:
+        raise ValueError("delta is at least 0")
+    rows = log.where(F.col("loss").isNotNull() & F.col(run).isNotNull()).select(F.col(run).alias("run"), F.col("epoch").cast("long").alias("epoch"), F.col("loss").cast("double").alias("loss"))
+    rows = parted(rows, ["run", "epoch", "loss"])
+    per = rows.groupBy("run", "__part").agg(F.min("loss").alias("__least"), F.count("*").alias("__rows"))
+    before = W.partitionBy("run").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select("run", "__part", F.min("__least").over(before).alias("__low"), F.sum("__rows").over(before).alias("__seen"))
+    carried = per.where("__seen is not null")  # at most one run goes on in each range
+    inner = W.partitionBy("__part", "run").orderBy("epoch", "loss")
+    rows = rows.join(F.broadcast(carried), ["run", "__part"], "left")
+    placed = rows.select(
+        "run", "epoch", "loss", (F.row_number().over(inner) + F.coalesce("__seen", F.lit(0))).cast("long").alias("pos"),
+        F.least(F.min("loss").over(inner.rowsBetween(W.unboundedPreceding, -1)), "__low").alias("least"),
+    )
+    placed = checkpoint(placed)
+    minima = placed.where("least is null or loss <= least").select("run", "pos", "epoch", "loss")
+    folded = _fold_minima(minima, patience, delta)
+    size = placed.groupBy("run").agg(F.max("pos").alias("rows"))
+    ends = folded.join(size, "run").withColumn("stopped", F.col("best_pos") + patience <= F.col("rows"))
+    ends = ends.withColumn("pos", F.when(F.col("stopped"), F.col("best_pos") + patience).otherwise(F.col("rows")))
+    out = placed.select("run", "pos", F.col("epoch").alias("stop_epoch")).join(ends, ["run", "pos"])
+    return out.select(F.col("run").alias(run), "best_epoch", "best_loss", "stop_epoch", "stopped")
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[list] = []
-        state: list = []  # run, best epoch, best loss, last epoch, stopped, bad epochs in a row
-        kind = None
 
-        def flush() -> pa.RecordBatch:
-            types = [kind, pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
-            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names=names)
-            done.clear()
-            return out
+def _fold_minima(minima: DataFrame, patience: int, delta: float) -> DataFrame:
+    """(run, best_pos, best_epoch, best_loss) from the running minima (run, pos, epoch, loss) in order; only the state of one run is held."""
+    names = ["run", "best_pos", "best_epoch", "best_loss"]
+    kind = minima.schema["run"].dataType.simpleString()
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list = []
+        stopped = False
         for batch in batches:
-            kind = batch.schema.types[0]
-            for r, epoch, loss in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not state or state[0] != r:
+            done: list[list] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not state or state[0] != row[0]:
                     if state:
-                        done.append(state[:5])
-                    state = [r, epoch, loss, epoch, False, 0]
-                elif not state[4]:
-                    state[3] = epoch
-                    if -loss >= -state[2] + delta:
-                        state[1:3], state[5] = [epoch, loss], 0
-                    else:
-                        state[5] += 1
-                        state[4] = state[5] >= patience
+                        done.append(state)
+                    state, stopped = list(row), False
+                elif not stopped:
+                    if row[1] > state[1] + patience:
+                        stopped = True
+                    elif -row[3] >= -state[3] + delta:
+                        state = list(row)
             if done:
-                yield flush()
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(batch.schema.types)], names=names)
         if state:
-            done.append(state[:5])
-            yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(state, batch.schema.types, strict=True)], names=names)
 
-    return rows.repartition(run).sortWithinPartitions(run, "epoch").mapInArrow(fold, schema)
+    return minima.repartition("run").sortWithinPartitions("run", "pos").mapInArrow(fold, f"run {kind}, best_pos long, best_epoch long, best_loss double")
 
 
 def best_rows(log: DataFrame, stops: DataFrame, run: str = "run") -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from linkloom.operators.components import checkpoint
 
 
-def _parted(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+def parted(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """The rows dealt by ranges of the order and written, with the number of their range as ``__part``."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return checkpoint(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
 
@@ -28,7 +29,7 @@ def dense_id(df: DataFrame, order: Sequence[Column | str], name: str = "id", sta
 
 def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
     """Add running sums, the row itself included, in the given order."""
-    rows = _parted(df.withColumns({f"__v_{k}": v for k, v in sums.items()}), order)
+    rows = parted(df.withColumns({f"__v_{k}": v for k, v in sums.items()}), order)
     per = rows.groupBy("__part").agg(*(F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition
     per = per.select("__part", *(F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__o_{k}") for k in sums))

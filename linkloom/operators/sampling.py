@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkloom.operators.components import checkpoint
 from linkloom.operators.ids import dense_id
+from linkloom.operators.skew import hubs, sliced_join
 
 
 def seeded(seed: int, *keys: Column | str) -> Column:
@@ -86,14 +88,18 @@ def sample_neighbours(seeds: DataFrame, edges: DataFrame, fan_out: Sequence[int]
     """(batch_id, hop, rel, src, dst) of edges into the frontier, at most k per node, hop and relation.
 
     ``seeds`` is (batch_id, node), ``edges`` (rel, src, dst). The next frontier is the sources of the
-    sampled edges. Which edges stay is decided by a seeded hash.
+    sampled edges. Which edges stay is decided by a seeded hash: the k smallest, which merge. A node with a
+    large share of all edges is met in slices, every task keeps the k smallest of a node that it has (a limit
+    of the window's groups before the shuffle, for k up to ``spark.sql.optimizer.windowGroupLimitThreshold``), and only those meet.
     """
-    frontier = seeds.select("batch_id", "node").distinct()
+    found = hubs(edges, "dst")
+    frontier = seeds.select("batch_id", F.col("node").alias("dst")).distinct()
     out = None
     for hop, k in enumerate(fan_out, 1):
-        near = frontier.join(edges, F.col("node") == F.col("dst")).select("batch_id", F.lit(hop).alias("hop"), "rel", "src", "dst")
+        near = sliced_join(edges.select("rel", "src", "dst"), frontier, "dst", found).select("batch_id", F.lit(hop).alias("hop"), "rel", "src", "dst")
         order = W.partitionBy("batch_id", "rel", "dst").orderBy(seeded(seed, "batch_id", "hop", "rel", "src", "dst"), "src")
         near = near.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k).drop("__rank")
+        near = checkpoint(near) if hop < len(fan_out) else near  # read twice: as a result and as the next frontier
         out = near if out is None else out.unionByName(near)
-        frontier = near.select("batch_id", F.col("src").alias("node")).distinct()
+        frontier = near.select("batch_id", F.col("src").alias("dst")).distinct()
     return out

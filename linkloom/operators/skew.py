@@ -30,15 +30,19 @@ def hubs(rows: DataFrame, key: str, least: int = LEAST) -> DataFrame | None:
     return spark.createDataFrame(found.collect(), found.schema)
 
 
-def hub_join(rows: DataFrame, other: DataFrame, on: str, counted: DataFrame | None = None, least: int = LEAST) -> DataFrame:
-    """``rows`` joined with ``other`` on the column ``on``; hubs of ``rows`` are met in slices. Rows may repeat on either side.
-
-    ``counted`` is a table with the same counts per key that is cheaper to read, ``rows`` itself by default.
-    """
-    found = hubs(rows if counted is None else counted, on, least)
+def sliced_join(rows: DataFrame, other: DataFrame, on: str, found: DataFrame | None) -> DataFrame:
+    """``rows`` joined with ``other`` on the column ``on``; the hubs ``found`` are met in slices. Rows may repeat on either side."""
     if found is None:
         return rows.join(other, on)
     slices = F.coalesce("__slices", F.lit(1))
     a = rows.join(F.broadcast(found), on, "left").withColumn("__slice", F.pmod(F.xxhash64(*rows.columns), slices).cast("int")).drop("__slices")
     b = other.join(F.broadcast(found), on, "left").withColumn("__slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("__slices")
     return a.join(b, [on, "__slice"]).drop("__slice")
+
+
+def hub_join(rows: DataFrame, other: DataFrame, on: str, counted: DataFrame | None = None, least: int = LEAST) -> DataFrame:
+    """``sliced_join`` with the hubs of ``rows``.
+
+    ``counted`` is a table with the same counts per key that is cheaper to read, ``rows`` itself by default.
+    """
+    return sliced_join(rows, other, on, hubs(rows if counted is None else counted, on, least))
