@@ -16,6 +16,7 @@ from linkloom.operators import metrics as M
 from linkloom.operators import model as W
 from linkloom.operators import propagate as N
 from linkloom.operators import sampling as S
+from linkloom.operators import sweep as V
 from linkloom.operators.components import checkpoint, remove, shared_folder
 from linkloom.plans import fixtures as X
 from linkloom.plans import spatial
@@ -361,6 +362,25 @@ def classifier_metrics(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def sweep_log(spark: SparkSession, d: str) -> DataFrame:
+    """A sweep over two sizes and two dropouts on the products of the ends' vectors, begun with one size and taken up with both (model fitting: no SQL)."""
+    at = f"{shared_folder(spark)}/sweep-{uuid.uuid4().hex}"
+    both = L.with_ends(_labelled(spark, d), X.vectors(spark, d).select("id", "h"))
+    part = S.draw(SEED, 10, "src", "dst")
+    phase = P.phase_of(F.when(part < 6, "train").when(part < 8, "val").otherwise("test"))
+    rows = both.select(
+        F.pmod(F.xxhash64("src", "dst"), F.lit(1 << 52)).alias("key"), phase.alias("phase"), "label",
+        F.zip_with("a", "b", lambda x, y: x * y * 8).alias("features"),
+    )
+    rows = checkpoint(rows)
+    grid = P.parameter_grid(spark.createDataFrame([(16,), (32,)], "size int"), spark.createDataFrame([(0.0,), (0.2,)], "dropout double"))
+    for settings in (grid.where("size = 16"), grid):
+        V.sweep(rows, 64, settings, at, threshold=0.0, seed=SEED)
+    out = checkpoint(T.read_log(spark, at))
+    remove(spark, at)
+    return out
+
+
 #: The given tables, by group.
 TABLES = {
     "layers": ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"),
@@ -482,6 +502,7 @@ QUERIES = {
     ),
     "linear_attributions": (linear_attributions, None),
     "classifier_metrics": (classifier_metrics, None),
+    "sweep_log": (sweep_log, None),
     "file_manifest": (file_manifest, None),
     "file_totals": (file_totals, None),
 }
