@@ -53,24 +53,22 @@ def _as_matrix(column: pa.Array) -> np.ndarray:
 
 
 def _usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, dims, vector as float64 bytes) without null, zero or non-finite vectors."""
+    """(vec_id, label, dims, vector as float64 bytes) without null, zero or non-finite vectors; labels keep their type."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = {"vec_id": [], "label": [], "dims": [], "v": []}
         column = batch.column(2)
-        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        end = np.cumsum(size)
-        for i, label in enumerate(batch.column(1).to_pylist()):
-            v = values[end[i] - size[i] : end[i]]
-            if label is not None and len(v) and np.isfinite(v).all() and v.any():
-                out["vec_id"].append(batch.column(0)[i].as_py())
-                out["label"].append(label)
-                out["dims"].append(len(v))
-                out["v"].append((v + 0.0).tobytes())  # -0.0 becomes 0.0
-        return out
+        values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0  # -0.0 becomes 0.0
+        size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        odd, full = (np.bincount(owner, w, len(size)) for w in (~np.isfinite(values), values != 0))
+        good = (odd == 0) & (full > 0) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        off = np.r_[0, np.cumsum(size[good]) * 8].astype(np.int32)
+        v = pa.Array.from_buffers(pa.binary(), int(good.sum()), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(values[good[owner]].tobytes())])
+        take = pa.array(np.flatnonzero(good))
+        return {"vec_id": batch.column(0).take(take), "label": batch.column(1).take(take), "dims": size[good], "v": v}
 
-    return map_arrow(rows.select("vec_id", F.col("label").cast("long"), "embedding"), run, "vec_id long, label long, dims int, v binary")
+    kind = rows.schema["label"].dataType.simpleString()
+    return map_arrow(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding"), run, f"vec_id long, label {kind}, dims int, v binary")
 
 
 def _cells(classes: DataFrame, cosine: float, blocks: int, grid_dims: int, width: int) -> DataFrame:
@@ -111,7 +109,7 @@ def _cells(classes: DataFrame, cosine: float, blocks: int, grid_dims: int, width
             "share": np.concatenate(share) if share else [],
         }
 
-    schema = "label long, cls long, v binary, home boolean, cell array<long>, share double"
+    schema = f"label {classes.schema['label'].dataType.simpleString()}, cls long, v binary, home boolean, cell array<long>, share double"
     rows = map_arrow(classes.select("vec_id", "label", "dims", "v"), run, schema).withColumn("cell", F.xxhash64("label", "cell"))
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("lived")).where("lived and n > 1").select("cell", "n")
     rows = rows.join(sizes, "cell").withColumn("slices", F.ceil(F.col("n") / width).cast("int"))
@@ -194,9 +192,9 @@ def near_vectors(
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Vectors of equal, non-null labels and equal length are compared. Null, empty, zero and
+    Vectors of equal, non-null labels of any type and of equal length are compared, long ones too. Null, empty, zero and
     non-finite vectors, and those of a null label, link with nothing. vec_id should be unique; rows
-    that repeat a vec_id with the same vector count as copies. An empty table gives no rows; other
+    that repeat a vec_id with the same vector count as copies. A pair at the bound is linked; ties change nothing. An empty table gives no rows; other
     columns are ignored.
     """
     usable = checkpoint(_usable(rows))
@@ -224,7 +222,7 @@ def near_vectors(
         .select("label", "dims", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
     )
     good = usable.join(info, ["label", "dims", "v"]).select("vec_id", "n_links", "component_id")
-    bad = rows.select("vec_id", F.col("label").cast("long"), "embedding").where(~_is_usable()).select(
+    bad = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding").where(~_is_usable()).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
     return good.unionByName(bad).withColumn("kept", F.expr("vec_id <=> component_id"))
