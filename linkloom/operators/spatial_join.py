@@ -2,8 +2,11 @@
 
 Segments go to the cells that their bounding boxes cover, points to theirs; an equi-join on the cell
 brings candidates together and an exact predicate decides. Long segments are cut first,
-so that they cover cells along their course and not the whole box. A crowded cell is a
-skewed join key, which adaptive execution splits.
+so that they cover cells along their course and not the whole box.
+
+A crowded cell is halved, across the axis that leaves fewer pairs, and its rows go to the halves
+they touch; so on until a cell has at most ``PAIRS`` candidate pairs or halving gains nothing, as where all
+segments cross in one point. Such a cell is met in slices (``skew``).
 """
 
 from __future__ import annotations
@@ -12,8 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import geometry as G
+from linkloom.operators.components import checkpoint
+from linkloom.operators.skew import hub_join
 
 CELLS_PER_CUT = 8
+#: Candidate pairs in a cell that isn't halved any more, halvings at most, and the share of pairs that a halving must leave at most.
+PAIRS, HALVINGS, GAIN = 64 * 64, 40, 0.9
+CELL = ("ix", "iy", "lx", "ly")
 
 
 def explode_segments(lines: DataFrame, line_id: str = "line_id", coords: str = "coords") -> DataFrame:
@@ -50,6 +58,59 @@ def _cells(segs: DataFrame, cell: float) -> DataFrame:
     return out.withColumn("cell", F.explode(cells)).select(*segs.columns, "cell.cx", "cell.cy")
 
 
+def _touches(axis: str, half: int, cell: float, pad: Column) -> Column:
+    """Whether the segment of a row meets one half, across an axis, of the cell of the row."""
+    size = {c: F.lit(cell) / F.pow(F.lit(2.0), F.col(f"l{c}")) for c in ("x", "y")}
+    low = {c: F.col(f"i{c}") * size[c] for c in ("x", "y")}
+    size[axis] = size[axis] / 2
+    low[axis] = low[axis] + half * size[axis]
+    room = {c: size[c] / 2 + pad for c in ("x", "y")}
+    middle = {c: low[c] + size[c] / 2 for c in ("x", "y")}
+    near = F.lit(True)
+    for c in ("x", "y"):
+        near = near & (F.least(f"{c}1", f"{c}2") <= middle[c] + room[c]) & (F.greatest(f"{c}1", f"{c}2") >= middle[c] - room[c])
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    beside = F.abs(dx * (middle["y"] - F.col("y1")) - dy * (middle["x"] - F.col("x1")))
+    return near & (beside <= F.abs(dx) * room["y"] + F.abs(dy) * room["x"])
+
+
+def leaves(rows: DataFrame, cell: float, tolerance: float = 0.0, pairs: int = PAIRS, halvings: int = HALVINGS) -> DataFrame:
+    """Rows (side, x1, y1, x2, y2, cx, cy, others) with the hash ``cell`` of the leaf of each; a row is repeated for each leaf it touches.
+
+    Side 0 is compared with side 1, side 2 with itself. Points, of side 1, reach as far as ``tolerance``.
+    """
+    kept = [c for c in rows.columns if c not in ("cx", "cy")]
+    open_ = checkpoint(rows.select(*kept, F.col("cx").alias("ix"), F.col("cy").alias("iy"), F.lit(0).alias("lx"), F.lit(0).alias("ly")))
+    pad = F.lit(cell * 1e-9) + F.when(F.col("side") == 1, F.lit(tolerance)).otherwise(0.0)
+    done = []
+
+    def candidates(inside: Column | None = None) -> Column:
+        def n(side: int) -> Column:
+            here = F.col("side") == side
+            return F.sum((here if inside is None else here & inside).cast("double"))
+
+        return n(0) * n(1) + n(2) * n(2)
+
+    for _ in range(halvings):
+        halves = {(c, h): _touches(c, h, cell, pad) for c in ("x", "y") for h in (0, 1)}
+        counts = open_.groupBy(*CELL).agg(candidates().alias("n"), *((candidates(halves[c, 0]) + candidates(halves[c, 1])).alias(f"n{c}") for c in ("x", "y")))
+        crowded = counts.where((F.col("n") > pairs) & (F.least("nx", "ny") <= F.col("n") * GAIN)).select(*CELL, F.when(F.col("nx") <= F.col("ny"), "x").otherwise("y").alias("axis"))
+        crowded = checkpoint(crowded)
+        if crowded.isEmpty():
+            break
+        met = checkpoint(open_.join(crowded, list(CELL), "left"))
+        done.append(met.where("axis is null").drop("axis"))
+        parts = [F.when((F.col("axis") == c) & halves[c, h], F.lit(h)) for c in ("x", "y") for h in (0, 1)]
+        split = met.where("axis is not null").withColumn("half", F.explode(F.filter(F.array(*parts), lambda v: v.isNotNull())))
+        new = {f"i{c}": F.when(F.col("axis") == c, F.col(f"i{c}") * 2 + F.col("half")).otherwise(F.col(f"i{c}")) for c in ("x", "y")}
+        new |= {f"l{c}": F.when(F.col("axis") == c, F.col(f"l{c}") + 1).otherwise(F.col(f"l{c}")) for c in ("x", "y")}
+        open_ = checkpoint(split.withColumns(new).drop("axis", "half"))
+    out = open_
+    for part in done:
+        out = out.unionByName(part)
+    return out.select(*kept, F.xxhash64(*CELL).alias("cell"))
+
+
 def points_on_lines(
     lines: DataFrame, points: DataFrame, cell: float | None = None, tolerance: float = 0.0,
     line_id: str = "line_id", point_id: str = "mh_id", coords: str = "coords",
@@ -58,21 +119,26 @@ def points_on_lines(
     segs = explode_segments(lines, line_id, coords)
     cell = cell or cell_size(segs)
     reach = 0 if tolerance == 0 else int(tolerance // cell) + 1
-    spots = points.select(point_id, F.col("x").alias("px"), F.col("y").alias("py"))
+    spots = points.select(F.lit(1).alias("side"), F.col(point_id).alias("point"), *(F.col(c).alias(f"{c}{i}") for i in (1, 2) for c in ("x", "y")))
     for c in ("x", "y"):
-        home = F.floor(F.col(f"p{c}") / cell)
+        home = F.floor(F.col(f"{c}1") / cell)
         spots = spots.withColumn(f"c{c}", F.explode(F.sequence(home - reach, home + reach)) if reach else home)
+    rows = _cells(segs, cell).withColumnRenamed(line_id, "line").withColumn("side", F.lit(0)).unionByName(spots, allowMissingColumns=True)
+    rows = leaves(rows, cell, tolerance)
+    a = rows.where("side = 0").select("cell", "line", "x1", "y1", "x2", "y2")
+    b = rows.where("side = 1").select("cell", "point", F.col("x1").alias("px"), F.col("y1").alias("py"))
     hit = G.point_on_segment(*(F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")), tolerance)
-    return _cells(segs, cell).join(spots, ["cx", "cy"]).where(hit).select(line_id, point_id).distinct()
+    return hub_join(a, b, "cell").where(hit).select(F.col("line").alias(line_id), F.col("point").alias(point_id)).distinct()
 
 
 def lines_meeting(lines: DataFrame, cell: float | None = None, line_id: str = "line_id", coords: str = "coords") -> DataFrame:
     """Distinct (src, dst) of different lines that share a point, in both directions."""
     segs = explode_segments(lines, line_id, coords)
-    cells = _cells(segs, cell or cell_size(segs))
-    a = cells.select("cx", "cy", F.col(line_id).alias("src"), *(F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")))
-    b = cells.select("cx", "cy", F.col(line_id).alias("dst"), *(F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")))
+    cell = cell or cell_size(segs)
+    rows = leaves(_cells(segs, cell).withColumn("side", F.lit(2)), cell)
     ends = ("x1", "y1", "x2", "y2")
+    a = rows.select("cell", F.col(line_id).alias("src"), *(F.col(c).alias(f"a_{c}") for c in ends))
+    b = rows.select("cell", F.col(line_id).alias("dst"), *(F.col(c).alias(f"b_{c}") for c in ends))
     meet = G.segments_meet(tuple(F.col(f"a_{c}") for c in ends), tuple(F.col(f"b_{c}") for c in ends))
-    one_way = a.join(b, ["cx", "cy"]).where((F.col("src") < F.col("dst")) & meet).select("src", "dst").distinct()
+    one_way = hub_join(a, b, "cell").where((F.col("src") < F.col("dst")) & meet).select("src", "dst").distinct()
     return one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
