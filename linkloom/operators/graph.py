@@ -88,11 +88,13 @@ def labelled_edges(positive: DataFrame, negative: DataFrame) -> DataFrame:
     return positive.select("src", "dst", F.lit(1.0).alias("label")).unionByName(negative.select("src", "dst", F.lit(0.0).alias("label")))
 
 
-def split_statistics(nodes: DataFrame, edges: DataFrame, split: str = "split") -> DataFrame:
-    """Nodes and edges per split, 0 where a split has none."""
-    n = nodes.groupBy(split).agg(F.count("*").alias("n_nodes"))
-    e = edges.groupBy(split).agg(F.count("*").alias("n_edges"))
-    return n.join(e, split, "full_outer").na.fill(0, ["n_nodes", "n_edges"])
+def split_statistics(tables: dict[str, DataFrame], split: str = "split") -> DataFrame:
+    """One row per split with the number of rows of each table, as ``n_<name>``; 0 where a split has none."""
+    out = None
+    for name, df in tables.items():
+        n = df.groupBy(split).agg(F.count("*").alias(f"n_{name}"))
+        out = n if out is None else out.join(n, split, "full_outer")
+    return out.na.fill(0)
 
 
 def induced(

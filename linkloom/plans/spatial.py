@@ -72,16 +72,6 @@ split AS (SELECT mh_id, component, CASE WHEN pos < n * 6 // 10 THEN 'train' WHEN
   FROM comp JOIN ordered USING (component))"""
 
 
-def split_statistics(spark: SparkSession, d: str) -> DataFrame:
-    nodes = C.checkpoint(_split(spark, d))
-    edges = R.induced(nodes.withColumnRenamed("mh_id", "node_id"), line_pairs(spark, d), _near_pairs(spark, d), _no_edges(spark))["pipes"]
-    return R.split_statistics(nodes, edges)
-
-
-def _no_edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "src long, dst long")
-
-
 def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
     return X.near(spark, d).select(F.col("mh_id").alias("index_mh"), F.col("near_fid").alias("index_road"), "near_pos", "near_dist", "side")
 
@@ -332,11 +322,39 @@ def split_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(ends(R.reversed_relation(near), "rev_near", "road_map", "mh_map"))
 
 
+SPLITS = ("train", "val", "test")
+
+
+def _labelled_by_split(h: dict[str, DataFrame]) -> DataFrame:
+    """(split, src, dst, label) with the numbers of each split's graph: its pipes, and as many drawn non-edges."""
+    pipes = I.relabel(I.relabel(h["pipes"].select("split", "src", "dst"), "src", h["mh_map"], on=["split"]), "dst", h["mh_map"], on=["split"])
+    pipes = C.checkpoint(pipes.where("src is not null and dst is not null").distinct())
+    size = {r["split"]: r["count"] for r in h["mh_map"].groupBy("split").count().collect()}  # a number per split
+    out = None
+    for name in SPLITS:
+        own = pipes.where(F.col("split") == name).select("src", "dst")
+        part = R.labelled_edges(own, S.negative_edges(own, size.get(name, 0), seed=SEED)).select(F.lit(name).alias("split"), "src", "dst", "label")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def split_labelled_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Supervised edges of every split's graph."""
+    return _labelled_by_split(_hetero(spark, d))
+
+
+def split_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of both types, pipes and labelled edges of every split's graph."""
+    h = _hetero(spark, d)
+    return R.split_statistics({"mh": h["mh_map"], "road": h["road_map"], "pipes": h["pipes"], "labelled": _labelled_by_split(h)})
+
+
 HETERO = f"""near_e AS (SELECT mh_id AS index_mh, road_id AS index_road FROM used JOIN near_t ON fid = near_fid WHERE near_dist < 100),
 near_s AS (SELECT n.*, s.split FROM near_e n JOIN split s ON s.mh_id = n.index_mh),
 road_s AS (SELECT DISTINCT index_road AS road_id, split FROM near_s),
 mh_map AS (SELECT mh_id AS old, split, row_number() OVER (PARTITION BY split ORDER BY mh_id) - 1 AS new FROM split),
 road_map AS (SELECT road_id AS old, split, row_number() OVER (PARTITION BY split ORDER BY road_id) - 1 AS new FROM road_s)"""
+PIPES_SPLIT = "pe AS (SELECT DISTINCT p.src, p.dst, s.split FROM pairs p JOIN split s ON s.mh_id IN (p.src, p.dst))"
 ROAD_GRAPH = f"rg AS ({_road_graph_select()})"
 BASE_SPLIT = f"{BASE}, {X.NEAR}, {X.ROADS}, {COMPONENTS}, {SPLIT}, {USED_ROADS}"
 
@@ -367,6 +385,15 @@ def negative_edges(spark: SparkSession, d: str) -> DataFrame:
     return S.negative_edges(positive, X.read(spark, d, "customer").count(), seed=SEED)
 
 
+LABELLED_SPLIT = f"""ps AS (SELECT DISTINCT pe.split, a.new AS src, b.new AS dst FROM pe JOIN mh_map a ON a.old = pe.src AND a.split = pe.split JOIN mh_map b ON b.old = pe.dst AND b.split = pe.split),
+size_s AS (SELECT split, (SELECT count(*) FROM ps WHERE ps.split = m.split) AS e, count(*) AS n FROM mh_map m GROUP BY split),
+draws_s AS (SELECT split, i, {{s}} AS src, {{d}} AS dst FROM (SELECT split, n, unnest(range(2 * e)) AS i FROM size_s)),
+fresh_s AS (SELECT split, src, dst, min(i) AS i FROM draws_s WHERE src <> dst GROUP BY ALL),
+neg_s AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY i) AS k, src, dst FROM fresh_s f
+  WHERE NOT EXISTS (SELECT 1 FROM ps p WHERE p.split = f.split AND ((p.src = f.src AND p.dst = f.dst) OR (p.src = f.dst AND p.dst = f.src)))),
+labelled_s AS (SELECT split, src, dst, 1.0::DOUBLE AS label FROM ps UNION ALL SELECT split, src, dst, 0.0 FROM neg_s JOIN size_s USING (split) WHERE k <= e)"""
+
+
 def _draw(kind: str, n: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', i, '{kind}', '{SEED}')), 1, 12))::BIGINT % {n}"
 
@@ -429,9 +456,14 @@ QUERIES = {
     "component_split": (_split, f"{BASE}, {COMPONENTS}, {SPLIT} SELECT * FROM split"),
     "split_statistics": (
         split_statistics,
-        f"""{BASE}, {COMPONENTS}, {SPLIT}, e AS (SELECT DISTINCT p.*, s.split FROM pairs p JOIN split s ON s.mh_id IN (p.src, p.dst))
-        SELECT split, n_nodes, coalesce(n_edges, 0) AS n_edges FROM (SELECT split, count(*) AS n_nodes FROM split GROUP BY 1)
-        LEFT JOIN (SELECT split, count(*) AS n_edges FROM e GROUP BY 1) USING (split)""",
+        f"""{BASE_SPLIT}, {HETERO}, {PIPES_SPLIT}, {LABELLED_SPLIT.format(s=_draw("s", "n"), d=_draw("d", "n"))},
+        e AS (SELECT DISTINCT p.*, s.split FROM (SELECT DISTINCT src, dst FROM pairs) p JOIN split s ON s.mh_id IN (p.src, p.dst))
+        SELECT split, count(*) AS n_mh, (SELECT count(*) FROM road_map r WHERE r.split = m.split) AS n_road, (SELECT count(*) FROM e WHERE e.split = m.split) AS n_pipes,
+        (SELECT count(*) FROM labelled_s l WHERE l.split = m.split) AS n_labelled FROM mh_map m GROUP BY split""",
+    ),
+    "split_labelled_edges": (
+        split_labelled_edges,
+        f"""{BASE_SPLIT}, {HETERO}, {PIPES_SPLIT}, {LABELLED_SPLIT.format(s=_draw("s", "n"), d=_draw("d", "n"))} SELECT * FROM labelled_s""",
     ),
     "exported_lines": (
         exported_lines,
@@ -497,7 +529,7 @@ QUERIES = {
     "split_graph_edges": (
         split_graph_edges,
         f"""{BASE_SPLIT}, {HETERO}, {ROAD_GRAPH}, rr AS (SELECT a.road_id AS src, b.road_id AS dst FROM rg JOIN used a ON a.fid = src JOIN used b ON b.fid = dst),
-        pe AS (SELECT DISTINCT p.src, p.dst, s.split FROM pairs p JOIN split s ON s.mh_id IN (p.src, p.dst))
+        {PIPES_SPLIT}
         SELECT pe.split, 'link' AS rel, a.new AS src, b.new AS dst FROM pe LEFT JOIN mh_map a ON a.old = pe.src AND a.split = pe.split LEFT JOIN mh_map b ON b.old = pe.dst AND b.split = pe.split
         UNION ALL SELECT a.split, 'road', a.new, b.new FROM rr JOIN road_map a ON a.old = rr.src JOIN road_map b ON b.old = rr.dst AND a.split = b.split
         UNION ALL SELECT n.split, 'near', a.new, b.new FROM near_s n JOIN mh_map a ON a.old = index_mh AND a.split = n.split JOIN road_map b ON b.old = index_road AND b.split = n.split

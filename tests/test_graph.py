@@ -173,5 +173,5 @@ def test_batches_and_fan_out(spark, parts):
 def test_split_statistics_with_an_empty_split(spark):
     nodes = spark.createDataFrame([(1, "train"), (2, "val")], "n long, split string")
     edges = spark.createDataFrame([(1, 2, "train")], "src long, dst long, split string")
-    got = {r["split"]: (r["n_nodes"], r["n_edges"]) for r in R.split_statistics(nodes, edges).collect()}
+    got = {r["split"]: (r["n_nodes"], r["n_edges"]) for r in R.split_statistics({"nodes": nodes, "edges": edges}).collect()}
     assert got == {"train": (1, 1), "val": (1, 0)}
