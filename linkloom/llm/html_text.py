@@ -1,12 +1,12 @@
 """HTML extraction: the maximum-scoring run of words and tags.
 
-Words score their learned weight, tags theirs; a linear scan finds the best contiguous
-run. Weights are log odds of standing inside or outside the article of pages that mark it
-with ``<article>`` or ``<main>`` (the labelled pages, a bounded sample): of words, of words in
-containers that are never content - menus, forms, notices, comments and the like - and of each tag. Whether a
-tag stands inside the page's marked element is a feature of its weight, and a stretch of words outside it
-has a fixed cost; plain words weigh the same everywhere, so the scan decides on any page. Blocks in such containers are left
-out of the run found.
+A word scores what a word is worth, plus a weight for each thing that surrounds it: the kinds of its blocks (paragraph, list
+item, link and the like), the names of its containers (tags such as ``nav``, words of class, id and role). Tags
+score zero or less. A linear scan finds the best contiguous run. All weights are log odds of standing
+inside or outside the article of pages that mark it with ``<article>`` or ``<main>`` (the labelled pages, a
+bounded sample); names that usually hold no content start with ``PRIOR`` words seen outside, which labelled
+pages can outweigh. On a page with a marked element, its tags and its containers of negative names cost nothing, and words
+outside it pay a fixed cost per stretch. Inside the run, text whose containers' names sum to less than zero is left out where content goes on behind it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import html as entities
 import math
 import re
 from collections import Counter
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,22 +24,26 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import map_arrow, table
 
 SAMPLE_PAGES = 500
-#: Costs, in words, of a tag that no labelled page has: within the marked element, and elsewhere.
-UNSEEN = {True: 0.0, False: 0.25, None: 0.25}
+#: Score of a tag that no labelled page has, and of a word without labelled pages.
+UNSEEN_TAG, PLAIN_WORD = -0.25, 1.0
 #: Cost, in words, of a stretch of words outside the marked element of a page that has one.
 BORDER = 20
+#: Words outside the article that a listed name is taken to have been seen with.
+PRIOR = 20
+#: Bounds of the weights of kinds of blocks, of names, and of tags: kinds are shared by content and menus.
+KIND, NAME, TAG = 0.6, 4.0, 3.0
 #: Tags whose text is never read.
 RAW = ("script", "style", "textarea", "title", "iframe")
-#: Containers that are not content.
-OUTSIDE = ("nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "noscript", "template", "svg", "select")
-#: Words of a class, id or role that mark a container as not content.
+#: Tags, and last words of names, that usually hold no content.
+OUTSIDE = frozenset("nav header footer aside form button menu dialog noscript template svg select".split())
 MARK = re.compile(
-    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|footer|sidebar|side|widget|"
-    r"cookies?|consent|notice|popup|modal|comments?|replies|reply|disqus|share|social|related|recommend\w*|newsletter|subscribe|"
-    r"login|search|copyright|toolbar|pagination|pager|contentinfo|navigation|complementary",
-    re.IGNORECASE,
+    r"ads?|advert\w*|banner|sponsor(?:ed|s)?|promos?|promotions?|nav|navbar|navigation|menu|breadcrumbs?|header|footer|sidebar|widget|"
+    r"cookies?|consent|notice|popup|modal|comments?|replies|reply|disqus|share|sharing|social|related|recommend(?:ed|ations?)|newsletter|subscribe|"
+    r"login|search|copyright|toolbar|pagination|pager|contentinfo|complementary",
 )
-#: First words of a class that tells of a page's layout, not of the element.
+#: Words behind such a word that tell of the layout.
+LAYOUT = frozenset("bar list links link box boxes wrap wrapper container inner outer left right top bottom slot unit area block section item items buttons button icons form body main".split())
+#: First words of a name that tells of the page's layout, not of the element.
 FLAGS = frozenset("has no not with without is js".split())
 #: Tags that stay within a block of text.
 INLINE = frozenset(
@@ -46,6 +51,11 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Tags of blocks that articles and menus share.
+SHARED = frozenset(
+    "div section p ul ol li dl dt dd table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption center "
+    "details summary address hgroup fieldset legend head a".split()
+)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|(?=<)|\Z)"
     r"|<[!?][^>]*(?:>|\Z)",
@@ -53,25 +63,37 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _BODY = frozenset(("article", "main"))
+_PAGE = frozenset(("html", "body"))
+
 
+@cache
+def listed(key: str) -> bool:
+    """Whether a name is one that usually holds no content: a tag, or a name by its last word but for words of layout."""
+    if key[0] == "@":
+        return key[1:] in OUTSIDE
+    words = [w for w in re.split(r"[-_]+", key[1:]) if w]
+    while len(words) > 1 and words[-1] in LAYOUT:
+        words.pop()
+    return key[0] == "." and bool(words) and words[0] not in FLAGS and MARK.fullmatch(words[-1]) is not None
 
-def marked(attributes: str) -> bool:
-    """Whether a class, id or role names a container that is not content, by the first or last word of one of its names."""
-    for name, value in _ATTR.findall(attributes):
-        if name.lower() in ("class", "id", "role"):
-            for token in value.strip("\"'").split():
-                words = [w for w in re.split(r"[-_\d]+", token) if w]
-                if words and words[0].lower() not in FLAGS and (MARK.fullmatch(words[0]) or MARK.fullmatch(words[-1])):
-                    return True
-    return False
+
+def element_keys(name: str, attributes: str) -> tuple[str, ...]:
+    """What an element adds to the words in it: its kind or tag, and the words of class, id and role without digits."""
+    if name in _PAGE:
+        return ()
+    keys = [] if name in _BODY else [("~" if name in SHARED else "@") + name]
+    for attribute, value in _ATTR.findall(attributes):
+        if attribute.lower() in ("class", "id", "role"):
+            keys += ["." + w for token in value.strip("\"'").lower().split() if (w := re.sub(r"\d+", "", token).strip("-_"))]
+    return tuple(keys)
 
 
 def tokens(page: str):
-    """(kind, name or text, outside, body): kinds are text, open and close, in page order.
+    """(kind, name or text, keys, body): kinds are text, open and close, in page order; keys are those of all open elements.
 
-    ``outside`` is true within a container that is not content. It ends at its end tag; one whose name has
-    fewer end tags than start tags on the page ends where an article begins as well. ``body`` is true within
-    ``<article>``, or ``<main>`` on a page without one, that is in no such container; None on a page without either.
+    An end tag closes all elements opened since its start tag; ``<p>``, ``<li>`` and ``<a>`` close the one before. A listed container
+    whose name has fewer end tags than start tags on the page ends where an article begins as well. ``body`` is true within
+    ``<article>``, or ``<main>`` on a page without one, that is in no listed container; None on a page without either.
     """
     found = list(_TOKEN.finditer(page))
     starts, ends = Counter(), Counter()
@@ -79,65 +101,72 @@ def tokens(page: str):
         if m[3]:
             (ends if m[2] else starts)[m[3].lower()] += 1
     own = "article" if starts["article"] else "main"
-    no_body = None if not starts[own] else False
-    deep = at = 0
-    stack: list[list] = []  # the open containers that are not content, with tags of their name inside
+    marks = bool(starts[own])
+    stack: list[tuple[str, tuple[str, ...], bool, bool]] = []  # open elements: name, keys, in a listed one, in the body
+    keys: tuple[str, ...] = ()
+    at = 0
+
+    def body() -> bool | None:
+        return (bool(stack) and stack[-1][3]) if marks else None
+
+    def close(i: int) -> tuple[str, ...]:
+        del stack[i:]
+        return tuple(dict.fromkeys(k for s in stack for k in s[1]))
+
     for m in found:
         if m.start() > at:
-            yield "text", page[at : m.start()], bool(stack), deep > 0 or no_body
+            yield "text", page[at : m.start()], keys, body()
         at = m.end()
         if m[1] or not m[3]:
             continue
-        name, closing = m[3].lower(), bool(m[2])
-        if closing:
-            inside = bool(stack)
-            if stack and any(s[0] == name for s in stack):
-                while stack[-1][0] != name:
-                    stack.pop()
-                stack[-1][1] -= 1
-                if not stack[-1][1]:
-                    stack.pop()
-            yield "close", name, inside, deep > 0 or no_body
-            deep -= name == own and not inside and deep > 0
+        name = m[3].lower()
+        if m[2]:
+            yield "close", name, keys, body()
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            keys = keys if i is None else close(i)
             continue
         if name in _BODY:
-            stack = [s for s in stack if ends[s[0]] >= starts[s[0]]]
-        out = name in OUTSIDE or (name not in INLINE and name not in VOID and name not in ("html", "body") and marked(m[4]))
-        if stack and stack[-1][0] == name:
-            stack[-1][1] += 1
-        elif out and name not in VOID:
-            stack.append([name, 1])
-        deep += name == own and not stack
-        yield "open", name, bool(stack), deep > 0 or no_body
+            open_ = next((i for i, s in enumerate(stack) if ends[s[0]] < starts[s[0]] and any(map(listed, s[1]))), None)
+            keys = keys if open_ is None else close(open_)
+        if name in ("p", "li", "a"):
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or (stack[i][0] not in INLINE and stack[i][0] != "p")), None)
+            keys = close(i) if i is not None and stack[i][0] == name else keys
+        if name not in VOID and (name == "a" or name not in INLINE):
+            more = element_keys(name, m[4])
+            aside = (bool(stack) and stack[-1][2]) or any(map(listed, more))
+            stack.append((name, more, aside, (bool(stack) and stack[-1][3]) or (name == own and not aside)))
+            keys = tuple(dict.fromkeys((*keys, *more)))
+        yield "open", name, keys, body()
     if at < len(page):
-        yield "text", page[at:], bool(stack), deep > 0 or no_body
-
-
-def _key(kind: str, text: str, outside: bool, body: bool | None) -> str | None:
-    """What a token is learned and weighed as; tags of a container that is not content weigh nothing."""
-    if kind == "text":
-        return "#word" if not outside else f"#out {body}"
-    return None if outside or text in _BODY else f"<{text} {body}"
+        yield "text", page[at:], keys, body()
 
 
 def count_page(page: str) -> Counter:
-    """Tokens inside and outside the article of one page; empty if it marks none."""
+    """Words, keys of words and tags inside and outside the article of one page; empty if it marks none.
+
+    Text of listed containers within the article counts for neither side.
+    """
     out: Counter = Counter()
-    for kind, text, outside, body in tokens(page):
+    for kind, text, keys, body in tokens(page):
         if body is None:
             return Counter()
-        if (key := _key(kind, text, outside, body)) is not None:
-            out[key, body] += len(text.split()) if kind == "text" else 1
-            if kind != "text":
-                out[f"<{text} None", body] += 1
+        if body and any(map(listed, keys)):
+            continue
+        if kind != "text":
+            out[f"<{text}", body] += text not in _BODY and text not in _PAGE
+            out["#tags", body] += 1
+        elif n := len(text.split()):
+            out["#words", body] += n
+            for key in keys:
+                out[key, body] += n
     return out
 
 
 def learn_weights(pages: DataFrame, max_pages: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weights of words and tags, from at most about ``max_pages`` labelled pages.
+    """Weights of words, kinds, names and tags, from at most about ``max_pages`` labelled pages, chosen by a hash of the html.
 
-    Pages are chosen by a hash of the html. Words are never below 0.2, words in containers that are not
-    content and tags never above 0. Without labelled pages a word weighs 1, one in such a container -2.
+    A word is worth 0.2 to 1: the log odds of a token being a word inside and outside the article. Tags are never above 0.
+    Without labelled pages there are no weights: a word is worth 1, and only listed names weigh.
     """
     labelled = pages.where(F.lower("html").rlike("<(article|main)\\b")).select("html")
     n = labelled.count()
@@ -151,12 +180,32 @@ def learn_weights(pages: DataFrame, max_pages: int = SAMPLE_PAGES) -> dict[str,
         return {"token": [k for k, _ in total], "inside": [i for _, i in total], "n": list(total.values())}
 
     got = map_arrow(labelled, count, "token string, inside boolean, n long").groupBy("token", "inside").agg(F.sum("n").alias("n"))
-    per: dict[str, list[int]] = {}
-    for r in got.collect():  # tag names of the sample
-        per.setdefault(r["token"], [0, 0])[r["inside"]] = r["n"]
-    inside, outside = (sum(v[i] for k, v in per.items() if not k.endswith(" None")) + 1 for i in (1, 0))
-    odds = {k: math.log((v[1] + 0.5) / inside) - math.log((v[0] + 0.5) / outside) for k, v in per.items()}
-    return {k: max(0.2, v) if k == "#word" else min(0.0, v) for k, v in odds.items()}
+    seen: dict[str, list[int]] = {}
+    for r in got.collect():  # names of the sample
+        seen.setdefault(r["token"], [0, 0])[r["inside"]] = r["n"]
+    return weights_of(seen) if seen else {}
+
+
+def weights_of(seen: dict[str, list[int]]) -> dict[str, float]:
+    """Weights from counts (outside, inside) of tokens."""
+    words, tags = seen.get("#words", [0, 0]), seen.get("#tags", [0, 0])
+
+    def odds(n: list[int], total: list[int], prior: int = 0) -> float:
+        return math.log((n[1] + 0.5) / (total[1] + 1)) - math.log((n[0] + prior + 0.5) / (total[0] + prior + 1))
+
+    every = [words[i] + tags[i] for i in (0, 1)]
+    out = {"#word": min(1.0, max(0.2, odds(words, every)))}
+    for key, n in seen.items():
+        if key[0] == "<":
+            out[key] = max(-TAG, min(0.0, odds(n, tags)))
+        elif key[0] != "#":
+            bound = KIND if key[0] == "~" else NAME
+            out[key] = max(-bound, min(bound if key[0] == "~" else bound / 4, odds(n, words, PRIOR * listed(key))))
+    return out
+
+
+def _weight(key: str, weights: dict[str, float]) -> float:
+    return weights.get(key, -NAME if listed(key) else 0.0)
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -174,26 +223,30 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """Main text of one page: blocks joined by a line break."""
     seen = list(tokens(page or ""))
-    word = weights.get("#word", 1.0)
-
-    scores, beyond = [], False  # beyond: words outside the marked element since the last ones in it
-    for kind, text, outside, body in seen:
-        key, n = _key(kind, text, outside, body), len(text.split()) if kind == "text" else 1
-        if key is None:
-            scores.append(0.0)
+    word = weights.get("#word", PLAIN_WORD)
+    worth: dict[tuple[str, ...], tuple[float, float]] = {}  # of the keys around a word: its score, and the sum of the names
+    scores, names, beyond = [], [], False  # beyond: words outside the marked element since the last ones in it
+    for kind, text, keys, body in seen:
+        if keys not in worth:
+            each = [(key[0] != "~", _weight(key, weights)) for key in keys]
+            worth[keys] = word + sum(w for _, w in each), sum(w for name, w in each if name)
+        score, name = worth[keys]
+        n = len(text.split()) if kind == "text" else 0
+        names.append(name if n else 0.0)
+        if body and (name < 0 or kind != "text"):
+            scores.append(0.0)  # passed over: the marked element goes on behind it
         elif kind != "text":
-            scores.append(weights.get(key, -UNSEEN[body] * word))
-        elif outside:
-            # within the marked element a container is passed over, unless labelled pages say otherwise
-            scores.append(weights.get(key, 0.0 if body else weights.get("#out False", -2.0)) * n)
+            scores.append(weights.get(f"<{text}", UNSEEN_TAG) if text not in _BODY else 0.0)
         else:
-            scores.append(word * (n - BORDER * (n > 0 and body is False and not beyond)))
-            beyond = body is False if n else beyond
+            scores.append(score * n - (BORDER * word if n and body is False and not beyond and score > 0 else 0.0))
+            beyond = body is False if n and score > 0 else beyond
     a, b = best_run(scores)
+    content = [i for i in range(a, b) if seen[i][0] == "text" and names[i] >= 0 and seen[i][1].strip()]
     blocks, now = [], []
-    for kind, text, outside, _ in seen[a:b]:
+    for i in range(a, b):
+        kind, text, _, _ = seen[i]
         if kind == "text":
-            if not outside:
+            if names[i] >= 0 or not content or not content[0] < i < content[-1]:
                 now.append(text)
         elif text not in INLINE:
             blocks.append("".join(now))

@@ -286,6 +286,46 @@ def test_html_without_the_article_tags(spark, tiny):
         assert len(seen) == len(list(html_text.tokens(r["html"]))) - 2
 
 
+def learned(pages):
+    seen = {}
+    for page in pages:
+        for (key, inside), n in html_text.count_page(page).items():
+            seen.setdefault(key, [0, 0])[inside] += n
+    return html_text.weights_of(seen)
+
+
+def test_learned_names_decide(spark, tiny, monkeypatch):
+    """Containers of unlisted tags and names: weights learned from pages with an article find the text of pages without one."""
+    real = [r["html"] for r in spark.read.parquet(f"{tiny}/pages.parquet").collect()]
+
+    def renamed(page):
+        page = re.sub(r"<(/?)nav>", lambda m: "</div>" if m[1] else '<div class="zone one">', page)
+        page = re.sub(r'<div class="ad">(.*?)</div>', r"<x-note>\1</x-note>", page, flags=re.DOTALL)
+        return re.sub(r"<(/?)footer>", lambda m: "</div>" if m[1] else '<div id="corge7">', page)
+
+    pages = [renamed(p) for p in real]
+    weights = learned(pages)
+    assert weights[".zone"] < 0 and weights["@x-note"] < 0 and weights[".corge"] < 0
+    bare = [re.sub(r"</?article[^>]*>", "", p) for p in pages]
+    want = [html_text.extract(p, weights) for p in real]
+    got = [html_text.extract(p, weights) for p in bare]
+    assert got == want
+    # neither the weights nor the scan are idle
+    assert sum(html_text.extract(p, {}) != w for p, w in zip(bare, want)) > 0.9 * len(want)
+    monkeypatch.setattr(html_text, "best_run", lambda scores: (0, len(scores)))
+    assert sum(html_text.extract(p, learned(real)) != w for p, w in zip(real, want)) > 0.9 * len(want)
+
+
+def test_names_that_only_look_listed(spark):
+    for weights in ({}, labelled_weights(spark)):
+        for section in ('section class="side effects"', 'section class="share-price"', 'section id="social-history"', 'section id="navier-stokes"', 'div id="menu-of-day"'):
+            page = f"<body>{NAV}<article>{BODY}<{section}><p>these words stay</p></{section.split()[0]}>{BODY}</article>{FOOT}"
+            assert html_text.extract(page, weights) == f"{TEXT}\nthese words stay\n{TEXT}"
+        for section in ('section class="reader comments"', 'div class="share-buttons"', 'div id="ad-slot-7"', 'div role="navigation"', "aside"):
+            page = f"<body>{NAV}<article>{BODY}<{section}><p>these words go</p></{section.split()[0]}>{BODY}</article>{FOOT}"
+            assert html_text.extract(page, weights) == f"{TEXT}\n{TEXT}"
+
+
 def test_best_run():
     rng = random.Random(6)
     for _ in range(200):
@@ -297,7 +337,7 @@ def test_best_run():
 def test_html_operator(spark, tiny):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x")], "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("x"))
     weights = html_text.learn_weights(pages)
-    assert weights["#word"] >= 0.2 and weights["#out False"] < 0
+    assert weights["#word"] >= 0.2 and weights["@nav"] < 0 and weights["<li"] < 0
     got = html_text.main_text(pages, weights).collect()
     assert sorted(len(r["text"]) for r in got)[:2] == [0, 0] and len(got) == 4
     assert html_text.main_text(pages.limit(0), weights).count() == 0
