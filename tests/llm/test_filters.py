@@ -35,6 +35,30 @@ def test_urls(spark, limit):
     assert urls.judge(df, blocked.limit(0)).where("verdict = 'block'").count() == 3
 
 
+@pytest.mark.parametrize("limit", [urls.MAX_LIST_BYTES, 40, 0])
+def test_urls_with_equal_digests(spark, limit):
+    """Digests of three values: only the full strings tell entries apart."""
+    entries = [f"site{i}.test" for i in range(40)] + ["a.site7.test/x"]
+    df = spark.createDataFrame([(i, f"http://{h}") for i, h in enumerate(("site3.test", "www.site39.test/p", "site40.test", "b.site7.test/x", "a.site7.tes", "site.test", "x.y"))], "row_id long, url string")
+    host, path = urls.split_url(F.col("url"))
+    df = df.select("row_id", host.alias("host"), path.alias("path"))
+    blocked = spark.createDataFrame([(e,) for e in entries], "entry string")
+    for digest in (lambda c: F.pmod(F.xxhash64(c), F.lit(3)), lambda c: F.lit(-5).cast("long"), F.xxhash64):
+        got = {r["row_id"]: r["listed"] for r in urls.listed(df, blocked, limit, digest).collect()}
+        assert got == {0: True, 1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 1 << 20])
+def test_long_url_list(spark, limit):
+    """A million entries, in one array and in many ranges; a third of the urls have one host."""
+    blocked = spark.range(1_000_000).select(F.concat(F.lit("h"), F.col("id"), F.lit(".test")).alias("entry"))
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "http://www.h77.test/p").otherwise(F.concat(F.lit("https://h"), F.col("id") + 998_500, F.lit(".test"))).alias("url"))
+    got = urls.judge(rows.withColumnRenamed("id", "page_id"), blocked, rules=(), max_list_bytes=limit)
+    wrong = got.where((F.col("verdict") == "block") != ((F.col("page_id") % 3 == 0) | (F.col("page_id") < 1500)))
+    assert got.count() == 3000 and wrong.count() == 0
+
+
+
 # --- secrets
 
 
