@@ -74,41 +74,48 @@ def _touches(axis: str, half: int, cell: float, pad: Column) -> Column:
     return near & (beside <= F.abs(dx) * room["y"] + F.abs(dy) * room["x"])
 
 
-def leaves(rows: DataFrame, cell: float, tolerance: float = 0.0, pairs: int = PAIRS, halvings: int = HALVINGS) -> DataFrame:
-    """Rows (side, x1, y1, x2, y2, cx, cy, others) with the hash ``cell`` of the leaf of each; a row is repeated for each leaf it touches.
+def _candidates(inside: Column | None = None) -> Column:
+    """Candidate pairs of a group of rows, or of those ``inside``: of sides 0 and 1, and of side 2 with itself."""
 
-    Side 0 is compared with side 1, side 2 with itself. Points, of side 1, reach as far as ``tolerance``.
-    """
-    kept = [c for c in rows.columns if c not in ("cx", "cy")]
-    open_ = checkpoint(rows.select(*kept, F.col("cx").alias("ix"), F.col("cy").alias("iy"), F.lit(0).alias("lx"), F.lit(0).alias("ly")))
-    pad = F.lit(cell * 1e-9) + F.when(F.col("side") == 1, F.lit(tolerance)).otherwise(0.0)
-    done = []
+    def n(side: int) -> Column:
+        here = F.col("side") == side
+        return F.sum((here if inside is None else here & inside).cast("double"))
 
-    def candidates(inside: Column | None = None) -> Column:
-        def n(side: int) -> Column:
-            here = F.col("side") == side
-            return F.sum((here if inside is None else here & inside).cast("double"))
+    return n(0) * n(1) + n(2) * n(2)
 
-        return n(0) * n(1) + n(2) * n(2)
 
+def leaves(rows: DataFrame, cell: float, tolerance: float = 0.0, pairs: int = PAIRS, halvings: int = HALVINGS) -> tuple[DataFrame, bool]:
+    """Rows (side, x1, y1, x2, y2, cx, cy, others) with the hash ``cell`` of the leaf of each, and whether a cell was crowded.
+
+    A row is repeated for each leaf it touches. Side 0 is compared with side 1, side 2 with itself. Points, of side 1, reach as far as ``tolerance``.
+    """
+    kept = [c for c in rows.columns if c not in ("cx", "cy")]
+    open_ = rows.select(*kept, F.col("cx").alias("ix"), F.col("cy").alias("iy"), F.lit(0).alias("lx"), F.lit(0).alias("ly"))
+    pad = F.lit(cell * 1e-9) + F.when(F.col("side") == 1, F.lit(tolerance)).otherwise(0.0)
+    done: list[DataFrame] = []
+    crowded = False
     for _ in range(halvings):
-        halves = {(c, h): _touches(c, h, cell, pad) for c in ("x", "y") for h in (0, 1)}
-        counts = open_.groupBy(*CELL).agg(candidates().alias("n"), *((candidates(halves[c, 0]) + candidates(halves[c, 1])).alias(f"n{c}") for c in ("x", "y")))
-        crowded = counts.where((F.col("n") > pairs) & (F.least("nx", "ny") <= F.col("n") * GAIN)).select(*CELL, F.when(F.col("nx") <= F.col("ny"), "x").otherwise("y").alias("axis"))
-        crowded = checkpoint(crowded)
-        if crowded.isEmpty():
+        full = open_.groupBy(*CELL).agg(_candidates().alias("n")).where(F.col("n") > pairs)
+        if full.isEmpty():
             break
-        met = checkpoint(open_.join(crowded, list(CELL), "left"))
-        done.append(met.where("axis is null").drop("axis"))
+        crowded = True
+        met = checkpoint(open_.join(full, list(CELL), "left"))
+        done.append(met.where("n is null").select(*open_.columns))
+        busy = met.where("n is not null")
+        halves = {(c, h): _touches(c, h, cell, pad) for c in ("x", "y") for h in (0, 1)}
+        gain = busy.groupBy(*CELL).agg(F.max("n").alias("m"), *((_candidates(halves[c, 0]) + _candidates(halves[c, 1])).alias(f"n{c}") for c in ("x", "y")))
+        axis = F.when(F.least("nx", "ny") > F.col("m") * GAIN, None).when(F.col("nx") <= F.col("ny"), "x").otherwise("y")
+        busy = checkpoint(busy.join(gain.select(*CELL, axis.alias("axis")), list(CELL)))
+        done.append(busy.where("axis is null").select(*open_.columns))
         parts = [F.when((F.col("axis") == c) & halves[c, h], F.lit(h)) for c in ("x", "y") for h in (0, 1)]
-        split = met.where("axis is not null").withColumn("half", F.explode(F.filter(F.array(*parts), lambda v: v.isNotNull())))
+        split = busy.where("axis is not null").withColumn("half", F.explode(F.filter(F.array(*parts), lambda v: v.isNotNull())))
         new = {f"i{c}": F.when(F.col("axis") == c, F.col(f"i{c}") * 2 + F.col("half")).otherwise(F.col(f"i{c}")) for c in ("x", "y")}
         new |= {f"l{c}": F.when(F.col("axis") == c, F.col(f"l{c}") + 1).otherwise(F.col(f"l{c}")) for c in ("x", "y")}
-        open_ = checkpoint(split.withColumns(new).drop("axis", "half"))
+        open_ = checkpoint(split.withColumns(new).select(*open_.columns))
     out = open_
     for part in done:
         out = out.unionByName(part)
-    return out.select(*kept, F.xxhash64(*CELL).alias("cell"))
+    return out.select(*kept, F.xxhash64(*CELL).alias("cell")), crowded
 
 
 def points_on_lines(
@@ -124,21 +131,23 @@ def points_on_lines(
         home = F.floor(F.col(f"{c}1") / cell)
         spots = spots.withColumn(f"c{c}", F.explode(F.sequence(home - reach, home + reach)) if reach else home)
     rows = _cells(segs, cell).withColumnRenamed(line_id, "line").withColumn("side", F.lit(0)).unionByName(spots, allowMissingColumns=True)
-    rows = leaves(rows, cell, tolerance)
+    rows, crowded = leaves(rows, cell, tolerance)
+    join = hub_join if crowded else DataFrame.join
     a = rows.where("side = 0").select("cell", "line", "x1", "y1", "x2", "y2")
     b = rows.where("side = 1").select("cell", "point", F.col("x1").alias("px"), F.col("y1").alias("py"))
     hit = G.point_on_segment(*(F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")), tolerance)
-    return hub_join(a, b, "cell").where(hit).select(F.col("line").alias(line_id), F.col("point").alias(point_id)).distinct()
+    return join(a, b, "cell").where(hit).select(F.col("line").alias(line_id), F.col("point").alias(point_id)).distinct()
 
 
 def lines_meeting(lines: DataFrame, cell: float | None = None, line_id: str = "line_id", coords: str = "coords") -> DataFrame:
     """Distinct (src, dst) of different lines that share a point, in both directions."""
     segs = explode_segments(lines, line_id, coords)
     cell = cell or cell_size(segs)
-    rows = leaves(_cells(segs, cell).withColumn("side", F.lit(2)), cell)
+    rows, crowded = leaves(_cells(segs, cell).withColumn("side", F.lit(2)), cell)
+    join = hub_join if crowded else DataFrame.join
     ends = ("x1", "y1", "x2", "y2")
     a = rows.select("cell", F.col(line_id).alias("src"), *(F.col(c).alias(f"a_{c}") for c in ends))
     b = rows.select("cell", F.col(line_id).alias("dst"), *(F.col(c).alias(f"b_{c}") for c in ends))
     meet = G.segments_meet(tuple(F.col(f"a_{c}") for c in ends), tuple(F.col(f"b_{c}") for c in ends))
-    one_way = hub_join(a, b, "cell").where((F.col("src") < F.col("dst")) & meet).select("src", "dst").distinct()
+    one_way = join(a, b, "cell").where((F.col("src") < F.col("dst")) & meet).select("src", "dst").distinct()
     return one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -52,7 +52,8 @@ def test_lines_meeting_in_a_crowded_cell(spark, kind):
 @pytest.mark.parametrize(("kind", "bound"), [("dense", 100), ("hatch", 100)])
 def test_work_per_leaf_is_bounded(spark, kind, bound):
     segs = J.explode_segments(lines_of(spark, made(kind, 2000)))
-    rows = J.leaves(J._cells(segs, 1.0).withColumn("side", F.lit(2)), 1.0, pairs=bound)
+    rows, crowded = J.leaves(J._cells(segs, 1.0).withColumn("side", F.lit(2)), 1.0, pairs=bound)
+    assert crowded and not J.leaves(J._cells(segs, 1.0).withColumn("side", F.lit(2)), 1.0, pairs=10**9)[1]
     per = rows.groupBy("cell").count()
     assert per.agg(F.max("count")).first()[0] ** 2 <= bound * 2  # a leaf that equal places keep whole
     assert rows.count() < 9 * 2000  # whole coordinates touch the cells on both sides
