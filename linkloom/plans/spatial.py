@@ -224,7 +224,7 @@ def road_rotation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layer_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Near and interim tables and a split graph written, and read back by their schemas; rows of each."""
+    """Near and interim tables and a split graph written, and read back by their schemas; the number and a digest of all rows of each."""
     at = f"{C.shared_folder(spark)}/layers-{uuid.uuid4().hex}"
     near = X.near(spark, d).withColumn("objectid", F.col("mh_id")).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in T.NEAR))
     near.write.parquet(f"{at}/near")
@@ -233,9 +233,22 @@ def layer_round_trip(spark: SparkSession, d: str) -> DataFrame:
     T.write_interim(dict(zip(T.INTERIM, (anchors, roads, lines, T.read_near(spark, f"{at}/near"), _near_pairs(spark, d), split), strict=True)), f"{at}/interim")
     tables = T.read_interim(spark, f"{at}/interim")
     T.write_splits(tables["split"].join(tables["anchors"], "mh_id"), f"{at}/graph", ["train", "test"])
-    counts = [tables[n].agg(F.lit(n).alias("name"), F.count("*").alias("n"), X.r6(F.sum(c)).alias("total")) for n, c in (
-        ("anchors", F.col("x")), ("roads", F.col("shape_leng")), ("lines", F.element_at("coords", 2)["y"]), ("near_edges", F.col("near_dist")))]
-    counts += [T.read_split(spark, f"{at}/graph", s).agg(F.lit(s).alias("name"), F.count("*").alias("n"), X.r6(F.sum("y")).alias("total")) for s in ("train", "test")]
+    def rows(df: DataFrame, name: str, *columns: Column) -> DataFrame:
+        text = F.concat_ws("|", *(c.cast("string") for c in columns))
+        digest = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+        return df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum(digest).alias("digest"))
+
+    def whole(c: Column, by: int = 1) -> Column:
+        return F.round(c * by).cast("long")
+
+    end = F.element_at("coords", 2)
+    counts = [
+        rows(tables["anchors"], "anchors", F.col("mh_id"), whole(F.col("x")), whole(F.col("y")), F.col("subtypecd")),
+        rows(tables["roads"], "roads", F.col("fid"), whole(F.col("shape_leng"), 100), F.col("cat"), whole(end["x"]), whole(end["y"])),
+        rows(tables["lines"], "lines", F.col("line_id"), F.coalesce("material", F.lit("")), F.col("seg"), whole(end["x"], 16), whole(end["y"], 16)),
+        rows(tables["near_edges"], "near_edges", F.col("mh_id"), F.col("near_fid"), whole(F.col("near_pos"), 1000), whole(F.col("near_dist"), 10_000), F.col("side")),
+        *(rows(T.read_split(spark, f"{at}/graph", s), s, F.col("mh_id"), whole(F.col("x")), whole(F.col("y"))) for s in ("train", "test")),
+    ]
     out = counts[0]
     for c in counts[1:]:
         out = out.unionByName(c)
@@ -439,6 +452,24 @@ SAMPLE_SQL = f"""WITH {X.VECTORS}, {X.VECTOR_EDGES}, rels AS (SELECT 'link' AS r
 
 QBIN = "CASE WHEN {c} IS NULL THEN NULL ELSE " + " + ".join(f"({{c}} > q[{i}])::INT" for i in range(1, 5)) + " END"
 
+def _round_trip_sql() -> str:
+    def rows(name: str, source: str, *columns: str) -> str:
+        return f"SELECT '{name}' AS name, count(*) AS n, sum(('0x' || substr(md5(concat_ws('|', {', '.join(columns)})), 1, 8))::BIGINT)::BIGINT AS digest FROM {source}"
+
+    def whole(c: str, by: int = 1) -> str:
+        return f"round({c} * {by})::BIGINT"
+
+    parts = [
+        rows("anchors", "anchors", "mh_id", whole("x"), whole("y"), "subtypecd"),
+        rows("roads", "roads", "fid", whole("shape_leng", 100), "cat", whole("x2"), whole("y2")),
+        rows("lines", "lines", "line_id", "coalesce(material, '')", "seg", whole("x2", 16), whole("y2", 16)),
+        rows("near_edges", "near_t", "mh_id", "near_fid", whole("near_pos", 1000), whole("near_dist", 10_000), "side"),
+        *(rows(s, f"(SELECT * FROM s WHERE train = {s == 'train'})", "mh_id", whole("x"), whole("y")) for s in ("train", "test")),
+    ]
+    return f"""WITH {X.ANCHORS}, {X.LINES}, {X.ROADS}, {X.NEAR},
+      s AS (SELECT mh_id, x, y, ('0x' || substr(md5(concat_ws('|', mh_id, '{SEED}')), 1, 12))::BIGINT % 10 < 6 AS train FROM anchors) """ + " UNION ALL ".join(parts)
+
+
 QUERIES = {
     "line_anchor_join": (line_anchor_join, f"{BASE} SELECT * FROM hits"),
     "line_point_counts": (line_point_counts, f"{BASE} SELECT line_id, count(*) AS n_points FROM hits GROUP BY 1 HAVING count(*) >= 2"),
@@ -514,14 +545,7 @@ QUERIES = {
         WHERE least(x1, x2) <= 25 AND greatest(x1, x2) >= 10 AND least(y1, y2) <= 30 AND greatest(y1, y2) >= 5""",
     ),
     "projected_anchors": (projected_anchors, _projection_sql()),
-    "layer_round_trip": (
-        layer_round_trip,
-        f"""WITH {X.ANCHORS}, {X.LINES}, {X.ROADS}, {X.NEAR},
-        s AS (SELECT y, ('0x' || substr(md5(concat_ws('|', mh_id, '{SEED}')), 1, 12))::BIGINT % 10 < 6 AS train FROM anchors)
-        SELECT 'anchors' AS name, count(*) AS n, round(sum(x), 6) + 0.0 AS total FROM anchors UNION ALL SELECT 'roads', count(*), round(sum(shape_leng), 6) + 0.0 FROM roads
-        UNION ALL SELECT 'lines', count(*), round(sum(y2), 6) + 0.0 FROM lines UNION ALL SELECT 'near_edges', count(*), round(sum(near_dist), 6) + 0.0 FROM near_t
-        UNION ALL SELECT CASE WHEN train THEN 'train' ELSE 'test' END, count(*), round(sum(y), 6) + 0.0 FROM s GROUP BY train""",
-    ),
+    "layer_round_trip": (layer_round_trip, _round_trip_sql()),
     "split_node_numbers": (
         split_node_numbers,
         f"{BASE_SPLIT}, {HETERO} SELECT split, 'MH' AS type, old, new FROM mh_map UNION ALL SELECT split, 'Road', old, new FROM road_map",
