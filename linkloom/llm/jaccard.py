@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     class_id is the least doc_id that links lead to, the document's own included; kept marks the
     row with doc_id = class_id. n_links counts the other documents of similarity ``threshold`` or
     more. Null and empty texts link with nothing and form a class each (a null doc_id keeps
-    class_id null). Repeated rows link with each other like copies. Other columns are ignored.
+    class_id null). Texts of any length are compared whole; a pair at the threshold is linked, and of equal texts the
+    least doc_id names the class. Repeated rows link with each other like copies. An empty table gives no rows; other columns are ignored.
     """
     bands, rows = choose_bands(threshold, recall)
     base = docs.select("doc_id", text_id(F.col("text")).alias("tid"), F.coalesce("text", F.lit("")).alias("text"))

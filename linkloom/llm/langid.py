@@ -95,7 +95,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred and score (the posterior of lang_pred) of every row.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned. Ties go to
-    the first language by code point. Repeated rows give repeated results; other columns are ignored.
+    the first language by code point. Texts of any length are read whole. Repeated rows give repeated results, an empty
+    table none; other columns are ignored, those named like a result too.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -89,8 +89,9 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and ``found`` (array of start, end, kind) of every row.
 
-    A null text counts as empty. Spans of one kind don't overlap; those of different kinds may.
-    Repeated rows give repeated results; other columns are ignored.
+    A null text counts as empty; texts of any length are read whole. Spans of one kind don't overlap, those of different
+    kinds may; of spans that begin together the kind listed first comes first. Repeated rows give repeated results, an
+    empty table none; other columns are ignored.
     """
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -236,8 +236,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT, shard_wo
     """doc_id, n_words, n_removed and kept_sha256 of every row.
 
     A null text has no words; texts shorter than the window lose nothing. Repeated rows and
-    copies count as other places, so all their windows go. An empty table gives no rows; other
-    columns are ignored. ``width`` is 8 to 60.
+    copies count as other places, so all their windows go, and no place of a repeated window is spared, the first included.
+    Texts and words of any length are read whole. An empty table gives no rows; other columns are ignored. ``width`` is 8 to 60.
     """
     rows = docs.select("doc_id", text_id(F.col("text")).alias("tid"), F.coalesce("text", F.lit("")).alias("text"))
     # every use keeps all three columns, so that the one shuffle of texts serves them all

@@ -134,6 +134,50 @@ def test_language(spark):
     assert langid.predict(empty(odd_docs(spark)), model).count() == 0
 
 
+def plain_grams(t, bits=langid.BITS):
+    """Buckets of the 2- and 3-grams of one text, a character at a time."""
+    low = (t or "").lower()
+    s = " " + " ".join("".join(c if c.isalpha() else " " for c in low).split()) + " "
+    if not s.strip():
+        return []
+    full = (1 << 64) - 1
+
+    def bucket(h):
+        return ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 & full) >> (64 - bits)
+
+    c = [ord(x) for x in s]
+    two = [(a * 0x9E3779B1 + b * 0x85EBCA77) & full for a, b in zip(c, c[1:])]
+    three = [(two[i] + c[i + 2] * 0xC2B2AE3D27D4EB4F + 17) & full for i in range(len(c) - 2)]
+    return [bucket(h) for h in two] + [bucket(h) for i, h in enumerate(three) if c[i + 1] != 32]
+
+
+def test_language_equals_plain_bayes(spark, tiny):
+    """Counts, log probabilities and posteriors of plain multinomial naive Bayes."""
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{tiny}/documents.parquet").limit(60).collect()]
+    docs += [(1000, None, "en"), (1001, "42 !", "fr"), (1002, "Ärger-über ÉTÉ", None), (1003, "", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    counts = {}
+    for _, t, lang in docs:
+        if t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(plain_grams(t))
+    langs, size = sorted(counts), 1 << langid.BITS
+    assert model[0] == langs
+    logs = {k: {b: math.log((n + 0.5) / (sum(c.values()) + 0.5 * size)) for b, n in c.items()} for k, c in counts.items()}
+    rest = {k: math.log(0.5 / (sum(c.values()) + 0.5 * size)) for k, c in counts.items()}
+    got = {r["doc_id"]: r for r in langid.predict(df, model).collect()}
+    for i, t, _ in docs:
+        grams = plain_grams(t)
+        if not grams:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        total = {k: sum(logs[k].get(b, rest[k]) for b in grams) for k in langs}
+        best = max(langs, key=lambda k: total[k])
+        post = 1 / sum(math.exp(min(700, v - total[best])) for v in total.values())
+        assert got[i]["score"] == pytest.approx(post, abs=1e-2)
+        assert got[i]["lang_pred"] == best or post < 0.51
+
+
 def test_training_is_bounded_and_held_out_accuracy_is_high(spark, tiny):
     docs = spark.read.parquet(tiny.replace("0.001", "0.01") + "/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
