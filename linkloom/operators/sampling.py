@@ -50,14 +50,14 @@ def negative_edges(
 
     Ordered pairs without self-loops; with ``directed`` only the stored direction of a positive is
     excluded. Draws are taken by their number, and the round of draws grows until there are
-    enough. A dense graph enumerates its complement by number instead. Fewer rows come back
-    only if the complement is smaller.
+    enough. A dense graph, where a quarter of the non-edges or more is wanted, numbers its complement in seeded order instead,
+    which is another sample than draws would give. Fewer rows come back only if the complement is smaller.
     """
     spark = positive.sparkSession
     taken = positive.select("src", "dst")
     if not directed:
         taken = taken.unionByName(taken.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    taken = taken.where("src <> dst").distinct()
+    taken = checkpoint(taken.where("src <> dst").distinct())  # read by every round of draws
     count = positive.count() if count is None else count
     pairs = n_nodes * (n_nodes - 1)
     free = pairs - taken.count()
