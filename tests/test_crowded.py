@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from linkloom.operators import spatial_join as J
@@ -24,45 +23,50 @@ def lines_of(spark, segs):
     return spark.createDataFrame([(i, [p, q]) for i, (p, q) in enumerate(segs)], "line_id long, coords array<struct<x:double,y:double>>")
 
 
-def made(kind, n=600, seed=1):
-    """Half of the segments far apart, with a length near 1; the others crowd into one unit cell."""
+def made(kind, n, at=64, seed=1):
+    """Segments that crowd into the unit cell at (``at``, ``at``)."""
     rng = random.Random(seed)
-    out = [((float(10 * i), 5.0), (10.0 * i + 1, 6.0)) for i in range(n // 2)]
-    for i in range(n // 2):
-        x, y = 64 + rng.randrange(1024) / 1024, 64 + rng.randrange(1024) / 1024
+    out = []
+    for _ in range(n):
+        x, y = at + rng.randrange(1024) / 1024, at + rng.randrange(1024) / 1024
         if kind == "dense":
             out.append(((x, y), (x + rng.randrange(-8, 9) / 512, y + rng.randrange(-8, 9) / 512)))
         elif kind == "hatch":
-            out.append(((x, 64.0), (x, 65.0)))
+            out.append(((x, float(at)), (x, at + 1.0)))
         elif kind == "star":
-            out.append(((64.5, 64.5), (x, y)))
+            out.append(((at + 0.5, at + 0.5), (x, y)))
         else:
-            out.append(((64.25, 64.25), (64.75, 64.5)))
+            out.append(((at + 0.25, at + 0.25), (at + 0.75, at + 0.5)))
     return out
 
 
-@pytest.mark.parametrize("kind", ["dense", "hatch", "star", "equal"])
-def test_lines_meeting_in_a_crowded_cell(spark, kind):
-    segs = made(kind)
+def apart(n):
+    return [((float(10 * i), 5.0), (10.0 * i + 1, 6.0)) for i in range(n)]
+
+
+def test_lines_meeting_in_crowded_cells(spark):
+    """Half of all segments in four cells: short ones, parallels, a star, and equal ones."""
+    segs = apart(800) + [s for i, kind in enumerate(("dense", "hatch", "star", "equal")) for s in made(kind, 200, 64 + 20 * i)]
     got = {tuple(r) for r in J.lines_meeting(lines_of(spark, segs), cell=1.0).collect()}
     want = {(i, j) for i in range(len(segs)) for j in range(len(segs)) if i != j and meet(segs[i], segs[j])}
     assert got == want
 
 
-@pytest.mark.parametrize(("kind", "bound"), [("dense", 100), ("hatch", 100)])
-def test_work_per_leaf_is_bounded(spark, kind, bound):
-    segs = J.explode_segments(lines_of(spark, made(kind, 2000)))
-    rows, crowded = J.leaves(J._cells(segs, 1.0).withColumn("side", F.lit(2)), 1.0, pairs=bound)
-    assert crowded and not J.leaves(J._cells(segs, 1.0).withColumn("side", F.lit(2)), 1.0, pairs=10**9)[1]
-    per = rows.groupBy("cell").count()
-    assert per.agg(F.max("count")).first()[0] ** 2 <= bound * 2  # a leaf that equal places keep whole
-    assert rows.count() < 9 * 2000  # whole coordinates touch the cells on both sides
+def test_work_per_leaf_is_bounded(spark):
+    """Half of all segments in one cell, and as many again in parallels."""
+    segs = J.explode_segments(lines_of(spark, apart(1000) + made("dense", 1000) + made("hatch", 1000, 90)))
+    rows = J._cells(segs, 1.0).withColumn("side", F.lit(2))
+    assert not J.leaves(rows, 1.0, pairs=10**9)[1]
+    cut, crowded = J.leaves(rows, 1.0, pairs=144)
+    per = cut.groupBy("cell").count().cache()
+    assert crowded and per.agg(F.max("count")).first()[0] ** 2 <= 2 * 144  # equal places keep a leaf whole
+    assert per.agg(F.sum("count")).first()[0] < 9 * 3000  # whole coordinates touch the cells on both sides
 
 
 def test_points_in_a_crowded_cell(spark):
     rng = random.Random(3)
-    segs = made("dense", 800)
-    points = [(64 + rng.randrange(512) / 512, 64 + rng.randrange(512) / 512) for _ in range(1500)] + [s[i] for s in segs[::3] for i in (0, 1)] + [(65.0, 65.0), (64.5, 64.5)]
+    segs = apart(400) + made("dense", 400)
+    points = [(64 + rng.randrange(512) / 512, 64 + rng.randrange(512) / 512) for _ in range(700)] + [s[i] for s in segs[::3] for i in (0, 1)] + [(65.0, 65.0), (64.5, 64.5)]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "mh_id long, x double, y double")
 
     def on(p, s, tolerance):
