@@ -63,6 +63,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 _BODY = frozenset(("article", "main"))
+#: Tags whose end tag may be left out before the next of their kind, and links.
+SIBLINGS = frozenset("p li a td th tr dt dd".split())
 _PAGE = frozenset(("html", "body"))
 
 
@@ -91,7 +93,7 @@ def element_keys(name: str, attributes: str) -> tuple[str, ...]:
 def tokens(page: str):
     """(kind, name or text, keys, body): kinds are text, open and close, in page order; keys are those of all open elements.
 
-    An end tag closes all elements opened since its start tag; ``<p>``, ``<li>`` and ``<a>`` close the one before. A listed container
+    An end tag closes all elements opened since its start tag; a paragraph, item, cell or link closes the one before. A listed container
     whose name has fewer end tags than start tags on the page ends where an article begins as well. ``body`` is true within
     ``<article>``, or ``<main>`` on a page without one, that is in no listed container; None on a page without either.
     """
@@ -102,43 +104,48 @@ def tokens(page: str):
             (ends if m[2] else starts)[m[3].lower()] += 1
     own = "article" if starts["article"] else "main"
     marks = bool(starts[own])
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = []  # open elements: name, keys, in a listed one, in the body
-    keys: tuple[str, ...] = ()
+    stack: list[tuple[str, tuple[str, ...], bool, bool]] = []  # open elements: name, keys so far, in a listed one, in the body
+    opened: Counter = Counter()  # names in the stack
     at = 0
 
     def body() -> bool | None:
         return (bool(stack) and stack[-1][3]) if marks else None
 
-    def close(i: int) -> tuple[str, ...]:
+    def keys() -> tuple[str, ...]:
+        return stack[-1][1] if stack else ()
+
+    def close(i: int) -> None:
+        opened.subtract(s[0] for s in stack[i:])
         del stack[i:]
-        return tuple(dict.fromkeys(k for s in stack for k in s[1]))
 
     for m in found:
         if m.start() > at:
-            yield "text", page[at : m.start()], keys, body()
+            yield "text", page[at : m.start()], keys(), body()
         at = m.end()
         if m[1] or not m[3]:
             continue
         name = m[3].lower()
         if m[2]:
-            yield "close", name, keys, body()
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            keys = keys if i is None else close(i)
+            yield "close", name, keys(), body()
+            if opened[name] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in _BODY:
-            open_ = next((i for i, s in enumerate(stack) if ends[s[0]] < starts[s[0]] and any(map(listed, s[1]))), None)
-            keys = keys if open_ is None else close(open_)
-        if name in ("p", "li", "a"):
-            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or (stack[i][0] not in INLINE and stack[i][0] != "p")), None)
-            keys = close(i) if i is not None and stack[i][0] == name else keys
+            i = next((i for i, s in enumerate(stack) if s[2] and ends[s[0]] < starts[s[0]]), None)
+            if i is not None:
+                close(i)
+        if name in SIBLINGS and opened[name] > 0:
+            i = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or (stack[i][0] not in INLINE and stack[i][0] != "p"))
+            if stack[i][0] == name:
+                close(i)
         if name not in VOID and (name == "a" or name not in INLINE):
             more = element_keys(name, m[4])
             aside = (bool(stack) and stack[-1][2]) or any(map(listed, more))
-            stack.append((name, more, aside, (bool(stack) and stack[-1][3]) or (name == own and not aside)))
-            keys = tuple(dict.fromkeys((*keys, *more)))
-        yield "open", name, keys, body()
+            stack.append((name, tuple(dict.fromkeys((*keys(), *more))), aside, (bool(stack) and stack[-1][3]) or (name == own and not aside)))
+            opened[name] += 1
+        yield "open", name, keys(), body()
     if at < len(page):
-        yield "text", page[at:], keys, body()
+        yield "text", page[at:], keys(), body()
 
 
 def count_page(page: str) -> Counter:

@@ -394,6 +394,16 @@ def test_names_that_only_look_listed(spark):
             assert html_text.extract(page, weights) == f"{TEXT}\n{TEXT}"
 
 
+def test_long_pages_without_end_tags():
+    """Time in proportion to the page, however many elements stay open."""
+    import time
+
+    cells = "<table>" + "".join(f"<tr><td>cell {i} <b>bold</b><div>deep" for i in range(30_000))
+    began = time.process_time()
+    assert html_text.extract(cells, {}).count("bold") == 30_000
+    assert time.process_time() - began < 20
+
+
 def test_best_run():
     rng = random.Random(6)
     for _ in range(200):
