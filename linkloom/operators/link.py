@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.encode import bce_with_logits, dot, hard_decision
+from linkloom.operators.skew import hub_join
 
 
 def with_ends(edges: DataFrame, nodes: DataFrame, vector: str = "h") -> DataFrame:
-    """Edges with the vectors of both ends as ``a`` and ``b``; edges without a vector are left out."""
+    """Edges with the vectors of both ends as ``a`` and ``b``; edges without a vector are left out. Hubs are met in slices."""
     a = nodes.select(F.col("id").alias("src"), F.col(vector).alias("a"))
     b = nodes.select(F.col("id").alias("dst"), F.col(vector).alias("b"))
-    return edges.join(a, "src").join(b, "dst")
+    return hub_join(hub_join(edges, a, "src"), b, "dst", counted=edges)
 
 
 def score_links(edges: DataFrame, nodes: DataFrame, vector: str = "h", threshold: float = 0.5) -> DataFrame:

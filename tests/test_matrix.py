@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import encode as E
 from linkloom.operators import components as C
+from linkloom.operators import link as L
 from linkloom.operators import matrix as M
 from linkloom.operators import propagate as N
 from linkloom.operators import skew
@@ -116,6 +117,17 @@ def test_hub_join_equals_join(spark):
     assert len(spread) > 1
 
 
+def test_link_scores_at_a_hub(spark, monkeypatch):
+    """A third of all edges end at one node: the scores are those of a plain join."""
+    rng = np.random.default_rng(6)
+    h = rng.normal(size=(40, 5))
+    edges = [(int(a), 3 if rng.random() < 1 / 3 else int(b)) for a, b in rng.integers(0, 40, (900, 2))]
+    e = spark.createDataFrame([(i, a, b, float(a % 2)) for i, (a, b) in enumerate(edges)], "edge long, src long, dst long, label double")
+    monkeypatch.setattr(L, "hub_join", lambda *a, **k: skew.hub_join(*a, **(k | {"least": 60})))
+    got = {r["edge"]: r["score"] for r in L.score_links(e, vectors(spark, h)).collect()}
+    assert len(got) == 900 and all(got[i] == pytest.approx(h[a] @ h[b]) for i, (a, b) in enumerate(edges))
+
+
 def test_forest_of_many_shapes(spark, parts):
     rng = np.random.default_rng(4)
     n = 2000
