@@ -127,11 +127,11 @@ def merge_softmax(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[order][cut], np.c_[top, np.add.reduceat(x[:, 1:] * scale[:, None], cut, axis=0)]
 
 
-def merged(df: DataFrame, key: str, vector: str, dims: int, merge: Callable = merge_sums, name: str = "v", held: int = HELD) -> DataFrame:
+def merged(df: DataFrame, key: str, vector: str, dims: int, merge: Callable = merge_sums, name: str = "v", held: int = HELD, partitions: int | None = None) -> DataFrame:
     """(key, name): the states ``vector`` of each key merged into one. Rows with a null key or vector are left out.
 
     Tasks merge before and after the shuffle by key; afterwards keys come sorted, so only one open
-    key is held. ``key`` is a number or text.
+    key is held. ``key`` is a number or text. ``partitions`` is for few keys.
     """
     schema = T.StructType([df.schema[key], T.StructField(name, VECTOR)])
     arrow = to_arrow_schema(schema)
@@ -175,7 +175,9 @@ def merged(df: DataFrame, key: str, vector: str, dims: int, merge: Callable = me
             yield from batch_of(*open_)
 
     rows = df.where(F.col(key).isNotNull()).select(key, F.col(vector).alias(name))
-    return rows.mapInArrow(before, schema).repartition(key).sortWithinPartitions(key).mapInArrow(after, schema)
+    dealt = rows.mapInArrow(before, schema)
+    dealt = dealt.repartition(key) if partitions is None else dealt.repartition(partitions, key)
+    return dealt.sortWithinPartitions(key).mapInArrow(after, schema)
 
 
 def vector_sums(df: DataFrame, key: str, vector: str, dims: int, name: str = "v") -> DataFrame:

@@ -73,7 +73,7 @@ def _epoch(rows: DataFrame, dims: int, layer: np.ndarray, w: np.ndarray, dropout
         return {"state": np.c_[losses(z, label), np.ones(len(z)), h * slope[:, None]]}
 
     out = map_vectors(rows, ["phase"], {"row": dims + 3}, {"state": VECTOR}, step, (layer, w))
-    return {r["phase"]: np.array(r["v"]) for r in merged(out, "phase", "state", len(w) + 2).collect()}  # two rows
+    return {r["phase"]: np.array(r["v"]) for r in merged(out, "phase", "state", len(w) + 2, partitions=2).collect()}  # two rows
 
 
 def fit(
