@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import geometry as G
 from linkloom.operators.components import checkpoint
-from linkloom.operators.skew import hub_join
+from linkloom.operators.skew import hub_join, shuffled_join
 
 CELLS_PER_CUT = 8
 #: Candidate pairs in a cell that isn't halved any more, halvings at most, and the share of pairs that a halving must leave at most.
@@ -26,10 +26,10 @@ CELL = ("ix", "iy", "lx", "ly")
 
 def explode_segments(lines: DataFrame, line_id: str = "line_id", coords: str = "coords") -> DataFrame:
     """(line_id, x1, y1, x2, y2) of every segment; a line of one point is a segment without length."""
-    segs = G.segments(F.col(coords))
-    alone = F.when(F.size(coords) == 1, F.array(F.struct(F.col(coords)[0].alias("p"), F.col(coords)[0].alias("q"))))
-    out = lines.select(F.col(line_id), F.explode(F.coalesce(alone, segs)).alias("s"))
-    return out.select(line_id, *(F.col(f"s.{e}.{c}").alias(f"{c}{i}") for i, e in ((1, "p"), (2, "q")) for c in ("x", "y")))
+    n, i = F.size(coords), F.col("__i")
+    out = lines.where(n > 0).select(F.col(line_id), F.col(coords).alias("__c"), F.explode(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).alias("__i"))
+    ends = ((1, F.get("__c", i)), (2, F.get("__c", F.least(i + 1, F.size("__c") - 1))))
+    return out.select(line_id, *(p[c].alias(f"{c}{k}") for k, p in ends for c in ("x", "y")))
 
 
 def cell_size(segs: DataFrame) -> float:
@@ -40,22 +40,26 @@ def cell_size(segs: DataFrame) -> float:
 
 
 def _cells(segs: DataFrame, cell: float) -> DataFrame:
-    """One row per segment and cell covered by the boxes of its cuts, made row by row without a shuffle."""
+    """One row per segment and cell covered by the boxes of its cuts, made row by row without a shuffle.
+
+    The ranges are exploded one after the other, which is compiled, where nested arrays of cells aren't. A cut is half of ``CELLS_PER_CUT``
+    cells long at least, so it shares cells only with the cut before it; those are left out.
+    """
     reach = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
     cuts = F.greatest(F.ceil(reach / (cell * CELLS_PER_CUT)).cast("int"), F.lit(1))
     pad = cell * 1e-9  # rounding of a cut's ends
 
-    def span(c: str, k: Column) -> Column:
+    def span(c: str, k: Column) -> tuple[Column, Column]:
         a, b = F.col(f"{c}1"), F.col(f"{c}2")
         p, q = a + (b - a) * k / F.col("cuts"), a + (b - a) * (k + 1) / F.col("cuts")
-        return F.sequence(F.floor((F.least(p, q) - pad) / cell), F.floor((F.greatest(p, q) + pad) / cell))
+        return F.floor((F.least(p, q) - pad) / cell), F.floor((F.greatest(p, q) + pad) / cell)
 
-    def box(k: Column) -> Column:
-        return F.flatten(F.transform(span("x", k), lambda i: F.transform(span("y", k), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
-
-    out = segs.withColumn("cuts", cuts)
-    cells = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), box)))
-    return out.withColumn("cell", F.explode(cells)).select(*segs.columns, "cell.cx", "cell.cy")
+    k = F.col("cut")
+    out = segs.withColumn("cuts", cuts).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    for c in ("x", "y"):
+        out = out.withColumn(f"c{c}", F.explode(F.sequence(*span(c, k))))
+    before = F.col("cx").between(*span("x", k - 1)) & F.col("cy").between(*span("y", k - 1))
+    return out.where((k == 0) | ~before).select(*segs.columns, "cx", "cy")
 
 
 def _touches(axis: str, half: int, cell: float, pad: Column) -> Column:
@@ -132,7 +136,7 @@ def points_on_lines(
         spots = spots.withColumn(f"c{c}", F.explode(F.sequence(home - reach, home + reach)) if reach else home)
     rows = _cells(segs, cell).withColumnRenamed(line_id, "line").withColumn("side", F.lit(0)).unionByName(spots, allowMissingColumns=True)
     rows, crowded = leaves(rows, cell, tolerance)
-    join = hub_join if crowded else DataFrame.join
+    join = hub_join if crowded else shuffled_join
     a = rows.where("side = 0").select("cell", "line", "x1", "y1", "x2", "y2")
     b = rows.where("side = 1").select("cell", "point", F.col("x1").alias("px"), F.col("y1").alias("py"))
     hit = G.point_on_segment(*(F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")), tolerance)
@@ -144,7 +148,7 @@ def lines_meeting(lines: DataFrame, cell: float | None = None, line_id: str = "l
     segs = explode_segments(lines, line_id, coords)
     cell = cell or cell_size(segs)
     rows, crowded = leaves(_cells(segs, cell).withColumn("side", F.lit(2)), cell)
-    join = hub_join if crowded else DataFrame.join
+    join = hub_join if crowded else shuffled_join
     ends = ("x1", "y1", "x2", "y2")
     a = rows.select("cell", F.col(line_id).alias("src"), *(F.col(c).alias(f"a_{c}") for c in ends))
     b = rows.select("cell", F.col(line_id).alias("dst"), *(F.col(c).alias(f"b_{c}") for c in ends))

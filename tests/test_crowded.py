@@ -1,10 +1,12 @@
 """Spatial joins where one cell holds half of all segments, against brute force."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from linkloom.operators import spatial_join as J
+from linkloom.plans import fixtures as X
 
 
 def meet(a, b):
@@ -79,3 +81,32 @@ def test_points_in_a_crowded_cell(spark):
     assert {tuple(r) for r in J.points_on_lines(lines_of(spark, segs), df, cell=1.0).collect()} == exact and len(exact) > 200
     near = {tuple(r) for r in J.points_on_lines(lines_of(spark, segs), df, cell=1.0, tolerance=0.01).collect()}
     assert near >= {(i, j) for i, s in enumerate(segs) for j, p in enumerate(points) if on(p, s, 0.0099)}
+
+
+def test_spatial_joins_broadcast_no_side(spark, tiny):
+    """Files of a few bytes explode into cells: neither side may pass through the driver."""
+    lines, points = X.lines(spark, tiny), X.anchors(spark, tiny)
+    for df in (J.lines_meeting(lines, cell=1.0), J.points_on_lines(lines, points, cell=1.0)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_cells_of_a_cut_segment_come_once(spark):
+    rng = random.Random(5)
+    segs = [tuple((rng.randrange(-400, 400) / 4, rng.randrange(-400, 400) / 4) for _ in range(2)) for _ in range(60)] + [((0.0, 0.0), (90.0, 0.0)), ((3.0, 80.0), (3.0, 3.0))]
+    got = [tuple(r) for r in J._cells(J.explode_segments(lines_of(spark, segs)), 1.0).select("line_id", "cx", "cy").collect()]
+    want = set()
+    for i, (p, q) in enumerate(segs):
+        cuts = max(1, math.ceil(max(abs(q[0] - p[0]), abs(q[1] - p[1])) / J.CELLS_PER_CUT))
+        for k in range(cuts):
+            a, b = (tuple(p[j] + (q[j] - p[j]) * n / cuts for j in (0, 1)) for n in (k, k + 1))
+            x, y = (range(math.floor(min(a[j], b[j]) - 1e-9), math.floor(max(a[j], b[j]) + 1e-9) + 1) for j in (0, 1))
+            want |= {(i, cx, cy) for cx in x for cy in y}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_segments_of_short_and_empty_lines(spark):
+    rows = [(1, [(0.0, 1.0), (2.0, 3.0), (4.0, 5.0)]), (2, [(7.0, 8.0)]), (3, []), (4, None), (5, [(1.0, 1.0), None])]
+    df = spark.createDataFrame(rows, "line_id long, coords array<struct<x:double,y:double>>")
+    got = {tuple(r) for r in J.explode_segments(df).collect()}
+    assert got == {(1, 0.0, 1.0, 2.0, 3.0), (1, 2.0, 3.0, 4.0, 5.0), (2, 7.0, 8.0, 7.0, 8.0), (5, 1.0, 1.0, None, None)}
