@@ -50,6 +50,11 @@ def from_matrix(x: np.ndarray, ok: np.ndarray | None = None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x[ok], np.float64).ravel()), mask=None if ok.all() else pa.array(~ok))
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """The rows dealt out to tasks of about ``rows`` each: a file of few bytes is one task, whatever is to be done for each of its rows."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def map_vectors(
     df: DataFrame, keep: Sequence[str], inputs: Mapping[str, int], outputs: Mapping[str, T.DataType], fn: Callable[..., Mapping[str, np.ndarray]], params: object = None
 ) -> DataFrame:

@@ -82,9 +82,14 @@ DENSE_SQL = f"""WITH {X.VECTORS}, e AS (SELECT id, {_unnest([f"greatest({_lin(i,
   SELECT id, s.pos AS pos, round(s.v, 6) + 0.0 AS value FROM e"""
 
 
+#: Anchors of a task, each of which gives 256 rows.
+WIDE_ROWS = 4_000
+
+
 def wide_layers(spark: SparkSession, d: str) -> DataFrame:
     """The position encoding of every anchor (96 numbers) through two layers of 256."""
-    e = N.from_centre(X.anchors(spark, d)).select("mh_id", E.position_encoding(F.col("x"), F.col("y"), E.frequencies(16, 1.0, 100.0)).alias("e"))
+    a = K.spread(N.from_centre(X.anchors(spark, d)).select("mh_id", "x", "y"), WIDE_ROWS)
+    e = a.select("mh_id", E.position_encoding(F.col("x"), F.col("y"), E.frequencies(16, 1.0, 100.0)).alias("e"))
     out = K.dense_stack(e, ["mh_id"], "e", [(X.weights(256, 96), [0.05] * 256, True), (X.weights(256, 256), None, False)])
     return _cells(out, "mh_id", F.col("h"))
 

@@ -11,6 +11,7 @@ from linkloom.operators import matrix as M
 from linkloom.operators import propagate as N
 from linkloom.operators import skew
 from linkloom.plans import fixtures as X
+from linkloom.plans import learning
 
 
 def vectors(spark, x, keys=None):
@@ -159,3 +160,11 @@ def test_components_through_hubs(spark, monkeypatch):
     got = dict(map(tuple, C.components(spark.createDataFrame(edges, "u long, v long").repartition(8)).collect()))
     want = {5000: 1000} | {i: 1000 for i in range(1000, 1600)} | {i: 2000 for i in range(2000, 2301)} | {i: i for i in range(100)} | {i + 10_000: i for i in range(100)}
     assert got == want
+
+
+def test_anchors_of_wide_layers_are_dealt_to_tasks(spark, tiny, monkeypatch):
+    """A file of a few bytes is one task when read; each of its rows becomes 256."""
+    monkeypatch.setattr(learning, "WIDE_ROWS", 20, raising=False)
+    n = X.anchors(spark, tiny).count()
+    out = learning.wide_layers(spark, tiny)
+    assert out.rdd.getNumPartitions() == -(-n // 20) > 1 and out.count() == 256 * n
