@@ -8,15 +8,18 @@ reach the driver. Three rows of a setting are appended as soon as it ends; a lat
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as KINDS
 
 from linkloom.operators.components import checkpoint
-from linkloom.operators.matrix import NUMBER, VECTOR, map_vectors, merged
+from linkloom.operators.matrix import HELD, NUMBER, VECTOR, from_matrix, map_vectors, merged, to_matrix
 from linkloom.operators.metrics import METRICS, binary_metrics
 from linkloom.sources import tables as T
 
@@ -59,20 +62,43 @@ def losses(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(z, 0.0) - z * y + np.log1p(np.exp(-np.abs(z)))
 
 
-def _epoch(rows: DataFrame, dims: int, layer: np.ndarray, w: np.ndarray, dropout: float, seed: int, epoch: int) -> dict[str, np.ndarray]:
-    """Per phase: sum of losses, rows, and (in training) the sum of gradients."""
+def epoch_states(rows: DataFrame, dims: int, layer: np.ndarray, w: np.ndarray, dropout: float, seed: int, epoch: int) -> DataFrame:
+    """(phase, state): one row per task and phase with the sum of losses, the rows, and (in training) the sum of gradients.
 
-    def step(params: tuple, x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        layer, w = params
-        data = x["row"]
+    A row's losses and gradient are summed where they are computed, and never leave the task.
+    """
+    schema = KINDS.StructType([KINDS.StructField("phase", KINDS.StringType()), KINDS.StructField("state", VECTOR)])
+    sent = rows.sparkSession.sparkContext.broadcast((layer, w))
+    at_once = max(1, HELD // max(dims + 3, len(w) + 2))
+
+    def summed(data: np.ndarray) -> np.ndarray:
+        layer, w = sent.value
         keys, label, train, h = data[:, 0], data[:, 1], data[:, 2] > 0, units(data[:, 3:], layer)
         if dropout > 0:
             h = np.where(train[:, None], h * hidden_by_dropout(keys, len(layer), dropout, seed, epoch), h)
         z = h @ w
         slope = np.where(train, 1 / (1 + np.exp(-z.clip(-500, 500))) - label, 0.0)
-        return {"state": np.c_[losses(z, label), np.ones(len(z)), h * slope[:, None]]}
+        return np.r_[losses(z, label).sum(), len(z), slope @ h]
 
-    out = map_vectors(rows, ["phase"], {"row": dims + 3}, {"state": VECTOR}, step, (layer, w))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                data, ok = to_matrix(part["row"], dims + 3)
+                for phase in pc.unique(part["phase"]).drop_null().to_pylist():
+                    here = ok & pc.fill_null(pc.equal(part["phase"], phase), False).to_numpy(zero_copy_only=False)
+                    if here.any():
+                        total[phase] = total.get(phase, 0.0) + summed(data[here])
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), from_matrix(np.array(list(total.values())))], names=schema.names)
+
+    return rows.select("phase", "row").mapInArrow(run, schema)
+
+
+def _epoch(rows: DataFrame, dims: int, layer: np.ndarray, w: np.ndarray, dropout: float, seed: int, epoch: int) -> dict[str, np.ndarray]:
+    """Per phase: sum of losses, rows, and (in training) the sum of gradients."""
+    out = epoch_states(rows, dims, layer, w, dropout, seed, epoch)
     return {r["phase"]: np.array(r["v"]) for r in merged(out, "phase", "state", len(w) + 2, partitions=2).collect()}  # two rows
 
 

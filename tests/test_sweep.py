@@ -96,3 +96,20 @@ def test_nothing_to_fit(spark, tmp_path):
     grid = spark.createDataFrame([(4, 0.0)], "size int, dropout double")
     with pytest.raises(ValueError, match="needed"):
         W.sweep(df.where(F.col("phase") == "Testing"), 4, grid, str(tmp_path / "log"))
+
+
+def test_an_epoch_sends_one_row_per_task_and_phase(spark):
+    df, x, y, phase = data(spark, n=600)
+    train = (F.col("phase") == "Training").cast("double")
+    row = F.concat(F.array(F.col("key").cast("double"), "label", train), "features")
+    rows = df.select("phase", row.alias("row")).unionByName(spark.createDataFrame([(None, [0.0] * 7), ("Training", None)], "phase string, row array<double>")).repartition(3)
+    layer, w = W.first_layer(8, 4, 1), np.linspace(-1, 1, 9)
+    got = W.epoch_states(rows, 4, layer, w, 0.25, 1, 2).collect()
+    assert len(got) <= 3 * 3 and {r["phase"] for r in got} == set(W.PHASES)
+    h, t = W.units(x, layer), phase == "Training"
+    h[t] *= W.hidden_by_dropout(np.flatnonzero(t), 8, 0.25, 1, 2)
+    for name in W.PHASES:
+        at = phase == name
+        state = np.sum([r["state"] for r in got if r["phase"] == name], axis=0)
+        slope = (1 / (1 + np.exp(-(h[at] @ w))) - y[at]) * (name == "Training")
+        assert np.allclose(state, np.r_[W.losses(h[at] @ w, y[at]).sum(), at.sum(), slope @ h[at]])
