@@ -39,8 +39,13 @@ def line_point_counts(spark: SparkSession, d: str) -> DataFrame:
 PAIRS = "pairs AS (SELECT a.line_id, a.mh_id AS src, b.mh_id AS dst FROM hits a JOIN hits b ON a.line_id = b.line_id AND a.mh_id < b.mh_id)"
 
 
-def _components(spark: SparkSession, d: str) -> DataFrame:
-    edges = line_pairs(spark, d).select(F.col("src").alias("u"), F.col("dst").alias("v"))
+def _written_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs for a query that reads them more than once: the spatial join behind them runs once."""
+    return C.checkpoint(line_pairs(spark, d))
+
+
+def _components(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
+    edges = (line_pairs(spark, d) if pairs is None else pairs).select(F.col("src").alias("u"), F.col("dst").alias("v"))
     return C.label_components(X.anchors(spark, d).select("mh_id"), edges, "mh_id").select("mh_id", "component")
 
 
@@ -61,8 +66,8 @@ def component_order(spark: SparkSession, d: str) -> DataFrame:
     return I.dense_id(labelled.join(C.component_sizes(labelled), "component"), ["size", "component", "mh_id"], "pos")
 
 
-def _split(spark: SparkSession, d: str) -> DataFrame:
-    labelled = C.checkpoint(_components(spark, d))
+def _split(spark: SparkSession, d: str, pairs: DataFrame | None = None) -> DataFrame:
+    labelled = C.checkpoint(_components(spark, d, pairs))
     return labelled.join(S.ratio_split(labelled, seed=SEED), "component").select("mh_id", "component", "split")
 
 
@@ -78,8 +83,9 @@ def _near_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def exported_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of each split as WKT text."""
-    at = _split(spark, d).select("mh_id", "split")
-    hit = line_pairs(spark, d).join(at.withColumnRenamed("mh_id", "src"), "src").select("line_id", "split").distinct()
+    pairs = _written_pairs(spark, d)
+    at = _split(spark, d, pairs).select("mh_id", "split")
+    hit = pairs.join(at.withColumnRenamed("mh_id", "src"), "src").select("line_id", "split").distinct()
     return X.lines(spark, d).join(hit, "line_id").select("line_id", "split", G.to_wkt(F.col("coords")).alias("wkt"))
 
 
