@@ -399,11 +399,18 @@ def anchor_features(spark: SparkSession, d: str) -> DataFrame:
     return a.select("mh_id", F.posexplode(x).alias("pos", "value"))
 
 
-def negative_edges(spark: SparkSession, d: str) -> DataFrame:
-    positive = C.checkpoint(line_pairs(spark, d).select("src", "dst").distinct())
+def _positive(spark: SparkSession, d: str) -> DataFrame:
+    return C.checkpoint(line_pairs(spark, d).select("src", "dst").distinct())
+
+
+def _negative(spark: SparkSession, d: str, positive: DataFrame) -> DataFrame:
     return S.negative_edges(positive, X.read(spark, d, "customer").count(), seed=SEED)
 
 
+def negative_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _negative(spark, d, _positive(spark, d))
+
+
 LABELLED_SPLIT = f"""ps AS (SELECT DISTINCT pe.split, a.new AS src, b.new AS dst FROM pe JOIN mh_map a ON a.old = pe.src AND a.split = pe.split JOIN mh_map b ON b.old = pe.dst AND b.split = pe.split),
 size_s AS (SELECT split, (SELECT count(*) FROM ps WHERE ps.split = m.split) AS e, count(*) AS n FROM mh_map m GROUP BY split),
 draws_s AS (SELECT split, i, {{s}} AS src, {{d}} AS dst FROM (SELECT split, n, unnest(range(2 * e)) AS i FROM size_s)),
@@ -425,7 +432,8 @@ neg AS (SELECT row_number() OVER (ORDER BY i) - 1 AS draw_id, src, dst FROM fres
 
 
 def supervised_edges(spark: SparkSession, d: str) -> DataFrame:
-    return R.labelled_edges(line_pairs(spark, d).select("src", "dst").distinct(), negative_edges(spark, d))
+    positive = _positive(spark, d)
+    return R.labelled_edges(positive, _negative(spark, d, positive))
 
 
 def mini_batches(spark: SparkSession, d: str) -> DataFrame:
