@@ -175,9 +175,10 @@ USED_ROADS = """used AS (SELECT *, row_number() OVER (ORDER BY fid) - 1 AS road_
   WHERE fid IN (SELECT near_fid FROM near_t) AND NOT (x1 = x2 AND y1 = y2))"""
 
 
-def mh_road_edges(spark: SparkSession, d: str) -> DataFrame:
+def mh_road_edges(spark: SparkSession, d: str, numbers: DataFrame | None = None) -> DataFrame:
     near = X.near(spark, d).where("near_dist < 100")
-    edges = _roads(spark, d).select("road_id", "fid").join(near, F.col("fid") == F.col("near_fid"))
+    numbers = _roads(spark, d).select("road_id", "fid") if numbers is None else numbers
+    edges = numbers.join(near.hint("merge"), F.col("fid") == F.col("near_fid"))
     return edges.select(
         F.col("mh_id").alias("index_mh"), F.col("road_id").alias("index_road"), "near_pos", "side",
         E.quantile_bin(F.col("near_dist"), _edges_of(edges, "near_dist")).alias("dist_bin"),
@@ -308,12 +309,13 @@ def _projection_sql() -> str:
 
 
 def _hetero(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    nodes = C.checkpoint(_split(spark, d).select(F.col("mh_id").alias("node_id"), "split"))
-    near = C.checkpoint(mh_road_edges(spark, d))
-    numbers = _roads(spark, d).select("road_id", "fid")
+    pairs = _written_pairs(spark, d)
+    nodes = C.checkpoint(_split(spark, d, pairs).select(F.col("mh_id").alias("node_id"), "split"))
+    numbers = C.checkpoint(_roads(spark, d).select("road_id", "fid"))
+    near = C.checkpoint(mh_road_edges(spark, d, numbers))
     rr = road_graph(spark, d).join(numbers.select(F.col("fid").alias("src"), F.col("road_id").alias("s")), "src")
     rr = rr.join(numbers.select(F.col("fid").alias("dst"), F.col("road_id").alias("t")), "dst").select(F.col("s").alias("src"), F.col("t").alias("dst"))
-    parts = R.induced(nodes, line_pairs(spark, d).select("src", "dst").distinct(), near, rr)
+    parts = R.induced(nodes, pairs.select("src", "dst").distinct(), near, rr)
     mh = I.dense_id_within(nodes.withColumnRenamed("node_id", "old"), "split", ["old"], "new")
     road = I.dense_id_within(parts["roads"].withColumnRenamed("road_id", "old"), "split", ["old"], "new")
     return parts | {"mh_map": C.checkpoint(mh), "road_map": C.checkpoint(road)}
