@@ -67,8 +67,8 @@ def reversed_relation(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
 
 
 def rows_in(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """Rows whose ``column`` is among ``ids`` (a semi join; rows aren't repeated)."""
-    return df.join(ids.select(F.col(id_column).alias(column)), column, "left_semi").select(df.columns)
+    """Rows whose ``column`` is among ``ids`` (a semi join; rows aren't repeated). The ids don't pass through the driver."""
+    return df.join(ids.select(F.col(id_column).alias(column)).hint("merge"), column, "left_semi").select(df.columns)
 
 
 def both_ends_in(edges: DataFrame, ids: DataFrame, id_column: str, src: str = "src", dst: str = "dst") -> DataFrame:
