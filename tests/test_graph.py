@@ -9,6 +9,7 @@ from linkloom.operators import graph as R
 from linkloom.operators import ids as I
 from linkloom.operators import sampling as S
 from linkloom.operators import spatial_join as J
+from linkloom.plans import spatial
 
 
 def union_find(edges, nodes):
@@ -175,3 +176,12 @@ def test_split_statistics_with_an_empty_split(spark):
     edges = spark.createDataFrame([(1, 2, "train")], "src long, dst long, split string")
     got = {r["split"]: (r["n_nodes"], r["n_edges"]) for r in R.split_statistics({"nodes": nodes, "edges": edges}).collect()}
     assert got == {"train": (1, 1), "val": (1, 0)}
+
+
+@pytest.mark.parametrize("query", ["exported_lines", "supervised_edges", "split_labelled_edges", "split_graph_edges"])
+def test_a_query_joins_lines_and_anchors_once(spark, tiny, monkeypatch, query):
+    calls = []
+    join = J.points_on_lines
+    monkeypatch.setattr(J, "points_on_lines", lambda *a, **k: calls.append(1) or join(*a, **k))
+    spatial.QUERIES[query][0](spark, tiny)
+    assert len(calls) == 1
